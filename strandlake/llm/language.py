@@ -76,6 +76,20 @@ class Model:
             scores = np.where(able.any(axis=1, keepdims=True), np.where(able, scores, np.float32(-60)), np.float32(0))
         return starts, ends, first, scores
 
+    def judge(self, column: pa.Array, lettered: pa.Array, penalty: float):
+        """Words (starts, ends, text, label), offsets, and for each text the language, whether it has one, its share of the letters; the count of texts."""
+        data, off = buffers(column)
+        starts, ends, first, scores = self.words(data, off)
+        labels = label_words(scores, first, penalty)
+        n, k = len(column), max(1, len(self.names))
+        text = np.repeat(np.arange(n), np.diff(first))
+        weight = np.bincount(text * k + labels, weights=ends - starts, minlength=n * k).reshape(n, k)
+        best, total = np.argmax(weight, axis=1), weight.sum(axis=1)
+        known = np.asarray(lettered.to_numpy(zero_copy_only=False)).astype(bool) & bool(self.names)
+        best[known & (total == 0)] = self.prior
+        score = np.where(known & (total > 0), weight[np.arange(n), best] / np.maximum(total, 1), 0.0)
+        return starts, ends, text, labels, off, best, known, score, n
+
 
 def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
     """Best labels of one text's words: scores less ``penalty`` for each change; ties stay, then take the lower label."""
@@ -172,17 +186,7 @@ def identify(docs: DataFrame, model: Model, penalty: float = PENALTY, keep: list
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                data, off = buffers(part.column("text"))
-                starts, ends, first, scores = model.words(data, off)
-                labels = label_words(scores, first, penalty)
-                n, k = part.num_rows, max(1, len(model.names))
-                text = np.repeat(np.arange(n), np.diff(first))
-                weight = np.bincount(text * k + labels, weights=ends - starts, minlength=n * k).reshape(n, k)
-                best, total = np.argmax(weight, axis=1), weight.sum(axis=1)
-                known = np.asarray(part.column("__lettered").to_numpy(zero_copy_only=False)).astype(bool) & bool(model.names)
-                blank = known & (total == 0)
-                best[blank] = model.prior
-                score = np.where(known & (total > 0), weight[np.arange(n), best] / np.maximum(total, 1), 0.0)
+                starts, ends, text, labels, off, best, known, score, n = model.judge(part.column("text"), part.column("__lettered"), penalty)
                 out = [part.column("doc_id"), pa.array(names[np.where(known, best, len(model.names))], pa.string()), pa.array(score)]
                 if with_spans:
                     new = np.r_[True, (labels[1:] != labels[:-1]) | (text[1:] != text[:-1])] if len(labels) else np.zeros(0, bool)
@@ -199,6 +203,20 @@ def identify(docs: DataFrame, model: Model, penalty: float = PENALTY, keep: list
     return found.select("doc_id", "lang_pred", "score", *(["spans"] if with_spans else []), *[F.col(f"kept_{c}").alias(c) for c in kept])
 
 
+def identified(docs: DataFrame, model: Model, least_share: float, penalty: float = PENALTY) -> DataFrame:
+    """``docs``, all columns, less the rows that are ``und`` or whose language has less than ``least_share`` of the letters; no shuffle."""
+    lettered = "__lettered"
+    marked = docs.withColumn(lettered, F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)))
+
+    def keep(batches):
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 20):
+                *_, known, score, _ = model.judge(part.column("text"), part.column(lettered), penalty)
+                yield part.filter(pa.array(known & (score >= least_share)))
+
+    return marked.mapInArrow(keep, marked.schema).drop(lettered)
+
+
 def remainder(divisor: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(divisor))
 

@@ -7,7 +7,7 @@ document along that diagonal and compared token by token. A document is contamin
 
 Documents stream past once for each benchmark block; a block holds about ``BLOCK_TOKENS`` tokens, so what is sent to executors is
 bounded whatever the benchmark's size. Tokens are runs of ASCII letters, digits and non-ASCII bytes, with A-Z lower-cased. Null and empty
-texts match nothing; items without tokens match nothing; repeated rows are reported once for each (doc_id, item_id).
+texts match nothing; items without tokens match nothing; repeated rows are reported once for each (doc_id, item_id); a null item_id counts as -1.
 """
 
 from __future__ import annotations
@@ -71,7 +71,7 @@ class Bench:
             self.tables.append((m, h, at, bitmap))
 
 
-def _segments(equal: np.ndarray, most: int) -> tuple[int, int]:
+def _segments(equal: np.ndarray) -> tuple[int, int]:
     """Longest stretch [i, j) of a row of comparisons with at least 80 % equal, beginning and ending on equal tokens."""
     n = len(equal)
     rise = np.concatenate([[0], np.cumsum(np.where(equal, 1 - SIMILARITY, -SIMILARITY))])
@@ -85,54 +85,78 @@ def _segments(equal: np.ndarray, most: int) -> tuple[int, int]:
     return best
 
 
+def overlaps(bench: Bench, column: pa.Array, least: int = LEAST_TOKENS) -> dict[tuple[int, int], tuple[int, int, int, int]]:
+    """For (row, place of the item in its block): matched tokens, length, start and end of the best stretch that counts."""
+    size = np.diff(bench.first)
+    token, first = tokens(*buffers(column))
+    found = []
+    for mask, h, at, bitmap in bench.tables:
+        here, mine = seeds(token, first, mask)
+        maybe = bitmap[mine >> np.uint64(42)] if len(mine) else np.zeros(0, bool)
+        here, mine = here[maybe], mine[maybe]
+        lo, hi = np.searchsorted(h, mine, "left"), np.searchsorted(h, mine, "right")
+        n = hi - lo
+        if n.sum():
+            there = at[np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
+            doc = np.searchsorted(first, np.repeat(here, n), side="right") - 1
+            found.append(np.column_stack([doc, np.searchsorted(bench.first, there, side="right") - 1, np.repeat(here, n) - there]))
+    out: dict[tuple[int, int], tuple[int, int, int, int]] = {}
+    for d, i, shift in (np.unique(np.concatenate(found), axis=0).tolist() if found else ()):
+        a = max(int(bench.first[i]), int(first[d]) - shift)
+        z = min(int(bench.first[i + 1]), int(first[d + 1]) - shift)
+        s, e = _segments(bench.token[a:z] == token[a + shift : z + shift])
+        if e - s >= min(least, int(size[i])):
+            matched = int((bench.token[a + s : a + e] == token[a + s + shift : a + e + shift]).sum())
+            row = (matched, e - s, a + s + shift - int(first[d]), a + e + shift - int(first[d]))
+            if row > out.get((d, i), (-1,)):
+                out[d, i] = row
+    return out
+
+
 def _search(bench: Bench, least: int):
     size = np.diff(bench.first)
 
     def scan(batches):
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                ids = part.column("doc_id").to_numpy(zero_copy_only=False)
-                token, first = tokens(*buffers(part.column("text")))
-                found = []
-                for mask, h, at, bitmap in bench.tables:
-                    here, mine = seeds(token, first, mask)
-                    maybe = bitmap[mine >> np.uint64(42)] if len(mine) else np.zeros(0, bool)
-                    here, mine = here[maybe], mine[maybe]
-                    lo, hi = np.searchsorted(h, mine, "left"), np.searchsorted(h, mine, "right")
-                    n = hi - lo
-                    if n.sum():
-                        there = at[np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
-                        doc = np.searchsorted(first, np.repeat(here, n), side="right") - 1
-                        found.append(np.column_stack([doc, np.searchsorted(bench.first, there, side="right") - 1, np.repeat(here, n) - there]))
-                if not found:
-                    continue
-                out: dict[tuple[int, int], tuple] = {}
-                for d, i, shift in np.unique(np.concatenate(found), axis=0).tolist():
-                    a = max(int(bench.first[i]), int(first[d]) - shift)
-                    z = min(int(bench.first[i + 1]), int(first[d + 1]) - shift)
-                    s, e = _segments(bench.token[a:z] == token[a + shift : z + shift], z - a)
-                    if e - s >= min(least, int(size[i])):
-                        matched = int((bench.token[a + s : a + e] == token[a + s + shift : a + e + shift]).sum())
-                        row = (matched, e - s, a + s + shift - int(first[d]), a + e + shift - int(first[d]))
-                        if row > out.get((d, i), (-1,)):
-                            out[d, i] = row
-                if out:
-                    rows = [(None if ids[d] is None else int(ids[d]), int(bench.item[i]), int(size[i]), *r) for (d, i), r in out.items()]
+                ids = part.column("doc_id").to_pylist()
+                if out := overlaps(bench, part.column("text"), least):
+                    rows = [(ids[d], int(bench.item[i]), int(size[i]), *r) for (d, i), r in out.items()]
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], ["doc_id", "item_id", "item_tokens", "matched", "length", "start", "end"])
 
     return scan
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, masks=MASKS, least: int = LEAST_TOKENS, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """doc_id, item_id, item_tokens, matched, length, start, end (tokens of the document): the best stretch of each pair that overlaps."""
+def _blocks(benchmark: DataFrame, masks, block_tokens: int):
+    """The benchmark in blocks of about ``block_tokens`` tokens, by a hash."""
     items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     n = items.agg(F.coalesce(F.sum(F.octet_length("text") + 8), F.lit(0))).first()[0] // 6
     blocks = max(1, -(-n // block_tokens))
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    out = None
     for b in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).distinct().collect()
-        bench = Bench(sorted((r["item_id"], r["text"]) for r in rows), masks)
+        yield Bench(sorted((-1 if r["item_id"] is None else r["item_id"], r["text"]) for r in rows), masks)
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, masks=MASKS, least: int = LEAST_TOKENS, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """``docs``, all columns, less the rows whose text overlaps an item; no shuffle."""
+    for bench in _blocks(benchmark, masks, block_tokens):
+
+        def keep(batches, bench=bench):
+            for batch in batches:
+                for part in slices(batch, "text", 1 << 20):
+                    good = np.ones(part.num_rows, bool)
+                    good[[d for d, _ in overlaps(bench, part.column("text"), least)]] = False
+                    yield part.filter(pa.array(good))
+
+        docs = docs.mapInArrow(keep, docs.schema)
+    return docs
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, masks=MASKS, least: int = LEAST_TOKENS, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """doc_id, item_id, item_tokens, matched, length, start, end (tokens of the document): the best stretch of each pair that overlaps."""
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    out = None
+    for bench in _blocks(benchmark, masks, block_tokens):
         got = slim.mapInArrow(_search(bench, least), "doc_id long, item_id long, item_tokens long, matched long, length long, start long, `end` long")
         out = got if out is None else out.unionByName(got)
     best = F.max(F.struct("matched", "length", "start", "end", "item_tokens")).alias("b")

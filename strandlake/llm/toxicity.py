@@ -7,7 +7,7 @@ The state of the composition is one tuple; a clause's score is the weight of its
 is only the weakest of them. Clauses without an insult or a threat are never walked.
 
 The insult lexicon (whole words and stems of 4 to 8 bytes) and the mapping of clause scores to [0, 1] are learned from a bounded
-sample of labelled documents (``SAMPLE_DOCS`` for each label, by a hash of the ids). Null and empty texts have the base score. If a label is
+sample of labelled documents (``SAMPLE_DOCS`` toxic and ``CLEAN`` times as many other ones, by a hash of the ids). Null and empty texts have the base score. If a label is
 missing, the lexicon is empty and all scores are the base rate's. Rows that repeat are scored alike; labels that repeat for a
 document count as its largest label.
 """
@@ -25,9 +25,11 @@ from .common import RollingHash, buffers, slices, table, word_spans
 from .language import _NOT_LETTER, _lower, remainder
 
 SAMPLE_DOCS = 3000
+#: Clean documents for each toxic one.
+CLEAN = 3
 STEMS = (4, 5, 6, 7, 8)
 #: Least log-odds and least share of the toxic documents of a lexicon entry.
-LEAST_ODDS, LEAST_SHARE = 2.5, 0.004
+LEAST_ODDS, LEAST_SHARE = 3.5, 0.01
 MOST_ENTRIES = 20_000
 # closed classes, fixed values
 TARGETS = "you your yours he him she her they them du dich dir ihr sie tu toi te vous il elle ils tú ti usted ustedes él ella".split()
@@ -161,9 +163,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> Gramma
     marked = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
     chosen = None
     for value in (True, False):
-        part = marked.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+        part = marked.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample if value else CLEAN * sample)
         chosen = part if chosen is None else chosen.unionByName(part)
-    sampled = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")  # at most 2 x sample rows
+    sampled = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")  # ids of the sample only
 
     def count(only):
         def run(batches):
@@ -202,7 +204,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> Gramma
             for part in slices(batch, "text", 1 << 20):
                 yield pa.RecordBatch.from_arrays([pa.array(grammar.strengths(*buffers(part.column("text")))), part.column("toxic")], ["x", "y"])
 
-    pairs = sampled.select("text", "toxic").mapInArrow(measure, "x double, y boolean").toArrow()  # at most 2 x sample rows of two numbers
+    pairs = sampled.select("text", "toxic").mapInArrow(measure, "x double, y boolean").toArrow()  # a row of two numbers for each sampled document
     grammar.slope, grammar.offset = _logistic(np.minimum(pairs.column("x").to_numpy(), 50.0), np.asarray(pairs.column("y").to_pylist(), float))
     return grammar
 
