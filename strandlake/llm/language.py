@@ -133,7 +133,9 @@ def label_words(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.nda
 
 def fit(docs: DataFrame, sample: int = SAMPLE_DOCS) -> Model:
     """From rows (doc_id, text, lang); null langs and texts teach nothing."""
-    chosen = docs.where("lang is not null and text is not null").select("doc_id", "lang", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    ids = docs.where("lang is not null and doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    labelled = docs.where("lang is not null and text is not null").select("doc_id", "lang", "text")
+    chosen = labelled.join(F.broadcast(ids), "doc_id", "left_semi")  # ids of the sample only
 
     def count(batches):
         for batch in batches:
