@@ -81,13 +81,13 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seeds: tuple[int, ...] = (42
     return slim.mapInArrow(compute, "doc_id long, codes array<long>")
 
 
-def _linker(limit: int):
+def _linker(limit: int, kept: np.ndarray, width: int, spread: int):
     def link(group: pa.Table) -> pa.Table:
         """Edges that connect, in each bucket of the group, all members within the limit."""
         rep = group.column("rep").to_numpy()
-        flat = group.column("codes").combine_chunks()
-        codes = np.asarray(flat.flatten()).astype(np.int64).view(np.uint64).reshape(len(rep), -1)
-        table_, key = group.column("table").to_numpy(), group.column("key").to_numpy()
+        codes = np.column_stack([group.column(f"c{j}").to_numpy() for j in range(width)]).view(np.uint64)
+        table_ = group.column("group").to_numpy() // spread
+        key = codes[np.arange(len(rep)), table_ // len(kept)] & kept[table_ % len(kept)]
         order = np.lexsort([key, table_])
         t, k = table_[order], key[order]
         cut = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (k[1:] != k[:-1]), True])
@@ -123,13 +123,14 @@ def near_groups(codes: DataFrame, radius: int = 2, limit: int | None = None) ->
     codes = materialize(codes, "codes")
     classes = codes.groupBy("codes").agg(F.min("doc_id").alias("rep"))
     named = classes.where("rep is not null")
-    kept = masks(radius).astype(np.int64).tolist()
     n, width = codes.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("codes")), F.lit(1))).first()
-    entries = F.explode(F.array(*[F.struct(F.lit(j * len(kept) + i).alias("table"), F.element_at("codes", j + 1).bitwiseAND(F.lit(m)).alias("key")) for j in range(width) for i, m in enumerate(kept)]))
-    rows = n * len(kept) * width
-    groups = max(1, -(-rows // GROUP_ROWS))
-    spread = named.select("rep", "codes", entries.alias("e")).select("rep", "codes", "e.table", "e.key", F.pmod(F.xxhash64("e.table", "e.key"), F.lit(groups)).alias("group"))
-    edges = spread.groupBy("group").applyInArrow(_linker(radius if limit is None else limit), "a long, b long")
+    kept = masks(radius)
+    # a row goes to a group of its table's buckets by the bits that the table keeps; table and key follow from group and codes
+    spread = max(1, -(-n // GROUP_ROWS))
+    groups = [(F.pmod(F.xxhash64(F.col(f"c{j}").bitwiseAND(F.lit(m))), F.lit(spread)) + (j * len(kept) + i) * spread) for j in range(width) for i, m in enumerate(kept.astype(np.int64).tolist())]
+    slim = named.select("rep", *[F.element_at("codes", j + 1).alias(f"c{j}") for j in range(width)])
+    placed = slim.select("*", F.explode(F.array(*groups)).alias("group"))
+    edges = placed.groupBy("group").applyInArrow(_linker(radius if limit is None else limit, kept, width, spread), "a long, b long")
     parts = components(edges)
     named = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("codes").alias("of"), F.coalesce("component", "rep").alias("component_id"))
     return codes.join(named, codes.codes == named.of, "left").select("doc_id", "codes", "component_id")
