@@ -20,6 +20,9 @@ LEAST_SHARE = 0.3
 #: Near copies: five-word shingles, estimated similarity from here on; two fingerprints, compared where any of them may be near.
 SHINGLE, SIMILARITY, SEEDS, RADIUS = 5, 0.8, (42, 43), 5
 
+#: Most ids of dropped copies that are broadcast.
+BROADCAST_IDS = 1_000_000
+
 #: Not expressible: models, fingerprints and substitution-tolerant matching.
 ORACLE_SQL = None
 
@@ -29,9 +32,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def differing_bits(similarity: float, bits: int) -> int:
-    """Bits in which fingerprints differ on average at a Jaccard similarity."""
-    cosine = 2 * similarity / (1 + similarity)
-    return int(bits * math.acos(cosine) / math.pi)
+    """Bits in which fingerprints differ at a Jaccard similarity: the mean and half a standard deviation, so that most such pairs link."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(bits * share + 0.5 * math.sqrt(bits * share * (1 - share)))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +42,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     groups = simhash.near_groups(codes, RADIUS, differing_bits(SIMILARITY, 64 * len(SEEDS)))
     seen = materialize(groups.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "groups")
     gone = seen.where("doc_id <> component_id").select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti")
+    # a checked size: a million ids are a few dozen megabytes, and spare the shuffle of all texts; more are joined by a shuffle
+    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    kept = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti")
     repeated = seen.where("n > 1 and doc_id = component_id").select("doc_id")
     if repeated.limit(1).count():
         kept = kept.join(repeated, "doc_id", "left_anti").unionByName(docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
