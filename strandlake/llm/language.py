@@ -2,7 +2,7 @@
 
 Each word's script, from ranges of UTF-8 lead bytes, narrows the candidate languages to those seen in that script; byte trigrams
 with word edges score the word for each candidate; a Viterbi path over the words, with a penalty for each switch, labels spans.
-A text where no run of words gains more than the penalty in another language has a one-language path: that test is a running
+A text where no run of words gains more than half the penalty in another language has a one-language path: that test is a running
 minimum over whole batches, so the step-by-step search only runs on the others, with the same result.
 
 The model is fitted on a bounded sample (``SAMPLE_DOCS`` labelled documents, by a hash of their ids) of whole texts; only counts, at most
@@ -94,18 +94,24 @@ class Model:
 def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
     """Best labels of one text's words: scores less ``penalty`` for each change; ties stay, then take the lower label."""
     n, k = scores.shape
-    best, back = scores[0].astype(np.float64), np.zeros((n, k), np.int32)
-    stay = np.arange(k)
-    for i in range(1, n):
-        top = int(np.argmax(best))
-        move = best[top] - penalty > best
-        back[i] = np.where(move, top, stay)
-        best = np.where(move, best[top] - penalty, best) + scores[i]
-    path = np.empty(n, np.int64)
-    path[-1] = int(np.argmax(best))
-    for i in range(n - 1, 0, -1):
-        path[i - 1] = back[i, path[i]]
-    return path
+    rows = scores.tolist()
+    best, back = rows[0], []
+    for row in rows[1:]:  # plain lists: a few languages are too few for arrays
+        top = max(best)
+        floor, leader = top - penalty, best.index(top)
+        if min(best) >= floor:
+            back.append(None)
+            best = [b + s for b, s in zip(best, row)]
+        else:
+            back.append([leader if b < floor else i for i, b in enumerate(best)])
+            best = [(floor if b < floor else b) + s for b, s in zip(best, row)]
+    at = best.index(max(best))
+    path = [at]
+    for step in reversed(back):
+        if step is not None:
+            at = step[at]
+        path.append(at)
+    return np.array(path[::-1], np.int64)
 
 
 def label_words(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray:
@@ -125,7 +131,8 @@ def label_words(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.nda
     step = (np.abs(gain).max() + 1) * 4
     fall = step * text[:, None].astype(np.float64)
     rise = gain - (np.minimum.accumulate(before - fall, axis=0) + fall)
-    mixed = np.unique(text[(rise > penalty - 1e-6).any(axis=1)])
+    # a path of k stretches in other languages has at least k - 1 switches, and at least one: gains of half a penalty never pay
+    mixed = np.unique(text[(rise > penalty / 2 - 1e-6).any(axis=1)])
     for t in mixed.tolist():
         labels[first[t] : first[t + 1]] = viterbi(scores[first[t] : first[t + 1]], penalty)
     return labels
