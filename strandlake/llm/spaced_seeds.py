@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, RollingHash, buffers, mix64, slices, table, word_spans
 
-MASKS = ("1101100111", "1110010110011", "111111")
+#: Any stretch with at least 80 % equal tokens fits one of these somewhere: with s substitutions among at least 5 s tokens, runs of equal
+#: tokens are either 4 long, or two neighbours of at least 2, or 1 and 3.
+MASKS = ("1111", "11011", "10111", "11101")
 LEAST_TOKENS = 13
 SIMILARITY = 0.8
 BLOCK_TOKENS = 2_000_000
@@ -85,6 +87,22 @@ def _segments(equal: np.ndarray) -> tuple[int, int]:
     return best
 
 
+def _worthwhile(bench: Bench, token: np.ndarray, first: np.ndarray, hits: np.ndarray, least: int) -> list[list[int]]:
+    """The (row, item, diagonal) hits with enough equal tokens in all to hold a stretch that counts."""
+    d, i, shift = hits.T
+    a, z = np.maximum(bench.first[i], first[d] - shift), np.minimum(bench.first[i + 1], first[d + 1] - shift)
+    keep = []
+    need = SIMILARITY * np.minimum(least, np.diff(bench.first)[i]) - 1e-9
+    for at in range(0, len(hits), 20_000):  # bounded memory
+        part = slice(at, at + 20_000)
+        n = z[part] - a[part]
+        cut = np.concatenate([[0], np.cumsum(n)])
+        place = np.repeat(a[part] - cut[:-1], n) + np.arange(cut[-1])
+        equal = np.concatenate([[0], np.cumsum(bench.token[place] == token[place + np.repeat(shift[part], n)])])
+        keep.append(equal[cut[1:]] - equal[cut[:-1]] >= need[part])
+    return hits[np.concatenate(keep)].tolist() if keep else []
+
+
 def overlaps(bench: Bench, column: pa.Array, least: int = LEAST_TOKENS) -> dict[tuple[int, int], tuple[int, int, int, int]]:
     """For (row, place of the item in its block): matched tokens, length, start and end of the best stretch that counts."""
     size = np.diff(bench.first)
@@ -101,7 +119,7 @@ def overlaps(bench: Bench, column: pa.Array, least: int = LEAST_TOKENS) -> dict[
             doc = np.searchsorted(first, np.repeat(here, n), side="right") - 1
             found.append(np.column_stack([doc, np.searchsorted(bench.first, there, side="right") - 1, np.repeat(here, n) - there]))
     out: dict[tuple[int, int], tuple[int, int, int, int]] = {}
-    for d, i, shift in (np.unique(np.concatenate(found), axis=0).tolist() if found else ()):
+    for d, i, shift in (_worthwhile(bench, token, first, np.unique(np.concatenate(found), axis=0), least) if found else ()):
         a = max(int(bench.first[i]), int(first[d]) - shift)
         z = min(int(bench.first[i + 1]), int(first[d + 1]) - shift)
         s, e = _segments(bench.token[a:z] == token[a + shift : z + shift])
