@@ -1,8 +1,8 @@
 """SimHash near-duplicates by covering locality-sensitive hashing.
 
 Each bit position gets a random vector of radius + 1 bits; for each of the 2^(radius+1) - 1 nonzero vectors v one table keeps the
-bits whose vector is orthogonal to v. At most ``radius`` differing bits never span the whole space, so some v is orthogonal to all
-of theirs and that table keeps none of them: every pair within the radius collides somewhere.
+bits whose vector is not orthogonal to v. The vectors of at most ``radius`` differing bits never span the whole space, so some v is
+orthogonal to all of them and its table keeps none of those bits: every pair within the radius collides somewhere.
 
 Distinct fingerprints (not documents) enter the tables. Within a bucket, links are found by breadth-first search over unvisited
 members, which yields one edge a member and never a list of all pairs; the components of the edges are those of all links.
@@ -25,11 +25,11 @@ GROUP_ROWS = 300_000
 
 
 def masks(radius: int, bits: int = 64, seed: int = 11) -> np.ndarray:
-    """Covering masks as unsigned words. A position whose vector is orthogonal to v is kept by table v."""
+    """Covering masks as unsigned words. Table v keeps the positions whose vector is not orthogonal to v."""
     vectors = np.random.default_rng(seed).integers(0, 1 << (radius + 1), bits)
     out = []
     for v in range(1, 1 << (radius + 1)):
-        kept = [i for i in range(bits) if bin(int(vectors[i]) & v).count("1") % 2 == 0]
+        kept = [i for i in range(bits) if bin(int(vectors[i]) & v).count("1") % 2 == 1]
         out.append(sum(1 << i for i in kept))
     return np.array(out, dtype=np.uint64)
 
