@@ -84,7 +84,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, share: float = 1.0,
     n, total, rows, wanted = slim.agg(F.countDistinct("source"), F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).join(sources.agg(F.coalesce(F.sum("target"), F.lit(0.0)).alias("w")), F.lit(True)).first()
     block = max(1, min(BLOCK_WORDS, total // (SLOTS * (n + 1))))
     numbered = slim.join(sources, slim.source.eqNullSafe(sources.source)).drop(sources.source)
-    placed = shuffled(numbered, max(2, (rows // 20_000).bit_length()))
+    placed = shuffled(numbered, max(2, (rows // 2_000).bit_length()))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("source_size") / block).cast("long"))
     taken = schedule(sources, round(wanted), block).join(sources.select("source_no", blocks.alias("blocks")), "source_no")
     taken = taken.where(F.expr("rank div blocks") < most).groupBy("source_no", F.expr("rank % blocks").alias("block")).agg(F.count(F.lit(1)).alias("times"))
