@@ -15,7 +15,7 @@ from ..schema import FASTQ_ASCII
 
 def fastq_rows(spark: SparkSession, path: str, offset: int = 33) -> DataFrame:
     """A stream of FASTQ files, whole files at a time: for many files of moderate size, as an instrument writes them."""
-    files = spark.readStream.option("wholetext", True).text(path)
+    files = spark.readStream.text(path, wholetext=True)
     lines = F.split(F.regexp_replace("value", "\r", ""), "\n")
     records = F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.size(lines) / 4) - 1, F.lit(0))), lambda i: F.struct(*[F.get(lines, (i * 4 + k).cast("int")).alias(f"l{k}") for k in range(4)]))
     rows = files.select(F.posexplode(records).alias("ord", "r")).where("r.l0 is not null and r.l3 is not null")
