@@ -18,7 +18,7 @@ from strandlake.llm.common import materialize, table
 #: Documents whose main language has a smaller share of their letters go, as do those without letters.
 LEAST_SHARE = 0.3
 #: Near copies: five-word shingles, estimated similarity from here on; two fingerprints, compared where any of them may be near.
-SHINGLE, SIMILARITY, SEEDS, RADIUS = 5, 0.8, (42, 43), 5
+SHINGLE, SIMILARITY, SEEDS, RADIUS = 5, 0.8, (42, 43), 6
 
 #: Most ids of dropped copies that are broadcast.
 BROADCAST_IDS = 1_000_000
