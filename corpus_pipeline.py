@@ -17,8 +17,10 @@ from strandlake.llm.common import materialize, table
 
 #: Documents whose main language has a smaller share of their letters go, as do those without letters.
 LEAST_SHARE = 0.3
-#: Near copies: five-word shingles, estimated similarity from here on; two fingerprints, compared where any of them may be near.
-SHINGLE, SIMILARITY, SEEDS, RADIUS = 5, 0.8, (42, 43), 6
+#: Near copies: five-word shingles, Jaccard similarity from here on; three fingerprints, compared where any of them may be near.
+SHINGLE, SIMILARITY, FINGERPRINTS, RADIUS = 5, 0.8, 3, 6
+#: Standard deviations of the distance at that similarity: so many below it, a pair links at once; up to so many above, its shingle sets decide.
+SURE, UNSURE = -3, 2
 
 #: Most ids of dropped copies that are broadcast.
 BROADCAST_IDS = 1_000_000
@@ -31,15 +33,16 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return language.identified(docs, language.fit(docs.select("doc_id", "text", "lang")), LEAST_SHARE)
 
 
-def differing_bits(similarity: float, bits: int) -> int:
-    """Bits in which fingerprints differ at a Jaccard similarity: the mean and half a standard deviation, so that most such pairs link."""
+def differing_bits(similarity: float, bits: int, deviations: float) -> int:
+    """Bits in which fingerprints differ at a Jaccard similarity: the mean and so many standard deviations."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return int(bits * share + 0.5 * math.sqrt(bits * share * (1 - share)))
+    return int(bits * share + deviations * math.sqrt(bits * share * (1 - share)))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    codes = simhash.fingerprints(docs, SHINGLE, SEEDS)
-    groups = simhash.near_groups(codes, RADIUS, differing_bits(SIMILARITY, 64 * len(SEEDS)))
+    codes = simhash.fingerprints(docs, SHINGLE, FINGERPRINTS, once=True)
+    sure, limit = (differing_bits(SIMILARITY, 64 * FINGERPRINTS, x) for x in (SURE, UNSURE))
+    groups = simhash.near_groups(codes, RADIUS, limit, sure, simhash.exact_check(docs.select("doc_id", "text"), SHINGLE, SIMILARITY))
     seen = materialize(groups.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "groups")
     gone = seen.where("doc_id <> component_id").select("doc_id")
     # a checked size: a million ids are a few dozen megabytes, and spare the shuffle of all texts; more are joined by a shuffle

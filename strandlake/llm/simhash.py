@@ -6,6 +6,8 @@ orthogonal to all of them and its table keeps none of those bits: every pair wit
 
 Distinct fingerprints (not documents) enter the tables. Within a bucket, links are found by breadth-first search over unvisited
 members, which yields one edge a member and never a list of all pairs; the components of the edges are those of all links.
+Where fingerprints only estimate a similarity, distances up to ``sure`` link at once; the groups so found are joined by a least spanning
+forest over distances up to ``limit``, whose edges an exact check on shingle sets then keeps or drops.
 Documents without words have fingerprint zero. Null ids take part as copies, but name no component while another id is there.
 """
 
@@ -17,11 +19,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, buffers, materialize, slices, table, word_spans
+from .common import LOWER, buffers, materialize, mix64, slices, table, word_spans
 from .components import components
 
 #: Rows of the tables that one group of buckets gets, on average.
 GROUP_ROWS = 300_000
+#: Most ids that are broadcast to fetch texts for the exact check; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+#: Seed of the shingles' XXH64.
+SEED = 42
 
 
 def masks(radius: int, bits: int = 64, seed: int = 11) -> np.ndarray:
@@ -54,6 +60,16 @@ def shingle_hashes(column: pa.Array, shingle: int, seed: int) -> tuple[np.ndarra
     return h, bounds
 
 
+def distinct(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same without repeats inside a text, each text's hashes in order."""
+    of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    order = np.lexsort([h, of])
+    h, of = h[order], of[order]
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
+    return h[new], np.concatenate([[0], np.cumsum(np.bincount(of[new], minlength=len(bounds) - 1))]).astype(np.int64)
+
+
 def fold(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Fingerprints: a bit is 1 if set in over half the hashes of a text."""
     n = np.diff(bounds)
@@ -65,61 +81,120 @@ def fold(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, seeds: tuple[int, ...] = (42,), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, codes): one 64-bit fingerprint a seed, as signed longs. Null text: no words."""
+def fingerprints(docs: DataFrame, shingle: int = 3, width: int = 1, once: bool = False, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(doc_id, codes): ``width`` 64-bit fingerprints as signed longs, the first from XXH64 and the others from a remix of it.
+
+    Null text: no words. With ``once`` a shingle counts once in a text, however often it is repeated."""
 
     def compute(batches):
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                codes = np.empty((part.num_rows, len(seeds)), np.int64)
-                for j, seed in enumerate(seeds):
-                    codes[:, j] = fold(*shingle_hashes(part.column("text"), shingle, seed)).view(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, codes.size + 1, len(seeds)), pa.int32()), pa.array(codes.ravel()))
+                h, bounds = shingle_hashes(part.column("text"), shingle, SEED)
+                if once:
+                    h, bounds = distinct(h, bounds)
+                codes = np.empty((part.num_rows, width), np.int64)
+                for j in range(width):
+                    codes[:, j] = fold(mix64(h + np.uint64(j)) if j else h, bounds).view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, codes.size + 1, width), pa.int32()), pa.array(codes.ravel()))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], ["doc_id", "codes"])
 
     slim = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     return slim.mapInArrow(compute, "doc_id long, codes array<long>")
 
 
-def _linker(limit: int, kept: np.ndarray, width: int, spread: int):
+def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, size, shingles): the distinct shingles of each text, as 32 bits of their hashes."""
+
+    def compute(batches):
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 20):
+                h, bounds = shingle_hashes(part.column("text"), shingle, SEED)
+                h, bounds = distinct(h & np.uint64(0xFFFFFFFF), bounds)
+                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(h.astype(np.uint32).view(np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(bounds), pa.int32()), lists], ["doc_id", "size", "shingles"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(compute, "doc_id long, size int, shingles array<int>")
+
+
+def exact_check(docs: DataFrame, shingle: int, similarity: float):
+    """A check for ``near_groups``: keeps the edges (a, b, ...) between documents whose sets of shingles have at least this Jaccard similarity.
+
+    Rows that share a doc_id count as that document, each of them."""
+
+    def check(edges: DataFrame) -> DataFrame:
+        ids = materialize(edges.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ends")
+        few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+        sets = materialize(shingle_sets(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"), shingle), "sets")
+
+        def end(name, *columns):
+            return sets.select(F.col("doc_id").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
+
+        # sizes first: sets travel only for pairs that can be similar enough
+        sized = edges.join(end("a", "size"), "a").join(end("b", "size"), "b").where(F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b"))
+        pairs = sized.select(edges.columns).distinct().join(end("a", "size", "shingles"), "a").join(end("b", "size", "shingles"), "b")
+        both = F.size(F.array_intersect("shingles_a", "shingles_b"))
+        return pairs.where(both >= similarity * (F.col("size_a") + F.col("size_b") - both)).select(edges.columns).distinct()
+
+    return check
+
+
+def _linker(limit: int, sure: int, kept: np.ndarray, width: int, spread: int):
     def link(group: pa.Table) -> pa.Table:
-        """Edges that connect, in each bucket of the group, all members within the limit."""
+        """Edges (a, b, d): in each bucket of the group, a spanning forest of the links within the limit, by least distances beyond ``sure``."""
         rep = group.column("rep").to_numpy()
         codes = np.column_stack([group.column(f"c{j}").to_numpy() for j in range(width)]).view(np.uint64)
         table_ = group.column("group").to_numpy() // spread
         key = codes[np.arange(len(rep)), table_ // len(kept)] & kept[table_ % len(kept)]
-        order = np.lexsort([key, table_])
+        order = np.lexsort([rep, key, table_])
         t, k = table_[order], key[order]
         cut = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (k[1:] != k[:-1]), True])
         size = np.diff(cut)
-        a, b = [], []
+        a, b, d = [], [], []
+
+        def add(left, right, distance):
+            a.append(rep[left]), b.append(rep[right]), d.append(distance)
+
         two = cut[:-1][size == 2]
         i, j = order[two], order[two + 1]
-        near = np.bitwise_count(codes[i] ^ codes[j]).sum(axis=1) <= limit
-        a.append(rep[i[near]]), b.append(rep[j[near]])
+        apart = np.bitwise_count(codes[i] ^ codes[j]).sum(axis=1, dtype=np.int64)
+        add(i[apart <= limit], j[apart <= limit], apart[apart <= limit])
         for at, n in zip(cut[:-1][size > 2].tolist(), size[size > 2].tolist()):
             rest = order[at : at + n]
-            while len(rest) > 1:
-                queue, rest = [rest[0]], rest[1:]
-                while queue and len(rest):
+            best, by = np.full(n, limit + 1, np.int64), np.zeros(n, np.int64)
+            queue = []
+            while len(rest):
+                if queue:
                     x = queue.pop()
-                    hit = np.bitwise_count(codes[rest] ^ codes[x]).sum(axis=1) <= limit
-                    if hit.any():
-                        found, rest = rest[hit], rest[~hit]
-                        a.append(np.full(len(found), rep[x])), b.append(rep[found])
-                        queue += found.tolist()
-        edges = np.unique(np.column_stack([np.concatenate(a), np.concatenate(b)]), axis=0)
-        return pa.table({"a": pa.array(edges[:, 0], pa.int64()), "b": pa.array(edges[:, 1], pa.int64())})
+                else:  # the nearest to what has been reached; none within the limit: the next tree begins
+                    nearest = int(best.argmin())
+                    x = rest[nearest]
+                    if best[nearest] <= limit:
+                        add(by[nearest : nearest + 1], rest[nearest : nearest + 1], best[nearest : nearest + 1])
+                    rest, best, by = np.delete(rest, nearest), np.delete(best, nearest), np.delete(by, nearest)
+                    if not len(rest):
+                        break
+                apart = np.bitwise_count(codes[rest] ^ codes[x]).sum(axis=1, dtype=np.int64)
+                hit = apart <= sure
+                if hit.any():
+                    found = rest[hit]
+                    add(np.full(len(found), x), found, apart[hit])
+                    queue += found.tolist()
+                    rest, best, by, apart = rest[~hit], best[~hit], by[~hit], apart[~hit]
+                if sure < limit:
+                    closer = apart < best
+                    best[closer], by[closer] = apart[closer], x
+        edges = np.unique(np.column_stack([np.concatenate(a), np.concatenate(b), np.concatenate(d)]), axis=0)
+        return pa.table({"a": pa.array(edges[:, 0], pa.int64()), "b": pa.array(edges[:, 1], pa.int64()), "d": pa.array(edges[:, 2], pa.int64())})
 
     return link
 
 
-def near_groups(codes: DataFrame, radius: int = 2, limit: int | None = None) -> DataFrame:
+def near_groups(codes: DataFrame, radius: int = 2, limit: int | None = None, sure: int | None = None, check=None) -> DataFrame:
     """(doc_id, codes, component_id) for rows of ``fingerprints``.
 
-    Fingerprints link if their differing bits, over all seeds together, are at most ``limit`` (the radius unless given); pairs within
-    ``radius`` of each other under any one seed are sure to be compared."""
-    spark = codes.sparkSession
+    Fingerprints link if their differing bits, over all of a document's together, are at most ``limit`` (the radius unless given); pairs
+    within ``radius`` of each other under any one of them are sure to be compared. With ``check`` only distances up to ``sure`` link at
+    once; it is given edges (a, b, ...) between the groups so far, at larger distances up to ``limit``, and returns those that hold."""
     codes = materialize(codes, "codes")
     classes = codes.groupBy("codes").agg(F.min("doc_id").alias("rep"))
     named = classes.where("rep is not null")
@@ -127,15 +202,38 @@ def near_groups(codes: DataFrame, radius: int = 2, limit: int | None = None) ->
     kept = masks(radius)
     # a row goes to a group of its table's buckets by the bits that the table keeps; table and key follow from group and codes
     spread = max(1, -(-n // GROUP_ROWS))
-    groups = [(F.pmod(F.xxhash64(F.col(f"c{j}").bitwiseAND(F.lit(m))), F.lit(spread)) + (j * len(kept) + i) * spread) for j in range(width) for i, m in enumerate(kept.astype(np.int64).tolist())]
-    slim = named.select("rep", *[F.element_at("codes", j + 1).alias(f"c{j}") for j in range(width)])
-    placed = slim.select("*", F.explode(F.array(*groups)).alias("group"))
-    edges = placed.groupBy("group").applyInArrow(_linker(radius if limit is None else limit, kept, width, spread), "a long, b long")
-    parts = components(edges)
+    slim = named.select("rep", "codes", F.explode(F.sequence(F.lit(0), F.lit(width * len(kept) - 1))).alias("table"))
+    own = F.element_at("codes", (F.floor(F.col("table") / len(kept)) + 1).cast("int"))
+    mask = F.element_at(F.array(*[F.lit(m) for m in kept.astype(np.int64).tolist()]), F.col("table") % len(kept) + 1)
+    group = F.pmod(F.xxhash64(own.bitwiseAND(mask)), F.lit(spread)) + F.col("table") * spread
+    placed = slim.select("rep", *[F.element_at("codes", j + 1).alias(f"c{j}") for j in range(width)], group.alias("group"))
+    limit = radius if limit is None else limit
+    sure = limit if check is None else sure
+    edges = placed.groupBy("group").applyInArrow(_linker(limit, sure, kept, width, spread), "a long, b long, d long")
+    if check is None:
+        parts = components(edges)
+    else:
+        edges = materialize(edges.distinct(), "edges")
+        parts = materialize(components(edges.where(F.col("d") <= sure)), "parts")
+        parts = _merged(parts, edges.where(F.col("d") > sure).select("a", "b"), check)
     named = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("codes").alias("of"), F.coalesce("component", "rep").alias("component_id"))
     return codes.join(named, codes.codes == named.of, "left").select("doc_id", "codes", "component_id")
 
 
+def _merged(parts: DataFrame, edges: DataFrame, check) -> DataFrame:
+    """``parts`` (node, component) after merging along the edges between different parts that the check keeps."""
+
+    def part_of(name):
+        return parts.select(F.col("node").alias(name), F.col("component").alias(f"part_{name}"))
+
+    ends = edges.join(part_of("a"), "a", "left").join(part_of("b"), "b", "left").select("a", "b", F.coalesce("part_a", "a").alias("pa"), F.coalesce("part_b", "b").alias("pb"))
+    held = check(materialize(ends.where("pa <> pb"), "unsure"))
+    merged = materialize(components(held.select(F.col("pa").alias("a"), F.col("pb").alias("b"))), "merged")
+    nodes = parts.unionByName(merged.select("node", F.col("node").alias("component"))).distinct()
+    whole = merged.select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    return nodes.join(whole, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
+
+
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
-    found = near_groups(fingerprints(table(spark, sf_dir, "documents"), 3, (42,)), 2)
+    found = near_groups(fingerprints(table(spark, sf_dir, "documents")), 2)
     return found.select("doc_id", F.lower(F.lpad(F.hex(F.element_at("codes", 1)), 16, "0")).alias("fingerprint"), "component_id")

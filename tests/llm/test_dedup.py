@@ -146,3 +146,51 @@ def test_components_of_chains_stars_and_nothing(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(60)}, 499: 499, 500: 499}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def _family(seed=3):
+    """Documents and copies of them with 0 to 12 words changed."""
+    rng = random.Random(seed)
+    docs = []
+    for _ in range(40):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(80, 250))]
+        for _ in range(6):
+            w = list(base)
+            for _ in range(rng.randint(0, 12)):
+                w[rng.randrange(len(w))] = f"w{rng.randrange(5000)}"
+            docs.append((len(docs), " ".join(w)))
+    # a repeated line must not hide what differs
+    line = "one line that comes again and again "
+    docs += [(len(docs) + i, line * 60 + " ".join(f"w{rng.randrange(5000)}" for _ in range(100))) for i in range(3)]
+    return docs + [(900, ""), (901, None), (902, "a b"), (903, "a b"), (None, docs[0][1])]
+
+
+def _jaccard(a, b, n=5):
+    def sets(text):
+        w = (text or "").split()
+        return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+
+    a, b = sets(a), sets(b)
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+@pytest.mark.parametrize("sure", [-1, 14])
+def test_checked_groups_are_those_of_similar_shingle_sets(spark, sure):
+    docs = _family()
+    frame = spark.createDataFrame(docs, DOCS)
+    codes = simhash.fingerprints(frame, 5, 3, once=True)
+    found = {r.doc_id: r.component_id for r in simhash.near_groups(codes, 6, 39, sure, simhash.exact_check(frame, 5, 0.8)).collect()}
+    texts = {d: t for d, t in docs if d is not None}
+    pairs = [(a, b, _jaccard(texts[a], texts[b])) for a in texts for b in texts if a < b]
+    label, moved = {d: d for d in texts}, True
+    while moved:
+        moved = False
+        for a, b, j in pairs:
+            if j >= 0.8 and label[a] != label[b]:
+                label[a] = label[b] = min(label[a], label[b])
+                moved = True
+    assert all(label[found[d]] == label[d] for d in texts)  # no two documents share a group without links that hold
+    assert found[None] == found[0] and found[900] == found[901] == 900 and found[902] == found[903] == 902
+    linked = [j for a, b, j in pairs if j >= 0.8 and found[a] == found[b]]
+    assert len(linked) >= 0.9 * sum(j >= 0.8 for *_, j in pairs)
+    assert all(found[a] == found[b] for a, b, j in pairs if j >= 0.9)
