@@ -17,8 +17,8 @@ from strandlake.llm.common import materialize, table
 
 #: Documents whose main language has a smaller share of their letters go, as do those without letters.
 LEAST_SHARE = 0.3
-#: Near copies: five-word shingles, Jaccard similarity from here on; three fingerprints, compared where any of them may be near.
-SHINGLE, SIMILARITY, FINGERPRINTS, RADIUS = 5, 0.8, 3, 6
+#: Near copies: five-word shingles, Jaccard similarity from here on; so many fingerprints, compared where any of them may be near, up to so many bits of it.
+SHINGLE, SIMILARITY, FINGERPRINTS, RADIUS, REACH = 5, 0.8, 16, 4, 14
 #: Standard deviations of the distance at that similarity: so many below it, a pair links at once; up to so many above, its shingle sets decide.
 SURE, UNSURE = -3, 2
 
@@ -42,7 +42,7 @@ def differing_bits(similarity: float, bits: int, deviations: float) -> int:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     codes = simhash.fingerprints(docs, SHINGLE, FINGERPRINTS, once=True)
     sure, limit = (differing_bits(SIMILARITY, 64 * FINGERPRINTS, x) for x in (SURE, UNSURE))
-    groups = simhash.near_groups(codes, RADIUS, limit, sure, simhash.exact_check(docs.select("doc_id", "text"), SHINGLE, SIMILARITY))
+    groups = simhash.near_groups(codes, RADIUS, limit, sure, simhash.exact_check(docs.select("doc_id", "text"), SHINGLE, SIMILARITY), REACH)
     seen = materialize(groups.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "groups")
     gone = seen.where("doc_id <> component_id").select("doc_id")
     # a checked size: a million ids are a few dozen megabytes, and spare the shuffle of all texts; more are joined by a shuffle

@@ -70,14 +70,22 @@ def distinct(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return h[new], np.concatenate([[0], np.cumsum(np.bincount(of[new], minlength=len(bounds) - 1))]).astype(np.int64)
 
 
+#: Each byte's bits, one a byte lane, so that one addition counts eight bits; lanes hold sums of up to 255.
+_LANES = sum(((np.arange(256, dtype=np.uint64) >> np.uint64(i)) & np.uint64(1)) << np.uint64(8 * i) for i in range(8))
+
+
 def fold(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Fingerprints: a bit is 1 if set in over half the hashes of a text."""
     n = np.diff(bounds)
     out = np.zeros(len(n), np.uint64)
     some = np.flatnonzero(n)
     if len(some):
-        ones = np.add.reduceat(np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1), bounds[:-1][some], axis=0, dtype=np.int32)
-        out[some] = np.packbits(2 * ones > n[some][:, None], axis=1).view(">u8").ravel()
+        pieces = -(-n[some] // 255)
+        first = np.concatenate([[0], np.cumsum(pieces)[:-1]])
+        cuts = np.repeat(bounds[:-1][some] - 255 * first, pieces) + 255 * np.arange(pieces.sum())
+        lanes = np.add.reduceat(_LANES[h.astype("<u8").view(np.uint8).reshape(-1, 8)], cuts, axis=0).astype("<u8").view(np.uint8)
+        ones = np.add.reduceat(lanes.reshape(-1, 64), first, axis=0, dtype=np.int32)
+        out[some] = np.packbits(2 * ones > n[some][:, None], axis=1, bitorder="little").view("<u8").ravel()
     return out
 
 
@@ -138,28 +146,33 @@ def exact_check(docs: DataFrame, shingle: int, similarity: float):
     return check
 
 
-def _linker(limit: int, sure: int, kept: np.ndarray, width: int, spread: int):
+def _linker(limit: int, sure: int, kept: np.ndarray, spread: int):
     def link(group: pa.Table) -> pa.Table:
-        """Edges (a, b, d): in each bucket of the group, a spanning forest of the links within the limit, by least distances beyond ``sure``."""
+        """Edges (a, b): in each bucket of the group, a spanning forest of the links within the limit, by least distances beyond ``sure``."""
         rep = group.column("rep").to_numpy()
-        codes = np.column_stack([group.column(f"c{j}").to_numpy() for j in range(width)]).view(np.uint64)
+        code = group.column("code").to_numpy().view(np.uint64)
         table_ = group.column("group").to_numpy() // spread
-        key = codes[np.arange(len(rep)), table_ // len(kept)] & kept[table_ % len(kept)]
-        order = np.lexsort([rep, key, table_])
-        t, k = table_[order], key[order]
-        cut = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (k[1:] != k[:-1]), True])
+        key = code & kept[table_ % len(kept)]
+        order = np.lexsort([rep, code, key, table_])
+        rep, code, t, k = rep[order], code[order], table_[order], key[order]
+        new = np.r_[True, (t[1:] != t[:-1]) | (k[1:] != k[:-1])]
+        head = np.flatnonzero(np.r_[True, new[1:] | (code[1:] != code[:-1])])
+        # equal fingerprints: all to the least id
+        least = np.repeat(head, np.diff(np.r_[head, len(rep)]))
+        same = np.flatnonzero(least != np.arange(len(rep)))
+        a, b = [rep[least[same]]], [rep[same]]
+        rep, code = rep[head], code[head]
+        cut = np.r_[np.flatnonzero(new[head]), len(head)]
         size = np.diff(cut)
-        a, b, d = [], [], []
 
-        def add(left, right, distance):
-            a.append(rep[left]), b.append(rep[right]), d.append(distance)
+        def add(left, right):
+            a.append(rep[left]), b.append(rep[right])
 
         two = cut[:-1][size == 2]
-        i, j = order[two], order[two + 1]
-        apart = np.bitwise_count(codes[i] ^ codes[j]).sum(axis=1, dtype=np.int64)
-        add(i[apart <= limit], j[apart <= limit], apart[apart <= limit])
+        two = two[np.bitwise_count(code[two] ^ code[two + 1]) <= limit]
+        add(two, two + 1)
         for at, n in zip(cut[:-1][size > 2].tolist(), size[size > 2].tolist()):
-            rest = order[at : at + n]
+            rest = np.arange(at, at + n)
             best, by = np.full(n, limit + 1, np.int64), np.zeros(n, np.int64)
             queue = []
             while len(rest):
@@ -169,57 +182,69 @@ def _linker(limit: int, sure: int, kept: np.ndarray, width: int, spread: int):
                     nearest = int(best.argmin())
                     x = rest[nearest]
                     if best[nearest] <= limit:
-                        add(by[nearest : nearest + 1], rest[nearest : nearest + 1], best[nearest : nearest + 1])
+                        add(by[nearest : nearest + 1], rest[nearest : nearest + 1])
                     rest, best, by = np.delete(rest, nearest), np.delete(best, nearest), np.delete(by, nearest)
                     if not len(rest):
                         break
-                apart = np.bitwise_count(codes[rest] ^ codes[x]).sum(axis=1, dtype=np.int64)
+                apart = np.bitwise_count(code[rest] ^ code[x])
                 hit = apart <= sure
                 if hit.any():
                     found = rest[hit]
-                    add(np.full(len(found), x), found, apart[hit])
+                    add(np.full(len(found), x), found)
                     queue += found.tolist()
                     rest, best, by, apart = rest[~hit], best[~hit], by[~hit], apart[~hit]
                 if sure < limit:
                     closer = apart < best
                     best[closer], by[closer] = apart[closer], x
-        edges = np.unique(np.column_stack([np.concatenate(a), np.concatenate(b), np.concatenate(d)]), axis=0)
-        return pa.table({"a": pa.array(edges[:, 0], pa.int64()), "b": pa.array(edges[:, 1], pa.int64()), "d": pa.array(edges[:, 2], pa.int64())})
+        edges = np.unique(np.column_stack([np.concatenate(a), np.concatenate(b)]), axis=0)
+        return pa.table({"a": pa.array(edges[:, 0], pa.int64()), "b": pa.array(edges[:, 1], pa.int64())})
 
     return link
 
 
-def near_groups(codes: DataFrame, radius: int = 2, limit: int | None = None, sure: int | None = None, check=None) -> DataFrame:
+def near_groups(codes: DataFrame, radius: int = 2, limit: int | None = None, sure: int | None = None, check=None, reach: int | None = None) -> DataFrame:
     """(doc_id, codes, component_id) for rows of ``fingerprints``.
 
-    Fingerprints link if their differing bits, over all of a document's together, are at most ``limit`` (the radius unless given); pairs
-    within ``radius`` of each other under any one of them are sure to be compared. With ``check`` only distances up to ``sure`` link at
-    once; it is given edges (a, b, ...) between the groups so far, at larger distances up to ``limit``, and returns those that hold."""
+    Without ``check``, documents of one fingerprint each link at ``limit`` (the radius unless given) or fewer differing bits. With it, pairs within
+    ``radius`` of each other under any one of their fingerprints are sure to share a bucket; buckets are spanned by links up to
+    ``reach`` bits (``limit`` unless given) of that one, and of these the differing bits over all fingerprints together decide: up to ``sure``
+    they link at once; up to ``limit`` the check is given edges (a, b) between the groups so far, and returns those that hold."""
     codes = materialize(codes, "codes")
     classes = codes.groupBy("codes").agg(F.min("doc_id").alias("rep"))
     named = classes.where("rep is not null")
     n, width = codes.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("codes")), F.lit(1))).first()
     kept = masks(radius)
-    # a row goes to a group of its table's buckets by the bits that the table keeps; table and key follow from group and codes
+    # a row goes to a group of its table's buckets by the bits that the table keeps; table and key follow from group and code
     spread = max(1, -(-n // GROUP_ROWS))
-    slim = named.select("rep", "codes", F.explode(F.sequence(F.lit(0), F.lit(width * len(kept) - 1))).alias("table"))
-    own = F.element_at("codes", (F.floor(F.col("table") / len(kept)) + 1).cast("int"))
-    mask = F.element_at(F.array(*[F.lit(m) for m in kept.astype(np.int64).tolist()]), F.col("table") % len(kept) + 1)
-    group = F.pmod(F.xxhash64(own.bitwiseAND(mask)), F.lit(spread)) + F.col("table") * spread
-    placed = slim.select("rep", *[F.element_at("codes", j + 1).alias(f"c{j}") for j in range(width)], group.alias("group"))
+    slim = named.select("rep", F.posexplode("codes").alias("at", "code")).select("rep", "at", "code", F.explode(F.sequence(F.lit(0), F.lit(len(kept) - 1))).alias("table"))
+    mask = F.element_at(F.array(*[F.lit(m) for m in kept.astype(np.int64).tolist()]), F.col("table") + 1)
+    group = F.pmod(F.xxhash64(F.col("code").bitwiseAND(mask)), F.lit(spread)) + (F.col("at").cast("long") * len(kept) + F.col("table")) * spread
+    placed = slim.select("rep", "code", group.alias("group"))
     limit = radius if limit is None else limit
-    sure = limit if check is None else sure
-    edges = placed.groupBy("group").applyInArrow(_linker(limit, sure, kept, width, spread), "a long, b long, d long")
+    reach = limit if reach is None else reach
+    near = reach if check is None else 0
+    edges = placed.groupBy("group").applyInArrow(_linker(reach, near, kept, spread), "a long, b long")
     if check is None:
         parts = components(edges)
     else:
-        edges = materialize(edges.distinct(), "edges")
+        edges = materialize(_distances(materialize(edges.distinct(), "pairs"), named, width).where(F.col("d") <= limit), "edges")
         parts = materialize(components(edges.where(F.col("d") <= sure)), "parts")
         parts = _merged(parts, edges.where(F.col("d") > sure).select("a", "b"), check)
     named = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("codes").alias("of"), F.coalesce("component", "rep").alias("component_id"))
     return codes.join(named, codes.codes == named.of, "left").select("doc_id", "codes", "component_id")
 
 
+def _distances(edges: DataFrame, named: DataFrame, width: int) -> DataFrame:
+    """(a, b, d): the differing bits of all fingerprints of both ends."""
+    named = materialize(named, "named")
+
+    def end(name):
+        return named.select(F.col("rep").alias(name), F.col("codes").alias(f"codes_{name}"))
+
+    apart = sum((F.bit_count(F.element_at("codes_a", j).bitwiseXOR(F.element_at("codes_b", j))) for j in range(1, width + 1)), F.lit(0))
+    return edges.join(end("a"), "a").join(end("b"), "b").select("a", "b", apart.alias("d"))
+
+
 def _merged(parts: DataFrame, edges: DataFrame, check) -> DataFrame:
     """``parts`` (node, component) after merging along the edges between different parts that the check keeps."""
 

@@ -10,6 +10,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+import corpus_pipeline
 from strandlake.llm import simhash, suffix_dedup
 from strandlake.llm.components import components
 
@@ -121,6 +122,16 @@ def test_fingerprints_and_components_match_brute_force(spark, radius):
     assert {r.doc_id: r.component_id for r in rows} == _components(prints, radius)
 
 
+def test_fold_counts_bits_of_texts_of_any_length():
+    rng = np.random.default_rng(8)
+    sizes = [0, 1, 2, 254, 255, 256, 510, 511, 0, 5000, 3, 0]
+    h = rng.integers(0, 1 << 64, sum(sizes), dtype=np.uint64)
+    h[: sum(sizes[:5])] = np.uint64(2**64 - 1)
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    want = [sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h[s:e].tolist()) > e - s) for s, e in zip(bounds[:-1], bounds[1:])]
+    assert simhash.fold(h, bounds).tolist() == want
+
+
 def test_masks_cover_every_pair_within_the_radius():
     rng = random.Random(5)
     for radius in (1, 2, 3):
@@ -174,6 +185,16 @@ def _jaccard(a, b, n=5):
     return len(a & b) / len(a | b) if a | b else 1.0
 
 
+def test_the_pipeline_drops_all_similar_copies(spark):
+    docs = [d for d in _family(9) if d[0] is not None]
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(docs, DOCS), "").collect()}
+    texts = dict(docs)
+    best = {b: max((_jaccard(texts[a], texts[b]) for a in texts if a < b), default=0.0) for b in texts}
+    copies = [d for d in texts if best[d] >= 0.8]
+    assert sum(d not in kept for d in copies) >= 0.95 * len(copies)
+    assert all(d in kept for d in texts if max(_jaccard(texts[a], texts[d]) for a in texts if a != d) < 0.8)
+
+
 @pytest.mark.parametrize("sure", [-1, 14])
 def test_checked_groups_are_those_of_similar_shingle_sets(spark, sure):
     docs = _family()
