@@ -5,7 +5,7 @@ bits whose vector is not orthogonal to v. The vectors of at most ``radius`` diff
 orthogonal to all of them and its table keeps none of those bits: every pair within the radius collides somewhere.
 
 Distinct fingerprints (not documents) enter the tables. Within a bucket, links are found by breadth-first search over unvisited
-members, which yields one edge a member and never a list of all pairs; the components of the edges are those of all links.
+members, which yields at most one edge a member and never a list of all pairs; the components of the edges are those of all links.
 Where fingerprints only estimate a similarity, distances up to ``sure`` link at once; the groups so found are joined by a least spanning
 forest over distances up to ``limit``, whose edges an exact check on shingle sets then keeps or drops.
 Documents without words have fingerprint zero. Null ids take part as copies, but name no component while another id is there.
@@ -148,7 +148,9 @@ def exact_check(docs: DataFrame, shingle: int, similarity: float):
 
 def _linker(limit: int, sure: int, kept: np.ndarray, spread: int):
     def link(group: pa.Table) -> pa.Table:
-        """Edges (a, b): in each bucket of the group, a spanning forest of the links within the limit, by least distances beyond ``sure``."""
+        """Edges (a, b): in each bucket of the group, a spanning forest of the links within the limit, by least distances beyond ``sure``.
+
+        An edge whose ends share a bucket of an earlier table too is left out: that bucket's forest joins them by edges no longer than it."""
         rep = group.column("rep").to_numpy()
         code = group.column("code").to_numpy().view(np.uint64)
         table_ = group.column("group").to_numpy() // spread
@@ -160,13 +162,16 @@ def _linker(limit: int, sure: int, kept: np.ndarray, spread: int):
         # equal fingerprints: all to the least id
         least = np.repeat(head, np.diff(np.r_[head, len(rep)]))
         same = np.flatnonzero(least != np.arange(len(rep)))
-        a, b = [rep[least[same]]], [rep[same]]
-        rep, code = rep[head], code[head]
+        same = same[t[same] % len(kept) == 0]
+        originals, copies = rep[least[same]], rep[same]
+        rep, code, t = rep[head], code[head], t[head] % len(kept)
         cut = np.r_[np.flatnonzero(new[head]), len(head)]
         size = np.diff(cut)
 
+        lefts, rights = [], []
+
         def add(left, right):
-            a.append(rep[left]), b.append(rep[right])
+            lefts.append(left), rights.append(right)
 
         two = cut[:-1][size == 2]
         two = two[np.bitwise_count(code[two] ^ code[two + 1]) <= limit]
@@ -196,7 +201,11 @@ def _linker(limit: int, sure: int, kept: np.ndarray, spread: int):
                 if sure < limit:
                     closer = apart < best
                     best[closer], by[closer] = apart[closer], x
-        edges = np.unique(np.column_stack([np.concatenate(a), np.concatenate(b)]), axis=0)
+        left, right = np.concatenate(lefts), np.concatenate(rights)
+        apart, early = code[left] ^ code[right], np.zeros(len(left), bool)
+        for u in range(int(t.max()) if len(left) else 0):
+            early |= (apart & kept[u] == 0) & (u < t[left])
+        edges = np.unique(np.column_stack([np.r_[originals, rep[left[~early]]], np.r_[copies, rep[right[~early]]]]), axis=0)
         return pa.table({"a": pa.array(edges[:, 0], pa.int64()), "b": pa.array(edges[:, 1], pa.int64())})
 
     return link
