@@ -6,8 +6,8 @@ orthogonal to all of them and its table keeps none of those bits: every pair wit
 
 Distinct fingerprints (not documents) enter the tables. Within a bucket, links are found by breadth-first search over unvisited
 members, which yields at most one edge a member and never a list of all pairs; the components of the edges are those of all links.
-Where fingerprints only estimate a similarity, distances up to ``sure`` link at once; the groups so found are joined by a least spanning
-forest over distances up to ``limit``, whose edges an exact check on shingle sets then keeps or drops.
+Where fingerprints only estimate a similarity, those components are families: every pair in one is compared, by all its fingerprints and
+where these leave it open by its shingle sets, in tasks of bounded size that return a spanning forest of the links that hold.
 Documents without words have fingerprint zero. Null ids take part as copies, but name no component while another id is there.
 """
 
@@ -24,6 +24,10 @@ from .components import components
 
 #: Rows of the tables that one group of buckets gets, on average.
 GROUP_ROWS = 300_000
+#: Most members of a family in one block; larger families are compared by pairs of blocks. Members in a task, on average.
+BLOCK, TASK_ROWS = 2_048, 4_096
+#: Most documents whose table rows are encoded together.
+CHUNK = 1 << 15
 #: Most ids that are broadcast to fetch texts for the exact check; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Seed of the shingles' XXH64.
@@ -110,50 +114,151 @@ def fingerprints(docs: DataFrame, shingle: int = 3, width: int = 1, once: bool =
     return slim.mapInArrow(compute, "doc_id long, codes array<long>")
 
 
-def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, size, shingles): the distinct shingles of each text, as 32 bits of their hashes."""
+def shingle_sets(docs: DataFrame, shingle: int, width: int) -> DataFrame:
+    """(doc_id, codes, shingles): fingerprints over the distinct shingles of each text, and these as 32 bits of their hashes."""
 
     def compute(batches):
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                h, bounds = shingle_hashes(part.column("text"), shingle, SEED)
+                h, bounds = distinct(*shingle_hashes(part.column("text"), shingle, SEED))
+                codes = np.column_stack([fold(mix64(h + np.uint64(j)) if j else h, bounds) for j in range(width)])
+                prints = pa.ListArray.from_arrays(pa.array(np.arange(0, codes.size + 1, width), pa.int32()), pa.array(codes.view(np.int64).ravel()))
                 h, bounds = distinct(h & np.uint64(0xFFFFFFFF), bounds)
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(h.astype(np.uint32).view(np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(bounds), pa.int32()), lists], ["doc_id", "size", "shingles"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(compute, "doc_id long, size int, shingles array<int>")
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), prints, lists], ["doc_id", "codes", "shingles"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(compute, "doc_id long, codes array<long>, shingles array<int>")
+
+
+def _lists(column) -> tuple[np.ndarray, np.ndarray]:
+    """Values and offsets of a list column without nulls."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))].astype(np.int64)
+
+
+def spanned(codes: np.ndarray, values: np.ndarray, bounds: np.ndarray, limit: int, sure: int, similarity: float) -> list:
+    """A spanning forest (pairs of positions) of all links among some documents, by breadth-first search over unvisited ones.
+
+    Two link at up to ``sure`` differing bits, and at up to ``limit`` if their sets (``values`` within ``bounds``) are similar enough."""
+    size = np.diff(bounds)
+    names, values = np.unique(values, return_inverse=True)
+    mark = np.zeros(len(names), bool)
+    edges, queue, rest = [], [], np.arange(len(codes))
+    while len(rest):
+        if queue:
+            x = queue.pop()
+        else:
+            x, rest = rest[0], rest[1:]
+        apart = np.bitwise_count(codes[rest] ^ codes[x]).sum(axis=1, dtype=np.int64)
+        hit = apart <= sure
+        open_ = np.flatnonzero(~hit & (apart <= limit) & (np.minimum(size[rest], size[x]) >= similarity * np.maximum(size[rest], size[x])))
+        if len(open_):
+            y = rest[open_]
+            own = values[bounds[x] : bounds[x + 1]]
+            mark[own] = True
+            first = np.cumsum(size[y]) - size[y]
+            found = np.r_[0, np.cumsum(mark[values[np.repeat(bounds[y] - first, size[y]) + np.arange(size[y].sum())]])]
+            mark[own] = False
+            both = found[first + size[y]] - found[first]
+            hit[open_] = both >= similarity * (size[x] + size[y] - both)
+        if hit.any():
+            found = rest[hit]
+            edges += [(x, y) for y in found.tolist()]
+            queue += found.tolist()
+            rest = rest[~hit]
+    return edges
 
 
 def exact_check(docs: DataFrame, shingle: int, similarity: float):
-    """A check for ``near_groups``: keeps the edges (a, b, ...) between documents whose sets of shingles have at least this Jaccard similarity.
+    """A check for ``near_groups``: edges (a, b) that span, in each family (node, component), the links between all its documents.
+
+    Documents link at up to ``sure`` differing bits of ``width`` fingerprints over distinct shingles, and at up to ``limit`` if their sets of
+    shingles have at least this Jaccard similarity. Rows that share a doc_id count as that document, each of them."""
+
+    def check(families: DataFrame, width: int, limit: int, sure: int) -> DataFrame:
+        sizes = families.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
+        members = families.join(sizes, "component").withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        members = members.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("i <> j or blocks = 1")
+        members = materialize(members.select(F.col("node").alias("doc_id"), F.xxhash64("component", F.least("i", "j"), F.greatest("i", "j")).alias("unit")), "members")
+        n = members.count()
+        ids = members.select("doc_id").distinct()
+        few = n <= BROADCAST_IDS
+        sets = shingle_sets(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"), shingle, width)
+        placed = sets.join(F.broadcast(members) if few else members, "doc_id").withColumn("task", F.pmod("unit", F.lit(-(-n // TASK_ROWS) or 1)))
+
+        def link(group: pa.Table) -> pa.Table:
+            group = group.sort_by("unit")
+            ids, unit = group.column("doc_id").to_numpy(), group.column("unit").to_numpy()
+            codes = _lists(group.column("codes"))[0].view(np.uint64).reshape(-1, width)
+            values, bounds = _lists(group.column("shingles"))
+            cut = np.r_[0, np.flatnonzero(unit[1:] != unit[:-1]) + 1, len(unit)]
+            edges = []
+            for s, e in zip(cut[:-1].tolist(), cut[1:].tolist()):
+                edges += [(s + x, s + y) for x, y in spanned(codes[s:e], values[bounds[s] : bounds[e]], bounds[s : e + 1] - bounds[s], limit, sure, similarity)]
+            ends = ids[np.array(edges, np.int64).reshape(-1, 2)]
+            return pa.table({"a": pa.array(ends[:, 0], pa.int64()), "b": pa.array(ends[:, 1], pa.int64())})
+
+        return placed.select("task", "unit", "doc_id", "codes", "shingles").groupBy("task").applyInArrow(link, "a long, b long")
 
-    Rows that share a doc_id count as that document, each of them."""
+    return check
 
-    def check(edges: DataFrame) -> DataFrame:
-        ids = materialize(edges.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ends")
-        few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-        sets = materialize(shingle_sets(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"), shingle), "sets")
 
-        def end(name, *columns):
-            return sets.select(F.col("doc_id").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
+def _encoded(rep: np.ndarray, code: np.ndarray) -> bytes:
+    """Rows of a table, by rep: differences of reps by byte planes, which are mostly zero and compress, then the fingerprints."""
+    rep = rep.view(np.uint64)
+    step = np.r_[rep[:1], rep[1:] - rep[:-1]]
+    return np.ascontiguousarray(step.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes() + code.astype("<u8").tobytes()
 
-        # sizes first: sets travel only for pairs that can be similar enough
-        sized = edges.join(end("a", "size"), "a").join(end("b", "size"), "b").where(F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b"))
-        pairs = sized.select(edges.columns).distinct().join(end("a", "size", "shingles"), "a").join(end("b", "size", "shingles"), "b")
-        both = F.size(F.array_intersect("shingles_a", "shingles_b"))
-        return pairs.where(both >= similarity * (F.col("size_a") + F.col("size_b") - both)).select(edges.columns).distinct()
 
-    return check
+def _decoded(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(blob, np.uint8)
+    n = len(raw) // 16
+    step = np.ascontiguousarray(raw[: 8 * n].reshape(8, n).T).view("<u8").ravel()
+    return np.cumsum(step, dtype=np.uint64).view(np.int64), raw[8 * n :].view("<u8")
 
 
-def _linker(limit: int, sure: int, kept: np.ndarray, spread: int):
+def table_rows(named: DataFrame, kept: np.ndarray, spread: int) -> DataFrame:
+    """(group, rows): all rows of the tables, encoded. A row goes to a group of its table's buckets by the bits that the table keeps; table
+    and key follow from group and code."""
+
+    def place(batches):
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= CHUNK:
+                yield from emit(pa.Table.from_batches(held))
+                held, size = [], 0
+        if size:
+            yield from emit(pa.Table.from_batches(held))
+
+    def emit(chunk):
+        chunk = chunk.sort_by("rep")
+        rep = chunk.column("rep").to_numpy()
+        codes = _lists(chunk.column("codes"))[0].view(np.uint64).reshape(len(rep), -1)
+        for at in range(codes.shape[1]):
+            code, groups, blobs = np.ascontiguousarray(codes[:, at]), [], []
+            for v, mask in enumerate(kept):
+                slot = (mix64(code & mask) % np.uint64(spread)).astype(np.int64)
+                order = np.argsort(slot, kind="stable")
+                cut = np.r_[0, np.flatnonzero(np.diff(slot[order])) + 1, len(order)]
+                for s, e in zip(cut[:-1].tolist(), cut[1:].tolist()):
+                    groups.append((at * len(kept) + v) * spread + int(slot[order[s]]))
+                    blobs.append(_encoded(rep[order[s:e]], code[order[s:e]]))
+            yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int64()), pa.array(blobs, pa.binary())], ["group", "rows"])
+
+    return named.select("rep", "codes").mapInArrow(place, "group long, rows binary")
+
+
+def _linker(limit: int, kept: np.ndarray, spread: int):
     def link(group: pa.Table) -> pa.Table:
-        """Edges (a, b): in each bucket of the group, a spanning forest of the links within the limit, by least distances beyond ``sure``.
+        """Edges (a, b): in each bucket of the group, a spanning forest of the links within the limit.
 
-        An edge whose ends share a bucket of an earlier table too is left out: that bucket's forest joins them by edges no longer than it."""
-        rep = group.column("rep").to_numpy()
-        code = group.column("code").to_numpy().view(np.uint64)
-        table_ = group.column("group").to_numpy() // spread
+        An edge whose ends share a bucket of an earlier table too is left out: that bucket's forest joins them. Edges are thus good for
+        components alone; a pair without an edge may well be a link."""
+        parts = [_decoded(x) for x in group.column("rows").to_pylist()]
+        rep, code = np.concatenate([r for r, _ in parts]), np.concatenate([c for _, c in parts])
+        table_ = np.repeat(group.column("group").to_numpy() // spread, [len(r) for r, _ in parts])
         key = code & kept[table_ % len(kept)]
         order = np.lexsort([rep, code, key, table_])
         rep, code, t, k = rep[order], code[order], table_[order], key[order]
@@ -177,30 +282,18 @@ def _linker(limit: int, sure: int, kept: np.ndarray, spread: int):
         two = two[np.bitwise_count(code[two] ^ code[two + 1]) <= limit]
         add(two, two + 1)
         for at, n in zip(cut[:-1][size > 2].tolist(), size[size > 2].tolist()):
-            rest = np.arange(at, at + n)
-            best, by = np.full(n, limit + 1, np.int64), np.zeros(n, np.int64)
-            queue = []
+            rest, queue = np.arange(at, at + n), []
             while len(rest):
                 if queue:
                     x = queue.pop()
-                else:  # the nearest to what has been reached; none within the limit: the next tree begins
-                    nearest = int(best.argmin())
-                    x = rest[nearest]
-                    if best[nearest] <= limit:
-                        add(by[nearest : nearest + 1], rest[nearest : nearest + 1])
-                    rest, best, by = np.delete(rest, nearest), np.delete(best, nearest), np.delete(by, nearest)
-                    if not len(rest):
-                        break
-                apart = np.bitwise_count(code[rest] ^ code[x])
-                hit = apart <= sure
+                else:
+                    x, rest = rest[0], rest[1:]
+                hit = np.bitwise_count(code[rest] ^ code[x]) <= limit
                 if hit.any():
                     found = rest[hit]
                     add(np.full(len(found), x), found)
                     queue += found.tolist()
-                    rest, best, by, apart = rest[~hit], best[~hit], by[~hit], apart[~hit]
-                if sure < limit:
-                    closer = apart < best
-                    best[closer], by[closer] = apart[closer], x
+                    rest = rest[~hit]
         left, right = np.concatenate(lefts), np.concatenate(rights)
         apart, early = code[left] ^ code[right], np.zeros(len(left), bool)
         for u in range(int(t.max()) if len(left) else 0):
@@ -215,59 +308,24 @@ def near_groups(codes: DataFrame, radius: int = 2, limit: int | None = None, sur
     """(doc_id, codes, component_id) for rows of ``fingerprints``.
 
     Without ``check``, documents of one fingerprint each link at ``limit`` (the radius unless given) or fewer differing bits. With it, pairs within
-    ``radius`` of each other under any one of their fingerprints are sure to share a bucket; buckets are spanned by links up to
-    ``reach`` bits (``limit`` unless given) of that one, and of these the differing bits over all fingerprints together decide: up to ``sure``
-    they link at once; up to ``limit`` the check is given edges (a, b) between the groups so far, and returns those that hold."""
+    ``radius`` of each other under any one of their fingerprints are sure to share a bucket; pairs in a bucket within ``reach`` bits (``limit``
+    unless given) of that one join families, and the check is given these (node, component) with the number of fingerprints, ``limit`` and
+    ``sure``: it decides all pairs in a family, up to ``sure`` differing bits of all fingerprints at once and up to ``limit`` by texts."""
     codes = materialize(codes, "codes")
     classes = codes.groupBy("codes").agg(F.min("doc_id").alias("rep"))
-    named = classes.where("rep is not null")
     n, width = codes.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("codes")), F.lit(1))).first()
     kept = masks(radius)
-    # a row goes to a group of its table's buckets by the bits that the table keeps; table and key follow from group and code
     spread = max(1, -(-n // GROUP_ROWS))
-    slim = named.select("rep", F.posexplode("codes").alias("at", "code")).select("rep", "at", "code", F.explode(F.sequence(F.lit(0), F.lit(len(kept) - 1))).alias("table"))
-    mask = F.element_at(F.array(*[F.lit(m) for m in kept.astype(np.int64).tolist()]), F.col("table") + 1)
-    group = F.pmod(F.xxhash64(F.col("code").bitwiseAND(mask)), F.lit(spread)) + (F.col("at").cast("long") * len(kept) + F.col("table")) * spread
-    placed = slim.select("rep", "code", group.alias("group"))
     limit = radius if limit is None else limit
     reach = limit if reach is None else reach
-    near = reach if check is None else 0
-    edges = placed.groupBy("group").applyInArrow(_linker(reach, near, kept, spread), "a long, b long")
-    if check is None:
-        parts = components(edges)
-    else:
-        edges = materialize(_distances(materialize(edges.distinct(), "pairs"), named, width).where(F.col("d") <= limit), "edges")
-        parts = materialize(components(edges.where(F.col("d") <= sure)), "parts")
-        parts = _merged(parts, edges.where(F.col("d") > sure).select("a", "b"), check)
+    edges = table_rows(classes.where("rep is not null"), kept, spread).groupBy("group").applyInArrow(_linker(reach, kept, spread), "a long, b long")
+    parts = components(edges)
+    if check is not None:
+        parts = components(check(materialize(parts, "families"), width, limit, sure))
     named = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("codes").alias("of"), F.coalesce("component", "rep").alias("component_id"))
     return codes.join(named, codes.codes == named.of, "left").select("doc_id", "codes", "component_id")
 
 
-def _distances(edges: DataFrame, named: DataFrame, width: int) -> DataFrame:
-    """(a, b, d): the differing bits of all fingerprints of both ends."""
-    named = materialize(named, "named")
-
-    def end(name):
-        return named.select(F.col("rep").alias(name), F.col("codes").alias(f"codes_{name}"))
-
-    apart = sum((F.bit_count(F.element_at("codes_a", j).bitwiseXOR(F.element_at("codes_b", j))) for j in range(1, width + 1)), F.lit(0))
-    return edges.join(end("a"), "a").join(end("b"), "b").select("a", "b", apart.alias("d"))
-
-
-def _merged(parts: DataFrame, edges: DataFrame, check) -> DataFrame:
-    """``parts`` (node, component) after merging along the edges between different parts that the check keeps."""
-
-    def part_of(name):
-        return parts.select(F.col("node").alias(name), F.col("component").alias(f"part_{name}"))
-
-    ends = edges.join(part_of("a"), "a", "left").join(part_of("b"), "b", "left").select("a", "b", F.coalesce("part_a", "a").alias("pa"), F.coalesce("part_b", "b").alias("pb"))
-    held = check(materialize(ends.where("pa <> pb"), "unsure"))
-    merged = materialize(components(held.select(F.col("pa").alias("a"), F.col("pb").alias("b"))), "merged")
-    nodes = parts.unionByName(merged.select("node", F.col("node").alias("component"))).distinct()
-    whole = merged.select(F.col("node").alias("component"), F.col("component").alias("whole"))
-    return nodes.join(whole, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
-
-
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
     found = near_groups(fingerprints(table(spark, sf_dir, "documents")), 2)
     return found.select("doc_id", F.lower(F.lpad(F.hex(F.element_at("codes", 1)), 16, "0")).alias("fingerprint"), "component_id")

@@ -215,3 +215,22 @@ def test_checked_groups_are_those_of_similar_shingle_sets(spark, sure):
     linked = [j for a, b, j in pairs if j >= 0.8 and found[a] == found[b]]
     assert len(linked) >= 0.9 * sum(j >= 0.8 for *_, j in pairs)
     assert all(found[a] == found[b] for a, b, j in pairs if j >= 0.9)
+
+
+def test_links_beside_refused_pairs_of_a_family_are_found(spark):
+    """A family at 0.6 to 0.75 that holds true pairs: what joins the family is refused, its links must still be found."""
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(50000)}" for _ in range(300)]
+    docs = []
+    for i in range(150):
+        own = [x if (k + 7) % 300 < 246 else f"v{rng.randrange(10**9)}" for k, x in enumerate(base)]
+        docs.append((i, " ".join(own)))
+        if i % 3 == 0:
+            at = rng.randrange(20, 220)
+            docs.append((1000 + i, " ".join(own[:at] + [f"u{rng.randrange(10**9)}" for _ in range(24)] + own[at + 24 :])))
+    texts = dict(docs)
+    pairs = [(i, 1000 + i) for i in range(0, 150, 3) if _jaccard(texts[i], texts[1000 + i]) >= 0.8]
+    others = [_jaccard(texts[a], texts[b]) for a in range(0, 30) for b in range(a)]
+    assert len(pairs) == 50 and 0.6 < min(others) and max(others) < 0.78
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(docs, DOCS), "").collect()}
+    assert kept == set(range(150))
