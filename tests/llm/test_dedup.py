@@ -234,3 +234,20 @@ def test_links_beside_refused_pairs_of_a_family_are_found(spark):
     assert len(pairs) == 50 and 0.6 < min(others) and max(others) < 0.78
     kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(docs, DOCS), "").collect()}
     assert kept == set(range(150))
+
+
+def test_an_edge_left_to_an_earlier_table_is_still_checked(spark):
+    """x and y share the buckets of two tables, the first with z between them: their direct edge is left out, the pair is not."""
+    kept = [int(m) for m in simhash.masks(2)]
+    both = [b for b in range(64) if not (kept[0] | kept[1]) >> b & 1][:6]
+    only = next(b for b in range(64) if kept[1] >> b & 1 and not kept[0] >> b & 1)
+    y = sum(1 << b for b in both)
+    z = sum(1 << b for b in both[:3]) | 1 << only
+    codes = spark.createDataFrame([(i, [c - (1 << 64) if c >> 63 else c]) for i, c in enumerate([0, y, z])], "doc_id long, codes array<long>")
+
+    def check(pairs, *_):
+        """Only x and y hold, if they are compared."""
+        of = {r.node: r.component for r in pairs.collect()}
+        return spark.createDataFrame([(0, 1)] if of.get(0, -1) == of.get(1, -2) else [], "a long, b long")
+
+    assert {r.doc_id: r.component_id for r in simhash.near_groups(codes, 2, 64, -1, check, 14).collect()} == {0: 0, 1: 0, 2: 2}
