@@ -18,9 +18,10 @@ from strandlake.llm.common import materialize, table
 #: Documents whose main language has a smaller share of their letters go, as do those without letters.
 LEAST_SHARE = 0.3
 #: Near copies: five-word shingles, Jaccard similarity from here on; so many fingerprints, compared where any of them may be near, up to so many bits of it.
-SHINGLE, SIMILARITY, FINGERPRINTS, RADIUS, REACH = 5, 0.8, 14, 4, 14
+SHINGLE, SIMILARITY, FINGERPRINTS, RADIUS, REACH = 5, 0.8, 20, 4, 14
 #: Standard deviations of the distance at that similarity: so many below it, a pair links at once; up to so many above, its shingle sets decide.
-SURE, UNSURE = -3, 2
+#: Both leave practically no pair on the wrong side: they spare checks and decide nothing that is near the similarity.
+SURE, UNSURE = -3, 6
 
 #: Most ids of dropped copies that are broadcast.
 BROADCAST_IDS = 1_000_000

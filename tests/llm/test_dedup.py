@@ -251,3 +251,17 @@ def test_an_edge_left_to_an_earlier_table_is_still_checked(spark):
         return spark.createDataFrame([(0, 1)] if of.get(0, -1) == of.get(1, -2) else [], "a long, b long")
 
     assert {r.doc_id: r.component_id for r in simhash.near_groups(codes, 2, 64, -1, check, 14).collect()} == {0: 0, 1: 0, 2: 2}
+
+
+def test_isolated_pairs_just_above_the_similarity_are_found(spark):
+    rng = random.Random(21)
+    docs = []
+    for i in range(400):
+        w = [f"w{rng.randrange(10**9)}" for _ in range(200)]
+        at = rng.randrange(10, 170)
+        docs += [(i, " ".join(w)), (1000 + i, " ".join(w[:at] + [f"u{rng.randrange(10**9)}" for _ in range(17)] + w[at + 17 :]))]
+    texts = dict(docs)
+    assert all(0.8 <= _jaccard(texts[i], texts[1000 + i]) < 0.81 for i in range(400))
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(docs, DOCS), "").collect()}
+    print("kept", len(kept))
+    assert kept >= set(range(400)) and len(kept) <= 400 + 0.08 * 400
