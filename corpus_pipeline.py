@@ -21,7 +21,7 @@ LEAST_SHARE = 0.3
 SHINGLE, SIMILARITY, FINGERPRINTS, RADIUS, REACH = 5, 0.8, 20, 4, 14
 #: Standard deviations of the distance at that similarity: so many below it, a pair links at once; up to so many above, its shingle sets decide.
 #: Both leave practically no pair on the wrong side: they spare checks and decide nothing that is near the similarity.
-SURE, UNSURE = -3, 6
+SURE, UNSURE = -6, 6
 
 #: Most ids of dropped copies that are broadcast.
 BROADCAST_IDS = 1_000_000

@@ -265,3 +265,10 @@ def test_isolated_pairs_just_above_the_similarity_are_found(spark):
     kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(docs, DOCS), "").collect()}
     print("kept", len(kept))
     assert kept >= set(range(400)) and len(kept) <= 400 + 0.08 * 400
+
+
+def test_no_pair_below_the_similarity_links_unchecked():
+    bits = 64 * corpus_pipeline.FINGERPRINTS
+    mean, one = (corpus_pipeline.differing_bits(0.79, bits, x) for x in (0, 1))
+    sure = corpus_pipeline.differing_bits(corpus_pipeline.SIMILARITY, bits, corpus_pipeline.SURE)
+    assert sure <= mean - 5 * (one - mean)
