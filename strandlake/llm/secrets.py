@@ -2,8 +2,9 @@
 
 Everything is a SQL expression. Positions of the n-th match come from the pieces between matches (``split``) and the matches
 (``regexp_extract_all``): a running sum over both within a row gives code-point offsets in linear time. Weak parts - identifiers,
-opaque strings and endpoints - are reported only if a complementary part starts or ends within ``scope`` code points: an interval
-self-join on position, done as a RANGE window, so that a text with many parts makes no pairs.
+opaque strings and endpoints - are reported only if at most ``scope`` code points lie between them and a complementary part, of
+whatever length: an interval self-join on position, done by the largest end of those that start before and the least start of those
+that start after, so that a text with many parts makes no pairs.
 
 Null texts are empty. Every row is scanned on its own, so repeated rows repeat. A row without matches has empty spans.
 """
@@ -54,11 +55,13 @@ def find_secrets(docs: DataFrame, scope: int = SCOPE, id_column: str = "doc_id",
     least = F.element_at(F.array(*[F.lit(n) for *_, n in kinds]), F.col("kind") + 1)
     placed = rows.withColumn("end", F.sum(F.col("gap") + F.col("n")).over(run)).withColumn("start", F.col("end") - F.col("n")).where(F.col("kind").isNull() | (F.col("part") >= least) | (F.col("at") == 0)).withColumn("ok", F.col("part") >= least)
     names = [k for k, *_ in kinds]
-    near = Window.partitionBy("row").orderBy("start").rangeBetween(-scope - 64, scope + 64)
+    before, after = (Window.partitionBy("row").orderBy(x).rangeBetween(Window.unboundedPreceding, Window.currentRow) for x in (F.asc("start"), F.desc("start")))
     linked = F.lit(False)
     for kind, partners in PARTNERS.items():
         mates = [names.index(p) for p in partners]
-        seen = F.max(F.when(F.col("ok") & F.col("kind").isin(mates), F.lit(1)).otherwise(F.lit(0))).over(near) == 1
+        mate = F.col("ok") & F.col("kind").isin(mates)
+        ends, starts = F.max(F.when(mate, F.col("end"))).over(before), F.min(F.when(mate, F.col("start"))).over(after)
+        seen = F.coalesce(ends >= F.col("start") - scope, F.lit(False)) | F.coalesce(starts <= F.col("end") + scope, F.lit(False))
         linked = linked | ((F.col("kind") == names.index(kind)) & seen)
     kept = placed.withColumn("keep", F.col("ok") & ((F.col("kind") < len(BASE)) | linked))
     span = F.when(F.col("keep"), F.struct("start", F.col("kind").alias("order"), F.element_at(F.array(*map(F.lit, names)), F.col("kind") + 1).alias("kind"), "end"))

@@ -160,3 +160,10 @@ def test_weak_parts_are_reported_only_together(spark):
     got = {r.doc_id: [s.kind for s in r.spans] for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit(1))).collect()}
     assert got == {1: ["weak_id", "weak_secret", "endpoint"], 2: [], 3: [], 4: [], 5: []}
     assert secrets.find_secrets(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_weak_parts_beside_long_matches_are_linked(spark):
+    ident, end, long = "A1" + "B" * 16, "https://x.example.com:80", "token=" + "aB3." * 150
+    rows = [(1, f"{long} {ident}"), (2, f"{long} {end}"), (3, long + " " * 160 + ident), (4, long + " " * 161 + ident), (5, ident + " " * 160 + long), (6, ident + " " * 161 + long)]
+    got = {r.doc_id: [s.kind for s in r.spans] for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ["assign", "weak_id"], 2: ["assign", "endpoint"], 3: ["assign", "weak_id"], 4: ["assign"], 5: ["weak_id", "assign"], 6: ["assign"]}
