@@ -24,7 +24,7 @@ BASE = [
 ]
 WEAK = [
     ("weak_id", "\\b(?=[A-Z0-9]*[0-9])[A-Z][A-Z0-9]{15,31}\\b", 0, 16),
-    ("weak_secret", "(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{32,64}(?![A-Za-z0-9+/=])", 0, 32),
+    ("weak_secret", "(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{32,}+={0,2}+(?![A-Za-z0-9+/=])", 0, 32),
     ("endpoint", "https?://[A-Za-z0-9.-]+(?::[0-9]+)?", 0, 8),
 ]
 #: What each weak kind needs near it.

@@ -167,3 +167,11 @@ def test_weak_parts_beside_long_matches_are_linked(spark):
     rows = [(1, f"{long} {ident}"), (2, f"{long} {end}"), (3, long + " " * 160 + ident), (4, long + " " * 161 + ident), (5, ident + " " * 160 + long), (6, ident + " " * 161 + long)]
     got = {r.doc_id: [s.kind for s in r.spans] for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: ["assign", "weak_id"], 2: ["assign", "endpoint"], 3: ["assign", "weak_id"], 4: ["assign"], 5: ["weak_id", "assign"], 6: ["assign"]}
+
+
+def test_padded_and_long_keys_are_weak_secrets(spark):
+    ident = "A1" + "B" * 16
+    keys = ["aB3" * 14 + "x=", "aB3" * 28 + "xy==", "aB3" * 30000, "aB3" * 12 + "==="]
+    rows = [(i, f"{ident} {k}") for i, k in enumerate(keys)]
+    got = {r.doc_id: [(s.kind, s.end - s.start) for s in r.spans] for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: [("weak_id", 18), ("weak_secret", len(k))] if i < 3 else [] for i, k in enumerate(keys)}
