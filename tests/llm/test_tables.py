@@ -138,32 +138,69 @@ def test_cascade_is_exact_over_its_universe(spark):
     assert url_cascade.Cascade(universe, []).levels == []
 
 
-def test_neighbours_recall_ties_and_odd_vectors(spark, tmp_path):
+def _answers(rows):
+    got = {}
+    for r in rows:
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    return {q: sorted(x) for q, x in got.items()}
+
+
+def test_neighbours_recall_ties_and_odd_vectors(spark, monkeypatch):
     rng = np.random.default_rng(9)
     v = rng.normal(size=(3000, 16)).round(3).astype(np.float32)
     rows = [(i, [float(x) for x in v[i]]) for i in range(3000)] + [(5000 + i, [float(x) for x in v[0]]) for i in range(30)]
-    odd = [(7000, None), (7050, [0.0] * 16), (7100, [float("nan")] * 16), (7150, [float("inf")] + [1.0] * 15), (7200, [None] + [1.0] * 15), (None, [1.0] * 16), (7250, []), (50, rows[50][1])]
+    odd = [(7000, None), (7050, [0.0] * 16), (7100, [float("nan")] * 16), (7150, [float("inf")] + [1.0] * 15), (7200, [None] + [1.0] * 15), (None, [1.0] * 16), (7250, [])]
     df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>").withColumn("rank", F.lit("clash"))
-    points, index = hnsw.build_index(df, copies=6, shard_points=700)
-    got = {}
-    for r in hnsw.nearest(points, index, points.where("id % 50 = 0"), 5, query_block=16).collect():
-        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    monkeypatch.setattr(hnsw, "QUERY_BLOCK", 16)
+    monkeypatch.setattr(hnsw, "UNIT_QUERIES", 20)
+    index = hnsw.build_index(df, copies=6, shard_points=300)
+    assert index.shards.count() > 10
+    got = _answers(hnsw.nearest(index, index.points.where("id % 50 = 0"), 5).collect())
     ids = np.array([i for i, _ in rows])
-    m = np.array([x for _, x in rows], np.float64)
-    m32 = m.astype(np.float32).astype(np.float64)
-    unit = m32 / np.sqrt((m32 * m32).sum(axis=1))[:, None]
+    m = np.array([x for _, x in rows], np.float32).astype(np.float64)
+    unit = m / np.sqrt((m * m).sum(axis=1))[:, None]
     hits = total = 0
     for q in np.flatnonzero(ids % 50 == 0):
         score = unit @ unit[q]
         score[q] = -2
         best = set(ids[np.lexsort([ids, -score.round(12)])[:5]].tolist())
-        mine = sorted(got[int(ids[q])])
+        mine = got[int(ids[q])]
         assert [r for r, *_ in mine] == [1, 2, 3, 4, 5]
+        assert [s for *_, s in mine] == pytest.approx([float(unit[q] @ unit[np.flatnonzero(ids == i)[0]]) for _, i, _ in mine], abs=1e-12)
         hits, total = hits + len(best & {i for _, i, _ in mine}), total + 5
     assert set(got) == set(ids[ids % 50 == 0].tolist()) and hits / total >= 0.95
-    assert [i for _, i, _ in sorted(got[0])] == [5000, 5001, 5002, 5003, 5004]
-    points, index = hnsw.build_index(df.limit(0), copies=6)
-    assert hnsw.nearest(points, index, points).collect() == []
+    assert [i for _, i, _ in got[0]] == [5000, 5001, 5002, 5003, 5004]
+    index = hnsw.build_index(df.limit(0), copies=6)
+    assert hnsw.nearest(index, index.points).collect() == []
+
+
+def test_neighbours_are_rows_not_ids(spark):
+    a, b, c, d = [1.0, 0.0, 0.1], [0.0, 1.0, 0.0], [1.0, 0.1, 0.0], [0.0, 0.9, 0.2]
+    df = spark.createDataFrame([(50, a), (50, b), (50, b), (1, c), (2, d), (100, b)], "vec_id long, embedding array<double>")
+    index = hnsw.build_index(df, copies=3)
+    got = [(r.query_id, r["rank"], r.vec_id, round(r.score, 6)) for r in hnsw.nearest(index, index.points.where("id % 50 = 0"), 2).collect()]
+    cos = lambda x, y: round(float(np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y)), 6)
+    # the row (50, a): its id's other rows are candidates; (50, b) twice: each has its twin, then 100; (100, b): both rows of 50
+    want = [(50, 1, 1, cos(a, c)), (50, 2, 2, cos(a, d))] + 2 * [(50, 1, 50, 1.0), (50, 2, 100, 1.0)] + [(100, 1, 50, 1.0), (100, 2, 50, 1.0)]
+    assert sorted(got) == sorted(want)
+
+
+def test_neighbours_of_huge_tiny_and_short_vectors(spark):
+    rows = [(0, [1e200, 1e200]), (1, [1e300, 0.0]), (2, [1e-300, 1e-300]), (3, [5e-324, 0.0]), (4, [-1e200, 1.0]), (50, [1.0, 2.0, 3.0]), (51, [3.0, 2.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    index = hnsw.build_index(df, copies=3)
+    got = _answers(hnsw.nearest(index, index.points.where("id % 50 = 0"), 2).collect())
+    assert [(i, round(s, 9)) for _, i, s in got[0]] == [(2, 1.0), (1, round(0.5**0.5, 9))]
+    assert [(i, round(s, 9)) for _, i, s in got[50]] == [(51, round(10 / 14, 9))]
+
+
+def test_cells_route_clustered_vectors_to_few(spark):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(64, 24)) * 4
+    sample = hnsw._unit(centres[rng.integers(0, 64, 6000)] + rng.normal(size=(6000, 24)) * 0.2)
+    cells = hnsw.Cells(sample, 5)
+    assert cells.visits <= 8 and np.bincount(cells.of(sample), minlength=32).max() <= 2 * 6000 / 32
+    assert hnsw.Cells(hnsw._unit(rng.normal(size=(6000, 24))), 3).visits >= 6
 
 
 def test_pipeline_stages_one_by_one(spark, tmp_path):
