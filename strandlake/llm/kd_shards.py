@@ -1,12 +1,18 @@
 """Sharding by a k-d tree over document metadata, in DataFrame operations only.
 
 A node is split along its widest dimension (source, language and length as fractions of the root's extent) at the weighted median,
-weighted by bytes, until the wanted number of leaves remains; with an odd number of leaves the cut is at that proportion. Ties in
-a dimension are ordered by hashes of the text and of the id, so that even one source or one group of copies that holds most rows is
-cut where the bytes say. Cuts are found by histograms on the leading bits of a 60-bit position, each refined in the bin that holds the
-cut until a bin weighs little: only bins (at most 2^10 a node) reach the driver. Assigning rows is a CASE expression, no join.
-
-Law ``bytes``: sizes near equal. Null texts weigh 16; null metadata is a value of its own. Rows that agree in id and text stay together.
+weighted by bytes, until the wanted number of leaves remains; with an odd number of leaves the cut is at that proportion. Equal texts are one
+group, placed by the least metadata among them. Ties in a dimension are ordered by hashes of the text, then of the id, then of the row,
+so that one source, one group of copies or one repeated row that holds most bytes is cut where the bytes say. A cut goes
+between groups, at the nearer edge, and through one only if it weighs more than ``GROUP`` of a leaf.
+
+A position has eight digits of 15 bits: one of the dimension and three of the text's hash, then the id's hash and the row. One pass over
+the table makes histograms of the first digit for all nodes and dimensions of a level; the bin that holds a cut is refined by the next digit, its
+rows alone. Histograms, cuts and the state of nodes are tables: whatever the number of leaves, the driver gets counts only, and rows
+find their leaf by joins with the cuts of a level.
+
+Law ``bytes``: sizes near equal. Null texts weigh 16; null metadata is a value of its own; columns of any name may be kept; an empty table
+gives no rows. A text of any length is one row's weight, so a shard may exceed the others by what one text weighs.
 """
 
 from __future__ import annotations
@@ -17,129 +23,154 @@ from pyspark.sql import functions as F
 from .common import materialize, table
 
 SHARDS = 40
-_BITS = 10
-#: A bin below this share of a leaf's bytes is cut at its edge.
-FINE = 1 / 2000
+_DIGIT, _DIGITS = 15, 4
+#: A bin below this share of a leaf's bytes is not refined; a group of equal texts is divided only above that one.
+FINE, GROUP = 1 / 2000, 1 / 50
+#: Levels of the tree after which rows are written with their nodes; rows of a range of slots.
+LEVELS, RANGE_ROWS = 6, 50_000
+NAMES = ("source", "lang", "length")
 
 
 def _unit(value: Column) -> Column:
-    """A value as an integer of 20 bits, by hash; null is a value."""
-    return F.shiftrightunsigned(F.crc32(F.coalesce(value.cast("string"), F.lit("\0"))), 12)
-
-
-def positions(docs: DataFrame, dimensions: dict[str, Column]) -> DataFrame:
-    """Adds ``at_<name>`` for each dimension: 20 bits of it, 20 of the text's hash, 20 of the id's."""
-    text = F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 44)
-    row = F.shiftrightunsigned(F.xxhash64("doc_id"), 44)
-    return docs.withColumns({f"at_{k}": F.shiftleft(v.cast("long"), 40).bitwiseOR(F.shiftleft(text, 20)).bitwiseOR(row) for k, v in dimensions.items()})
-
-
-class _Node:
-    def __init__(self, leaves: int):
-        self.leaves, self.dimension, self.cut, self.low, self.high, self.shard = leaves, None, None, None, None, None
-
-    def place(self) -> Column:
-        if self.low is None:
-            return F.lit(self.shard)
-        return F.when(F.col(f"at_{self.dimension}") < F.lit(self.cut), self.low.place()).otherwise(self.high.place())
-
-
-def tree(slim: DataFrame, names: list[str], leaves: int) -> _Node:
-    """Fit the tree over (size, at_<name>...). Each pass over the table serves all nodes of a level."""
-    root = _Node(leaves)
-    level, widths = [root], None
-    total = slim.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    fine = total / leaves * FINE
-    while level:
-        for i, node in enumerate(level):
-            node.shard = i
-        opened = [x for x in level if x.leaves > 1]
-        if not opened:
-            break
-        settled = [x for x in level if x.leaves == 1]
-        for i, node in enumerate(opened):
-            node.shard = i
-        for node in settled:
-            node.shard = -1
-        placed = slim.withColumn("node", root.place()).where("node >= 0")
-        span = [(F.shiftrightunsigned(F.max(f"at_{n}"), 40) - F.shiftrightunsigned(F.min(f"at_{n}"), 40)).alias(n) for n in names]
-        seen = {r["node"]: r for r in placed.groupBy("node").agg(F.sum("size").alias("__w"), *span).collect()}
-        if widths is None:
-            widths = {n: max(1, seen[0][n]) if seen else 1 for n in names}
-        state = {}
-        for i, node in enumerate(opened):
-            r = seen.get(i)
-            node.dimension = max(names, key=lambda n: (r[n] / widths[n] if r else 0, -names.index(n)))
-            weight = r["__w"] if r else 0
-            state[i] = [0, 0, weight * (node.leaves // 2) / node.leaves]  # prefix, its bits, weight still to go left
-        at = F.element_at(F.array(*[F.col(f"at_{n}") for n in names]), F.element_at(F.array(*[F.lit(names.index(x.dimension) + 1) for x in opened]), F.col("node") + 1))
-        live = set(state)
-        for bits in range(_BITS, 61, _BITS):
-            if not live:
-                break
-            prefix = F.element_at(F.array(*[F.lit(state[i][0] if i in live else -1).cast("long") for i in range(len(opened))]), F.col("node") + 1)
-            here = placed.withColumn("at", at).where(F.shiftrightunsigned("at", 60 - bits + _BITS) == prefix)
-            bins = here.groupBy("node", F.shiftrightunsigned("at", 60 - bits).alias("bin")).agg(F.sum("size").alias("w")).collect()
-            by: dict[int, list] = {}
-            for r in bins:
-                by.setdefault(r["node"], []).append((r["bin"], r["w"]))
-            for i in list(live):
-                edge, rest = None, state[i][2]
-                for b, w in sorted(by.get(i, [])):
-                    if rest < w:
-                        # cut before this bin, inside it, or - if it is light - at its nearer edge
-                        edge = b
-                        break
-                    rest -= w
-                    edge = b + 1
-                if edge is None:
-                    edge, w = state[i][0] << _BITS, 0
-                w = dict(by.get(i, [])).get(edge, 0)
-                state[i] = [edge, bits, rest]
-                if w <= fine or bits >= 60 or rest <= 0:
-                    state[i][0] = edge + (1 if rest * 2 > w > 0 else 0)
-                    live.discard(i)
-        following = []
-        for i, node in enumerate(opened):
-            prefix, bits, _ = state[i]
-            node.cut = prefix << (60 - bits)
-            node.low, node.high = _Node(node.leaves // 2), _Node(node.leaves - node.leaves // 2)
-        level = _leaves(root)
-        if all(x.leaves == 1 for x in level):
+    """A value as an integer of one digit, by hash; null is a value."""
+    return F.shiftrightunsigned(F.crc32(F.coalesce(value.cast("string"), F.lit("\0"))), 32 - _DIGIT)
+
+
+def positions(rows: DataFrame, dimensions: dict[str, Column], text_hash: Column, row: Column) -> DataFrame:
+    """Adds ``at_<name>`` for each dimension - its digit and three of the text's hash - and ``tie``: the row's."""
+    text = F.shiftrightunsigned(text_hash, 64 - 3 * _DIGIT)
+    return rows.withColumns({**{f"at_{k}": F.shiftleft(v.cast("long"), 3 * _DIGIT).bitwiseOR(text) for k, v in dimensions.items()}, "tie": row})
+
+
+def _tie() -> Column:
+    """60 bits: 40 of the id's hash, then 20 that tell repeated rows of an id apart."""
+    return F.shiftleft(F.shiftrightunsigned(F.xxhash64("doc_id"), 24), 20).bitwiseOR(F.shiftrightunsigned(F.xxhash64("row"), 44))
+
+
+def _digit(column: str, i: int) -> Column:
+    return F.shiftright(column, _DIGIT * (_DIGITS - 1 - i)).bitwiseAND(F.lit((1 << _DIGIT) - 1))
+
+
+def _chosen(names) -> Column:
+    return F.element_at(F.array(*[F.col(f"at_{n}") for n in names]), F.col("dim") + 1)
+
+
+def _crossing(bins: DataFrame, keys: list[str]) -> DataFrame:
+    """Of (keys..., goal, bin, w) the bin that holds each group's goal, with the weight before it: ``bin``, ``w``, ``before``."""
+    order = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    summed = bins.withColumn("upto", F.sum("w").over(order))
+    hit = F.min(F.when(F.col("upto") > F.col("goal"), F.struct("bin", "w", (F.col("upto") - F.col("w")).alias("before"))))
+    past = F.struct((F.max("bin") + 1).alias("bin"), F.lit(0).cast("long").alias("w"), F.max("upto").alias("before"))
+    return summed.groupBy(*keys, "goal").agg(F.coalesce(hit, past).alias("c")).select(*keys, "goal", "c.*")
+
+
+def cuts(rows: DataFrame, names, extents: list[int], leaf: float) -> DataFrame:
+    """(node, leaves, base, dim, cut_at, cut_tie): a cut for every node of ``rows`` with more than one leaf. ``extents``: the root's."""
+    open_ = rows.where("leaves > 1")
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("dim"), _digit(f"at_{n}", 0).alias("bin")) for i, n in enumerate(names)])).alias("x")
+    keys = ["node", "leaves", "base"]
+    bins = open_.select(*keys, "size", each).select(*keys, "size", "x.*").groupBy(*keys, "dim", "bin").agg(F.sum("size").alias("w"))
+    spans = bins.groupBy(*keys, "dim").agg((F.max("bin") - F.min("bin")).alias("span"), F.sum("w").alias("weight"))
+    share = F.col("span") / F.element_at(F.array(*[F.lit(max(1, x)) for x in extents]), F.col("dim") + 1)
+    wide = spans.groupBy(*keys).agg(F.max(F.struct(share.alias("share"), (-F.col("dim")).alias("less"))).alias("m"), F.max("weight").alias("weight"))
+    goal = (F.col("weight") * F.expr("leaves div 2") / F.col("leaves")).alias("goal")
+    wide = wide.select(*keys, (-F.col("m.less")).alias("dim"), goal)
+    state = _crossing(bins.join(wide, [*keys, "dim"]), [*keys, "dim"])
+    state = state.select(*keys, "dim", F.lit(1).alias("digits"), F.col("bin").alias("at"), F.lit(0).cast("long").alias("tie_at"), "w", (F.col("goal") - F.col("before")).alias("goal"))
+    done = None
+    for digits in range(1, 2 * _DIGITS + 1):
+        state = materialize(state, "cuts")
+        # below the text's digits a bin is one group of equal texts
+        least = leaf * (FINE if digits != _DIGITS else GROUP)
+        stop = F.lit(True) if digits == 2 * _DIGITS else (F.col("w") <= least) | (F.col("goal") <= 0)
+        edge = F.when(F.col("goal") * 2 > F.col("w"), 1).otherwise(0)
+        here = F.when(F.col("w") > 0, edge).otherwise(0)
+        in_text = digits <= _DIGITS
+        shift = _DIGIT * (_DIGITS - digits if in_text else 2 * _DIGITS - digits)
+        at = F.shiftleft(F.col("at") + here, shift) if in_text else F.col("at")
+        tie = F.lit(0).cast("long") if in_text else F.shiftleft(F.col("tie_at") + here, shift)
+        settled = state.where(stop).select(*keys, "dim", at.alias("cut_at"), tie.alias("cut_tie"))
+        done = settled if done is None else done.unionByName(settled)
+        rest = state.where(~stop)
+        if digits == 2 * _DIGITS or not rest.limit(1).count():
             break
-    for i, node in enumerate(_leaves(root)):
-        node.shard = i
-    return root
-
-
-def _leaves(node: _Node) -> list[_Node]:
-    return [node] if node.low is None else _leaves(node.low) + _leaves(node.high)
-
-
-def slots(rows: DataFrame) -> DataFrame:
-    """Adds ``slot``: gapless from 0 in each shard, by ranges of the id's hash so that no task holds a whole shard."""
-    ranged = rows.withColumn("__r", F.pmod(F.xxhash64("doc_id"), F.lit(64)).cast("int"))
-    n = ranged.groupBy("shard", "__r").agg(F.count(F.lit(1)).alias("n"))
-    n = n.withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    inner = F.row_number().over(Window.partitionBy("shard", "__r").orderBy("doc_id", "text_crc32", "size")) - 1
-    return ranged.withColumn("inner", inner).join(n, ["shard", "__r"]).withColumn("slot", F.col("base") + F.col("inner")).drop("__r", "base", "inner")
+        held = rest.select("node", "dim", "at", "tie_at", "goal")
+        inside = open_.join(held, "node")
+        if digits < _DIGITS:
+            inside = inside.where(F.shiftright(_chosen(names), _DIGIT * (_DIGITS - digits)) == F.col("at"))
+            next_ = F.shiftright(_chosen(names), _DIGIT * (_DIGITS - digits - 1)).bitwiseAND(F.lit((1 << _DIGIT) - 1))
+        else:
+            k = digits - _DIGITS
+            inside = inside.where(_chosen(names) == F.col("at"))
+            if k:
+                inside = inside.where(F.shiftright("tie", _DIGIT * (_DIGITS - k)) == F.col("tie_at"))
+            next_ = _digit("tie", k)
+        finer = inside.groupBy(*keys, "dim", "at", "tie_at", "goal", next_.alias("bin")).agg(F.sum("size").alias("w"))
+        crossed = _crossing(finer, [*keys, "dim", "at", "tie_at"])
+        if digits < _DIGITS:
+            at, tie = F.shiftleft("at", _DIGIT) + F.col("bin"), F.col("tie_at")
+        else:
+            at, tie = F.col("at"), F.shiftleft("tie_at", _DIGIT) + F.col("bin")
+        state = crossed.select(*keys, "dim", F.lit(digits + 1).alias("digits"), at.alias("at"), tie.alias("tie_at"), "w", (F.col("goal") - F.col("before")).alias("goal"))
+    return done
+
+
+def _step(rows: DataFrame, level: DataFrame, names) -> DataFrame:
+    """Rows with the nodes of the next level."""
+    told = rows.join(level.select("node", "dim", "cut_at", "cut_tie"), "node", "left")
+    at = _chosen(names)
+    low = (at < F.col("cut_at")) | ((at == F.col("cut_at")) & (F.col("tie") < F.col("cut_tie")))
+    left = F.expr("leaves div 2")
+    parted = F.col("dim").isNotNull()
+    return told.withColumns({
+        "node": F.when(parted, F.col("node") * 2 + F.when(low, 0).otherwise(1)).otherwise(F.col("node")),
+        "base": F.when(parted & ~low, F.col("base") + left).otherwise(F.col("base")),
+        "leaves": F.when(parted & low, left).when(parted, F.col("leaves") - left).otherwise(F.col("leaves")),
+    }).drop("dim", "cut_at", "cut_tie")
+
+
+def leaved(slim: DataFrame, names, leaves: int) -> DataFrame:
+    """Adds ``shard`` to rows of (size, at_<name>..., tie): the leaf of the tree with so many leaves."""
+    digits = [_digit(f"at_{n}", 0) for n in names]
+    total, *extents = slim.agg(F.coalesce(F.sum("size"), F.lit(0)), *[F.coalesce(F.max(d) - F.min(d), F.lit(0)) for d in digits]).first()
+    rows = slim.withColumns({"node": F.lit(1).cast("long"), "leaves": F.lit(leaves).cast("long"), "base": F.lit(0).cast("long")})
+    if total:
+        for depth in range((leaves - 1).bit_length()):
+            if depth and depth % LEVELS == 0:
+                rows = materialize(rows, "nodes")
+            rows = _step(rows, materialize(cuts(rows, names, extents, total / leaves), "level"), names)
+    return rows.withColumn("shard", F.col("base").cast("int")).drop("node", "leaves", "base")
 
 
 def assign(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None, keep: list[str] | None = None) -> DataFrame:
-    """doc_id, size, text_crc32, shard (and ``keep``) for rows of (doc_id, text, lang, source): ``shards`` leaves, or as many as ``target_bytes`` asks for."""
+    """doc_id, size, text_crc32, shard, slot (and ``keep``) for rows of (doc_id, text, lang, source): ``shards`` leaves, or as many as ``target_bytes`` asks for."""
     text = F.coalesce("text", F.lit(""))
-    size = (F.octet_length(text) + 16).cast("long").alias("size")
-    depth = F.least(F.floor(F.log2(F.octet_length(text) + 1) * 32768), F.lit((1 << 20) - 1))
-    placed = positions(docs, {"source": _unit(F.col("source")), "lang": _unit(F.col("lang")), "length": depth})
-    names = ["source", "lang", "length"]
-    others = [c for c in keep or [] if c != "doc_id"]
-    slim = materialize(placed.select("doc_id", size, F.crc32(text).alias("text_crc32"), *[f"at_{n}" for n in names], *[F.col(c).alias(f"kept_{c}") for c in others]), "placed")
+    depth = F.least(F.floor(F.log2(F.octet_length(text) + 1) * 1024), F.lit((1 << _DIGIT) - 1)).cast("long")
+    kept = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept") if keep else F.lit(None).cast("int").alias("kept")
+    bare = docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("h"), _unit(F.col("source")).alias("source"), _unit(F.col("lang")).alias("lang"), depth.alias("length"), kept)
+    bare = materialize(bare.withColumn("row", F.monotonically_increasing_id()), "sized")
+    # equal texts have one place; only repeated texts are joined, Spark weighing the smaller side
+    same = ["h", "text_crc32", "size"]
+    groups = bare.groupBy(*same).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("source", "lang")).alias("m")).where("n > 1").select(*same, "m")
+    grouped = bare.join(groups, same, "left").withColumns({"source": F.coalesce("m.source", "source"), "lang": F.coalesce("m.lang", "lang")})
+    placed = positions(grouped, {n: F.col(n) for n in NAMES}, F.col("h"), _tie())
+    slim = materialize(placed.select("doc_id", "size", "text_crc32", "kept", "tie", *[f"at_{n}" for n in NAMES]), "placed")
+    rows, total = slim.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     if shards is None:
-        shards = max(1, -(-(slim.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]) // target_bytes))
-    out = slim.withColumn("shard", tree(slim, names, shards).place())
-    return out.select("doc_id", "size", "text_crc32", "shard", *[F.col(f"kept_{c}").alias(c) for c in others])
+        shards = max(1, -(-total // target_bytes))
+    out = slotted(leaved(slim, NAMES, shards), max(1, rows // (shards * RANGE_ROWS)))
+    return out.select("doc_id", "size", "text_crc32", "shard", "slot", *[F.col(f"kept.`{c}`").alias(c) for c in keep or []])
+
+
+def slotted(rows: DataFrame, ranges: int) -> DataFrame:
+    """Adds ``slot``: gapless from 0 in each shard, in so many ranges of a hash of the row, so that no task holds a large shard."""
+    ranged = rows.withColumn("range", F.pmod(F.xxhash64("tie"), F.lit(ranges)).cast("int"))
+    before = Window.partitionBy("shard").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    bases = ranged.groupBy("shard", "range").agg(F.count(F.lit(1)).alias("n")).select("shard", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    inner = F.row_number().over(Window.partitionBy("shard", "range").orderBy("tie", "text_crc32", "size")) - 1
+    return ranged.withColumn("inner", inner).join(bases, ["shard", "range"]).withColumn("slot", F.col("start") + F.col("inner")).drop("range", "start", "inner")
 
 
 def op2_kd_shards(spark, sf_dir: str) -> DataFrame:
-    rows = slots(assign(table(spark, sf_dir, "documents"), SHARDS))
+    rows = assign(table(spark, sf_dir, "documents"), SHARDS)
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
