@@ -26,12 +26,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where none is configured (tests, one machine) a temporary one."""
+    """The cluster's shared folder; only where none is configured and all runs on one machine (tests) a temporary one."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     made = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
     if not made:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         made = tempfile.mkdtemp(prefix="strandlake-")
         atexit.register(shutil.rmtree, made, True)
         spark.sparkContext.setCheckpointDir(made)
@@ -46,6 +48,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, wanted: str) -> str:
+    """``wanted``, with underscores until no column has that name."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted = "_" + wanted
+    return wanted
+
+
 def as_text(df: DataFrame, column: str = "text"):
     """The text column with null read as empty."""
     return F.coalesce(F.col(column), F.lit(""))
@@ -53,23 +63,24 @@ def as_text(df: DataFrame, column: str = "text"):
 
 # --- byte kernels --------------------------------------------------------------------------------------------------
 
-_MULT = 0x9E3779B97F4A7C15 | 1
-_POWERS: dict[str, np.ndarray] = {}
+_MULT = (0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95)
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the multiplier and of its inverse modulo 2^64, at least n + 1 of them."""
-    have = len(_POWERS.get("up", ()))
-    if have <= n:
+def _powers(n: int, family: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a family's multiplier and of its inverse modulo 2^64, at least n + 1 of them."""
+    if len(_POWERS.get(family, ((),))[0]) <= n:
         size = max(n + 1, 1 << 20)
-        for name, base in (("up", _MULT), ("down", pow(_MULT, -1, 1 << 64))):
+        tables = []
+        for base in (_MULT[family], pow(_MULT[family], -1, 1 << 64)):
             p = np.full(size, base, dtype=np.uint64)
             p[0] = 1
-            _POWERS[name] = np.cumprod(p, dtype=np.uint64)
-    return _POWERS["up"], _POWERS["down"]
+            tables.append(np.cumprod(p, dtype=np.uint64))
+        _POWERS[family] = tuple(tables)
+    return _POWERS[family]
 
 
-_BYTE_CODES = np.random.default_rng(20240229).integers(0, 2**64, 256, dtype=np.uint64) | np.uint64(1)
+_BYTE_CODES = [np.random.default_rng(seed).integers(0, 2**64, 256, dtype=np.uint64) | np.uint64(1) for seed in (20240229, 20250301)]
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -83,13 +94,13 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 class RollingHash:
-    """64-bit hashes of any span of a byte buffer, from one prefix sum; equal bytes have equal hashes everywhere."""
+    """64-bit hashes of any span of a byte buffer, from one prefix sum; equal bytes have equal hashes everywhere. The two families are independent."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, family: int = 0):
         n = len(data)
-        up, self.down = _powers(n + 1)
+        up, self.down = _powers(n + 1, family)
         self.prefix = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(_BYTE_CODES[data] * up[:n], out=self.prefix[1:])
+        np.cumsum(_BYTE_CODES[family][data] * up[:n], out=self.prefix[1:])
 
     def raw(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return (self.prefix[end] - self.prefix[start]) * self.down[start]

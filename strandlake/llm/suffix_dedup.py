@@ -3,19 +3,26 @@
 Suffixes start at content-chosen *anchors*: positions whose k-byte string has the least hash among the windows of
 ``min_bytes`` bytes that hold it. Every string of ``min_bytes`` bytes holds the anchor it chose, at the same offset
 wherever the string occurs, so suffixes at anchors are enough to find all repeats of at least that length, at a
-fraction (about 2 / (min_bytes - k + 2)) of the positions.
+fraction (about 2 / (min_bytes - k + 2)) of the positions. A suffix with the bytes before it, up to the windows' reach, is its *context*; equal
+contexts are one suffix with several occurrences.
 
 1. ``pack``: documents become blocks of a bucketed table (co-located joins by block, no further shuffle of texts).
-2. ``signal``: each block sends, to the bucket of each anchor, hashes of the k-byte string and of its full context,
-   packed in one binary value for each (block, bucket). A bucket answers in a few bits for each anchor: *known* (the
-   same context stands in a document with a smaller id) and *contested* (the k-byte string stands in other contexts).
-3. Only anchors that are contested and not known send their contexts. ``interval_tree`` sorts the suffixes of a
-   bucket, takes their LCP array, scans it with a stack into the tree of common-prefix intervals, and splits each
-   interval by left extensions: the maximal repeat groups with all occurrences.
-4. Blocks join the answers into removed spans.
-
-Hot passages cost a bucket one entry for each block and context, never one for each pair. Null texts are empty; a null doc_id
-counts as larger than any other; rows that repeat a doc_id are documents of their own, neither smaller than the other.
+2. ``signal``: each block sends, to the bucket of each anchor, hashes of the k-byte string and of its context with the least
+   document that holds it there: one entry for each block and distinct context, however often it is repeated in the block. A bucket answers in a
+   few bits: *known* (a smaller document has the context) and *contested* (the k-byte string stands in other contexts).
+3. Of each contested context the block with its least document sends the bytes, once. ``repeat_groups`` sorts these suffixes, takes their LCP
+   array, scans it with a stack into the tree of common-prefix intervals, parts intervals where left extensions differ,
+   and extends each part to both sides until its occurrences differ: the maximal repeat groups with all occurrences.
+4. Blocks join the answers into removed spans: an occurrence in a document larger than its group's least is removed over the group's whole
+   length, and one of a context that a smaller document holds over the whole context.
+
+Contexts are held equal by 96 bits of two independent hash families beside the string's own 32 and bucket; groups of unequal ones by their bytes.
+A passage that stands in every document costs a bucket one entry for each block; blocks and buckets grow with the root of the input beyond
+``GROWTH_BYTES``, so entries for each (block, bucket) and a bucket's entries for such a passage stay few.
+
+Null texts are empty; a null doc_id counts as the largest id there is (2^63 - 1, whose own rows it equals); rows that repeat a doc_id are documents of
+their own, neither smaller than the other. Texts of any length are taken whole: a longer one than a block is a block. An
+empty table gives no rows; columns other than those named are not read.
 """
 
 from __future__ import annotations
@@ -33,6 +40,8 @@ from .common import RollingHash, buffers, materialize, shared_dir
 #: Bytes of text in a block, and of text whose anchors one bucket judges.
 BLOCK_BYTES = 2 << 20
 BUCKET_BYTES = 3 << 20
+#: Bytes of input beyond which blocks and buckets grow with its root; blocks that a task holds, on average, and buckets.
+GROWTH_BYTES, BLOCKS_A_TASK, BUCKETS_A_TASK = 64 << 30, 12, 16
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -54,7 +63,7 @@ class Anchors:
         self.hash = RollingHash(data)
         self.data, self.offsets, self.reach = data, offsets, min_bytes - k
         grams = self.hash.grams(k)
-        order = (grams >> np.uint64(32)).astype(np.uint32)
+        order = ((grams >> np.uint64(33)) + np.uint64(1)).astype(np.uint32)  # never 0, which marks what is no window
         least = _slide(order, w, np.minimum)
         ends = np.repeat(offsets[1:], np.diff(offsets))[: len(least)]
         valid = np.arange(len(least)) + min_bytes <= ends
@@ -66,7 +75,9 @@ class Anchors:
         self.doc = np.searchsorted(offsets, at, side="right") - 1
         self.start = np.maximum(at - self.reach, offsets[self.doc])
         self.end = np.minimum(at + min_bytes, offsets[self.doc + 1])
-        self.context = self.hash.spans(self.start, self.end) ^ ((at - self.start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        shift = (at - self.start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        self.context = self.hash.spans(self.start, self.end) ^ shift
+        self.check = ((RollingHash(data, 1).spans(self.start, self.end) ^ shift) >> np.uint64(32)).astype(np.uint32)
         self.low = self.start
         self.high = np.minimum(at, offsets[self.doc + 1] - min_bytes)
 
@@ -95,19 +106,27 @@ def _words(rows: np.ndarray) -> np.ndarray:
     return padded.view(">u8").astype(np.uint64)
 
 
+def _common(rows: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Length of the common prefix of byte rows a and b, at most ``most``."""
+    same = rows[a] == rows[b]
+    n = np.where(same.all(axis=1), rows.shape[1], np.argmin(same, axis=1)) if rows.shape[1] else np.zeros(len(a), np.int64)
+    return np.minimum(n, most)
+
+
 def repeat_groups(key: np.ndarray, left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.ndarray, length: int):
-    """Groups of occurrences that share ``length`` bytes around an anchor, as (shift, group of each member, members).
+    """Maximal repeat groups of at least ``length`` bytes around an anchor: (members, group of each, bytes before the anchor, bytes from it on) by group.
 
-    ``right`` holds the bytes from the anchor on and ``left`` those before it, nearest first, of the given counts. For each
-    shift x (bytes taken before the anchor) the intervals of the tree at depth length - x are split where left extensions differ."""
+    ``right`` holds the bytes from the anchor on and ``left`` those before it, nearest first, of the given counts. For each shift x (bytes
+    taken before the anchor) the intervals of the tree at depth length - x are parted where left extensions differ. A part
+    holds all occurrences of its string; it is extended as far as they agree, to the left (until extensions are diverse) and to the right."""
     n, reach = len(key), left.shape[1]
     words = _words(right)
     rank = np.lexsort([n_right, *words.T[::-1], key])
-    same = np.cumprod(right[rank][1:] == right[rank][:-1], axis=1).sum(axis=1)
     lcp = np.zeros(n, np.int64)
-    lcp[1:] = np.where(key[rank][1:] == key[rank][:-1], np.minimum(same, np.minimum(n_right[rank][1:], n_right[rank][:-1])), 0)
+    lcp[1:] = np.where(key[rank][1:] == key[rank][:-1], _common(right, rank[1:], rank[:-1], np.minimum(n_right[rank][1:], n_right[rank][:-1])), 0)
     depth, parent, first, last = interval_tree(lcp)
-    back, n_left, n_right = _words(left)[rank], n_left[rank], n_right[rank]
+    back = _words(left)[rank]
+    left, n_left, right, n_right = left[rank], n_left[rank], right[rank], n_right[rank]
     for x in range(reach + 1):
         alive = np.flatnonzero((depth >= length - x) & (parent < length - x))
         if not len(alive):
@@ -124,7 +143,18 @@ def repeat_groups(key: np.ndarray, left: np.ndarray, right: np.ndarray, n_left:
         member, node, prefix = member[order], node[order], prefix[order]
         fresh = np.ones(len(member), bool)
         fresh[1:] = (node[1:] != node[:-1]) | (prefix[1:] != prefix[:-1]).any(axis=1)
-        yield x, np.cumsum(fresh) - 1, rank[member]
+        head = np.flatnonzero(fresh)
+        size = np.diff(np.r_[head, len(member)])
+        member, size = member[np.repeat(size > 1, size)], size[size > 1]
+        if not len(size):
+            continue
+        head = np.cumsum(size) - size
+        group = np.repeat(np.arange(len(size)), size)
+        inner = np.flatnonzero(np.r_[False, group[1:] == group[:-1]])
+        beside = np.full(len(member), reach, np.int64)
+        beside[inner] = _common(left, member[inner], member[inner - 1], np.minimum(n_left[member[inner]], n_left[member[inner - 1]]))
+        tail = head + size - 1  # members are in order of their right sides
+        yield rank[member], group, np.minimum.reduceat(beside, head), _common(right, member[head], member[tail], np.minimum.reduceat(n_right[member], head))
 
 
 def _squeeze(x: np.ndarray) -> bytes:
@@ -150,78 +180,81 @@ def _unpack(blob: bytes, *kinds) -> list[np.ndarray]:
 
 
 class _Block:
-    """The documents of a packed block, in the order of packing."""
+    """The documents of a packed block, in the order of packing: by id, null last, then text."""
 
-    def __init__(self, ids: bytes, lengths: bytes, text: bytes):
-        self.ids = np.frombuffer(ids, np.int64)
+    def __init__(self, ids: bytes, nulls: bytes, lengths: bytes, text: bytes):
+        self.ids, self.nulls = np.frombuffer(ids, np.int64), np.frombuffer(nulls, bool)
         self.lengths = np.frombuffer(lengths, np.int64)
         self.offsets = np.concatenate([[0], np.cumsum(self.lengths)])
         raw = pa.decompress(text, int(self.offsets[-1]), codec="zstd", asbytes=True) if self.offsets[-1] else b""
         self.data = np.frombuffer(raw, np.uint8)
 
 
-def _packer(block_bytes: int):
-    def pack(table: pa.Table) -> pa.Table:
-        ids = table.column("id").fill_null(NO_ID).to_numpy()
-        data, off = buffers(table.column("text"))
-        texts = data.tobytes()
-        order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[off[i] : off[i + 1]]))
-        joined = b"".join(texts[off[i] : off[i + 1]] for i in order)
-        return pa.table({
-            "block": table.column("block").slice(0, 1),
-            "ids": [ids[order].astype(np.int64).tobytes()], "lengths": [np.diff(off)[order].astype(np.int64).tobytes()],
-            "zipped": [pa.compress(joined, codec="zstd", asbytes=True)],
-        }, schema=_PACKED)
+def _packer(table: pa.Table) -> pa.Table:
+    nulls = np.asarray(table.column("id").is_null())
+    ids = table.column("id").fill_null(NO_ID).to_numpy()
+    data, off = buffers(table.column("text"))
+    texts = data.tobytes()
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], nulls[i], texts[off[i] : off[i + 1]]))
+    joined = b"".join(texts[off[i] : off[i + 1]] for i in order)
+    return pa.table({
+        "block": table.column("block").slice(0, 1),
+        "ids": [ids[order].astype(np.int64).tobytes()], "nulls": [nulls[order].tobytes()], "lengths": [np.diff(off)[order].astype(np.int64).tobytes()],
+        "zipped": [pa.compress(joined, codec="zstd", asbytes=True)],
+    }, schema=_PACKED)
 
-    return pack
 
-
-_PACKED = pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("lengths", pa.binary()), ("zipped", pa.binary())])
+_PACKED = pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("nulls", pa.binary()), ("lengths", pa.binary()), ("zipped", pa.binary())])
 _SIGNAL = "bucket long, block long, entries binary"
 _ANSWER = "block long, bucket long, answer binary"
 
 
-def _split(anchors: Anchors, n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors by bucket: their order, the buckets, and where each one's run begins (one more at the end)."""
-    bucket = (anchors.gram % np.uint64(n_buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    sorted_ = bucket[order]
-    cut = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]]) if len(order) else np.zeros(0, np.int64)
-    return order, sorted_[cut], np.r_[cut, len(order)]
+class _Entries:
+    """A block's anchors by bucket and context. ``order`` sorts them, ``entry`` numbers distinct contexts along it, ``head`` is each one's
+    first occurrence (in the block's least document), ``cut`` where the runs of buckets ``names`` begin among entries (one more at the end)."""
+
+    def __init__(self, a: Anchors, n_buckets: int):
+        bucket = (a.gram % np.uint64(n_buckets)).astype(np.int64)
+        self.order = order = np.lexsort([a.check, a.context, a.gram, bucket])  # stable: equal contexts stay in order of documents
+        gram, context, check = a.gram[order], a.context[order], a.check[order]
+        new = np.r_[True, (gram[1:] != gram[:-1]) | (context[1:] != context[:-1]) | (check[1:] != check[:-1])] if len(order) else np.zeros(0, bool)
+        self.entry, self.head = np.cumsum(new) - 1, order[new]
+        mine = bucket[self.head]
+        at = np.flatnonzero(np.r_[True, mine[1:] != mine[:-1]]) if len(mine) else np.zeros(0, np.int64)
+        self.names, self.cut = mine[at], np.r_[at, len(mine)]
 
 
-def _six(x: np.ndarray) -> np.ndarray:
-    """The upper six bytes of each word."""
-    return np.ascontiguousarray(x.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6])
+def _wide(context: np.ndarray, check: np.ndarray) -> np.ndarray:
+    """Twelve bytes of hash for each context."""
+    return np.concatenate([context.astype(">u8").view(np.uint8).reshape(-1, 8), check.astype(">u4").view(np.uint8).reshape(-1, 4)], axis=1)
 
 
 def _signaller(min_bytes: int, k: int, n_buckets: int):
     def signal(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                b = _Block(row["ids"], row["lengths"], row["zipped"])
+                b = _Block(row["ids"], row["nulls"], row["lengths"], row["zipped"])
                 a = Anchors(b.data, b.offsets, min_bytes, k)
-                order, names, cut = _split(a, n_buckets)
-                tag = (a.gram >> np.uint64(32)).astype(np.uint32)[order]
-                context, doc = _six(a.context[order]), b.ids[a.doc[order]]
-                blobs = [_pack(tag[i:j], context[i:j], doc[i:j]) for i, j in zip(cut[:-1], cut[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(np.full(len(names), row["block"]), pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "block", "entries"])
+                e = _Entries(a, n_buckets)
+                tag = (a.gram >> np.uint64(32)).astype(np.uint32)[e.head]
+                context, doc = _wide(a.context[e.head], a.check[e.head]), b.ids[a.doc[e.head]]
+                blobs = [_pack(tag[i:j], context[i:j], doc[i:j]) for i, j in zip(e.cut[:-1], e.cut[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(e.names, pa.int64()), pa.array(np.full(len(e.names), row["block"]), pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "block", "entries"])
 
     return signal
 
 
 def _judge(table: pa.Table) -> pa.Table:
-    """Bit 0: the context stands in a smaller document. Bit 1: the anchor's string stands in other contexts too."""
-    parts = [_unpack(x.as_buffer().to_pybytes(), np.uint32, (np.uint8, 6), np.int64) for x in table.column("entries")]
+    """For each entry - bit 0: a smaller document has the context; bit 1: the anchor's string stands in other contexts too."""
+    table = table.sort_by("block")
+    parts = [_unpack(x.as_buffer().to_pybytes(), np.uint32, (np.uint8, 12), np.int64) for x in table.column("entries")]
     sizes = [len(p[0]) for p in parts]
     tag, context, doc = (np.concatenate(x) for x in zip(*parts))
-    wide = np.zeros((len(tag), 8), np.uint8)
-    wide[:, 2:] = context
-    context = wide.view(">u8").ravel().astype(np.uint64)
-    order = np.lexsort([doc, context, tag])
-    t, c, d = tag[order], context[order], doc[order]
+    high, low = np.ascontiguousarray(context[:, :8]).view(">u8").ravel().astype(np.uint64), np.ascontiguousarray(context[:, 8:]).view(">u4").ravel().astype(np.uint32)
+    order = np.lexsort([doc, low, high, tag])
+    t, h, c, d = tag[order], high[order], low[order], doc[order]
     new_tag = np.r_[True, t[1:] != t[:-1]]
-    new = np.r_[True, (t[1:] != t[:-1]) | (c[1:] != c[:-1])]
+    new = np.r_[True, (t[1:] != t[:-1]) | (h[1:] != h[:-1]) | (c[1:] != c[:-1])]
     group, owner = np.cumsum(new) - 1, np.cumsum(new_tag) - 1
     contexts = np.bincount(owner, weights=new)
     code = (d > d[new][group]).astype(np.uint8) | ((contexts[owner] > 1).astype(np.uint8) << 1)
@@ -247,36 +280,45 @@ def _resolver(min_bytes: int, k: int, n_buckets: int):
     reach = min_bytes - k
 
     def resolve(key, packed: pa.Table, answers: pa.Table) -> pa.Table:
-        """Spans that are settled (bucket null), and the contexts of unsettled anchors for each bucket."""
+        """Spans that are settled (bucket null), and the contexts of unsettled anchors for each bucket with the positions of their other occurrences."""
         if not packed.num_rows:
-            return pa.table({"block": [], "bucket": [], "entries": []}, schema=_SENT)
+            return _SENT.empty_table()
         row = packed.to_pylist()[0]
-        b = _Block(row["ids"], row["lengths"], row["zipped"])
+        b = _Block(row["ids"], row["nulls"], row["lengths"], row["zipped"])
         a = Anchors(b.data, b.offsets, min_bytes, k)
-        order, names, cut = _split(a, n_buckets)
+        e = _Entries(a, n_buckets)
         told = {x["bucket"]: x["answer"] for x in answers.to_pylist()}
-        code = np.zeros(len(order), np.uint8)
-        for name, i, j in zip(names.tolist(), cut[:-1], cut[1:]):
+        code = np.zeros(len(e.head), np.uint8)
+        for name, i, j in zip(e.names.tolist(), e.cut[:-1], e.cut[1:]):
             code[i:j] = np.frombuffer(pa.decompress(told[name], int(j - i), codec="zstd", asbytes=True), np.uint8)
-        known = order[(code & 1) == 1]
+        # the context stands in a smaller document: of another block, or of this one
+        least = b.ids[a.doc[e.head]]
+        later = b.ids[a.doc[e.order]] > least[e.entry] if len(e.order) else np.zeros(0, bool)
+        known = e.order[((code & 1) == 1)[e.entry] | later]
         doc, start, end = _spans_of(a.doc[known], a.low[known], a.high[known] + min_bytes, len(b.ids))
-        rows = [(None, _pack(start, end))]
-        open_ = np.flatnonzero(code == 2)
-        where = np.searchsorted(cut, open_, side="right") - 1
-        for w in np.unique(where).tolist():
-            i = order[open_[where == w]]
-            n_left, n_right = a.at[i] - a.start[i], a.end[i] - a.at[i]
-            right = b.data[np.minimum(a.at[i][:, None] + np.arange(min_bytes), len(b.data) - 1)]
+        rows = [(None, _pack(start, end), None)]
+        open_ = code == 2
+        more = np.flatnonzero(open_[e.entry] & ~later)  # occurrences in the least document
+        more = more[e.order[more] != e.head[e.entry[more]]]
+        for name, i, j in zip(e.names.tolist(), e.cut[:-1].tolist(), e.cut[1:].tolist()):
+            mine = i + np.flatnonzero(open_[i:j])
+            if not len(mine):
+                continue
+            h = e.head[mine]
+            n_left, n_right = a.at[h] - a.start[h], a.end[h] - a.at[h]
+            right = b.data[np.minimum(a.at[h][:, None] + np.arange(min_bytes), len(b.data) - 1)]
             right[np.arange(min_bytes) >= n_right[:, None]] = 0
-            left = b.data[np.maximum(a.at[i][:, None] - 1 - np.arange(reach), 0)]
+            left = b.data[np.maximum(a.at[h][:, None] - 1 - np.arange(reach), 0)]
             left[np.arange(reach) >= n_left[:, None]] = 0
-            rows.append((int(names[w]), _pack((a.gram[i] >> np.uint64(32)).astype(np.uint32), b.ids[a.doc[i]], a.at[i], n_left.astype(np.uint8), n_right.astype(np.uint8), left, right)))
-        return pa.table({"block": [row["block"]] * len(rows), "bucket": [x for x, _ in rows], "entries": [x for _, x in rows]}, schema=_SENT)
+            others = more[np.searchsorted(e.entry[more], i) : np.searchsorted(e.entry[more], j)]
+            of = np.searchsorted(mine, e.entry[others]).astype(np.uint32)
+            rows.append((int(name), _pack((a.gram[h] >> np.uint64(32)).astype(np.uint32), b.ids[a.doc[h]], a.at[h], n_left.astype(np.uint8), n_right.astype(np.uint8), left, right), _pack(of, a.at[e.order[others]])))
+        return pa.table({"block": [row["block"]] * len(rows), "bucket": [x for x, *_ in rows], "entries": [x for _, x, _ in rows], "others": [x for *_, x in rows]}, schema=_SENT)
 
     return resolve
 
 
-_SENT = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("entries", pa.binary())])
+_SENT = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("entries", pa.binary()), ("others", pa.binary())])
 
 
 def _scanner(min_bytes: int, k: int):
@@ -284,20 +326,29 @@ def _scanner(min_bytes: int, k: int):
     kinds = (np.uint32, np.int64, np.int64, np.uint8, np.uint8, (np.uint8, reach), (np.uint8, min_bytes))
 
     def scan(table: pa.Table) -> pa.Table:
-        """Repeat groups of a bucket; each occurrence in a document larger than its group's smallest is a span."""
+        """Maximal repeat groups of a bucket; each occurrence in a document larger than its group's smallest is a span."""
         parts = [_unpack(x.as_buffer().to_pybytes(), *kinds) for x in table.column("entries")]
-        home = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
+        others = [_unpack(x.as_buffer().to_pybytes(), np.uint32, np.int64) for x in table.column("others")]
+        cut = np.cumsum([0, *(len(p[0]) for p in parts)])
         tag, doc, at, n_left, n_right, left, right = (np.concatenate(x) for x in zip(*parts))
-        found_at, found_home = [], []
-        for x, group, member in repeat_groups(tag, left, right, n_left.astype(np.int64), n_right.astype(np.int64), min_bytes):
-            least = np.full(group[-1] + 1 if len(group) else 0, NO_ID, np.int64)
+        # all spans of an occurrence hold its anchor, so their union is one span
+        before, after = np.full(len(tag), -1, np.int64), np.full(len(tag), -1, np.int64)
+        for member, group, l, d in repeat_groups(tag, left, right, n_left.astype(np.int64), n_right.astype(np.int64), min_bytes):
+            least = np.full(group[-1] + 1, NO_ID, np.int64)
             np.minimum.at(least, group, doc[member])
-            hit = member[doc[member] > least[group]]
-            found_at.append(at[hit] - x), found_home.append(home[hit])
-        found_at = np.concatenate(found_at) if found_at else np.zeros(0, np.int64)
-        found_home = np.concatenate(found_home) if found_home else np.zeros(0, np.int64)
-        blocks = table.column("block").to_numpy()
-        rows = [(int(blocks[h]), _pack(s := found_at[found_home == h], s + min_bytes)) for h in np.unique(found_home).tolist()]
+            hit = doc[member] > least[group]
+            np.maximum.at(before, member[hit], l[group[hit]])
+            np.maximum.at(after, member[hit], d[group[hit]])
+        rows = []
+        for i, (block, (of, where)) in enumerate(zip(table.column("block").to_pylist(), others)):
+            s = slice(cut[i], cut[i + 1])
+            own = np.flatnonzero(after[s] >= 0)
+            of = of.astype(np.int64)
+            of, where = of[(spared := after[s][of] >= 0)], where[spared]
+            start = np.r_[at[s][own] - before[s][own], where - before[s][of]]
+            end = np.r_[at[s][own] + after[s][own], where + after[s][of]]
+            if len(start):
+                rows.append((block, _pack(start, end)))
         return pa.table({"block": [x for x, _ in rows], "entries": [x for _, x in rows]}, schema=pa.schema([("block", pa.int64()), ("entries", pa.binary())]))
 
     return scan
@@ -310,7 +361,7 @@ def _finish(key, packed: pa.Table, spans: pa.Table) -> pa.Table:
     if not packed.num_rows:
         return _RESULT.empty_table()
     row = packed.to_pylist()[0]
-    b = _Block(row["ids"], row["lengths"], row["zipped"])
+    b = _Block(row["ids"], row["nulls"], row["lengths"], row["zipped"])
     pairs = [_unpack(x.as_buffer().to_pybytes(), np.int64, np.int64) for x in spans.column("entries")]
     start, end = (np.concatenate(x) for x in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 2
     doc, start, end = _spans_of(np.searchsorted(b.offsets, start, side="right") - 1, start, end, len(b.ids))
@@ -323,7 +374,7 @@ def _finish(key, packed: pa.Table, spans: pa.Table) -> pa.Table:
             p, gone = e, gone + e - s
             mine += [s - o, e - o]
         digest.update(raw[p : o + n])
-        out.append((None if b.ids[i] == NO_ID else int(b.ids[i]), n, gone, len(mine) // 2, digest.hexdigest(), mine))
+        out.append((None if b.nulls[i] else int(b.ids[i]), n, gone, len(mine) // 2, digest.hexdigest(), mine))
     return pa.table(dict(zip(_RESULT.names, map(list, zip(*out)))), schema=_RESULT) if out else _RESULT.empty_table()
 
 
@@ -334,22 +385,26 @@ def repeated_spans(docs: DataFrame, min_bytes: int = 50, k: int = 24, id_column:
     spark = docs.sparkSession
     slim = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     total, rows = slim.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
-    n_blocks = max(1, -(-int(total or 0) // block_bytes), -(-rows // 20_000))
-    n_buckets = max(1, -(-int(total or 0) // bucket_bytes))
-    shares = max(1, min(n_blocks, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    total = int(total or 0)
+    growth = max(1.0, (total / GROWTH_BYTES) ** 0.5)
+    n_blocks = max(1, -(-total // int(block_bytes * growth)), -(-rows // int(20_000 * growth)))
+    n_buckets = max(1, -(-total // int(bucket_bytes * growth)))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shares, tasks = min(n_blocks, max(least, -(-n_blocks // BLOCKS_A_TASK))), max(least, -(-n_buckets // BUCKETS_A_TASK))
     name = f"strandlake_blocks_{uuid.uuid4().hex}"
     # null ids are spread by text
     block = F.pmod(F.xxhash64(F.coalesce("id", F.xxhash64("text"))), F.lit(n_blocks)).alias("block")
-    schema = "block long, ids binary, lengths binary, zipped binary"
-    packed = slim.select(block, "id", "text").groupBy("block").applyInArrow(_packer(block_bytes), schema)
+    packed = slim.select(block, "id", "text").groupBy("block").applyInArrow(_packer, "block long, ids binary, nulls binary, lengths binary, zipped binary")
     (packed.repartition(shares, "block").write.format("parquet").option("compression", "uncompressed")
         .bucketBy(shares, "block").sortBy("block").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name))
     packed = spark.table(name)
+    # the plan holds the files and the buckets; the catalogue need not
+    spark.sql(f"drop table {name}")
 
-    signals = packed.mapInArrow(_signaller(min_bytes, k, n_buckets), _SIGNAL)
+    signals = packed.mapInArrow(_signaller(min_bytes, k, n_buckets), _SIGNAL).repartition(tasks, "bucket")
     answers = materialize(signals.groupBy("bucket").applyInArrow(_judge, _ANSWER), "answers")
-    sent = materialize(packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_resolver(min_bytes, k, n_buckets), "block long, bucket long, entries binary"), "sent")
-    found = sent.where("bucket is not null").groupBy("bucket").applyInArrow(_scanner(min_bytes, k), "block long, entries binary")
+    sent = materialize(packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_resolver(min_bytes, k, n_buckets), "block long, bucket long, entries binary, others binary"), "sent")
+    found = sent.where("bucket is not null").repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_scanner(min_bytes, k), "block long, entries binary")
     spans = sent.where("bucket is null").select("block", "entries").unionByName(found)
     return packed.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(_finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
 

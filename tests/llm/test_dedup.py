@@ -52,6 +52,60 @@ def test_spans_of_repeated_ids_and_empty_tables(spark):
     assert suffix_dedup.repeated_spans(spark.createDataFrame([], DOCS)).collect() == []
 
 
+def test_the_largest_id_is_an_id_and_long_and_hot_texts_are_whole(spark):
+    rng = random.Random(5)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(300))
+    own = lambda n: "".join(rng.choice("ijklmnop ") for _ in range(n))
+    top = (1 << 63) - 1
+    docs = [(i, own(200) + passage + own(50)) for i in range(60)] + [(100, own(150_000) + passage + own(10)), (101, (passage[:70] + "|") * 400), (top, passage), (None, passage), (None, own(80))]
+    got = suffix_dedup.repeated_spans(spark.createDataFrame(docs, DOCS), block_bytes=9000, bucket_bytes=2500).collect()
+    want = suffix_dedup.brute_spans([(top if d is None else d, t.encode()) for d, t in docs[:-1]], 50)
+    spans = {r.doc_id: list(r.spans) for r in got if r.doc_id is not None}
+    assert spans == want and sum(r.doc_id is None for r in got) == 2 and spans[top] == [0, 300]
+    assert sorted(len(r.spans) for r in got if r.doc_id is None) == [0, 2]
+
+
+def test_a_block_sends_one_entry_for_each_context():
+    rng = random.Random(6)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(200)).encode()
+    texts = [passage] * 50
+    offsets = np.arange(51) * 200
+    a = suffix_dedup.Anchors(np.frombuffer(b"".join(texts), np.uint8), offsets, 50, 24)
+    e = suffix_dedup._Entries(a, 4)
+    assert len(a.at) == 50 * len(e.head) and (a.doc[e.head] == 0).all() and e.cut[-1] == len(e.head)
+
+
+def _closures(left, right, length):
+    """Maximal repeats around an anchor, from all pairs: members, bytes before, bytes after."""
+    n, common = len(left), lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    out = set()
+    for i in range(n):
+        for x in range(len(left[i]) + 1):
+            y = length - x
+            if y > len(right[i]):
+                continue
+            same = [j for j in range(n) if left[j][:x] == left[i][:x] and len(left[j]) >= x and right[j][:y] == right[i][:y] and len(right[j]) >= y]
+            if len(same) > 1:
+                out.add((tuple(same), min(common(left[i], left[j]) for j in same if j != i), min(common(right[i], right[j]) for j in same if j != i)))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_repeat_groups_are_maximal_with_all_occurrences(seed):
+    rng = random.Random(seed)
+    pick = lambda n: bytes(rng.choice(b"ab") for _ in range(n))
+    anchor, left, right = b"zzzz", [], []
+    for _ in range(60):
+        left.append(pick(rng.choice([6, 6, 6, 3])))
+        right.append((anchor + pick(6))[: rng.choice([10, 10, 8])])
+    pad = lambda x, n: np.frombuffer(x.ljust(n, b"\0"), np.uint8)
+    groups = suffix_dedup.repeat_groups(np.zeros(60, np.uint32), np.stack([pad(x, 6) for x in left]), np.stack([pad(x, 10) for x in right]), np.array([len(x) for x in left]), np.array([len(x) for x in right]), 10)
+    found = set()
+    for member, group, before, after in groups:
+        found |= {(tuple(sorted(member[group == g].tolist())), int(before[g]), int(after[g])) for g in range(group[-1] + 1)}
+    assert found == _closures(left, right, 10)
+
+
 def test_op1_on_the_small_tables(spark):
     got = suffix_dedup.op1_suffix_dedup(spark, "/root/testdata/sf0.001")
     docs = [(r.doc_id, (r.text or "").encode()) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
