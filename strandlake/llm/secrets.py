@@ -2,11 +2,13 @@
 
 Everything is a SQL expression. Positions of the n-th match come from the pieces between matches (``split``) and the matches
 (``regexp_extract_all``): a running sum over both within a row gives code-point offsets in linear time. Weak parts - identifiers,
-opaque strings and endpoints - are reported only if at most ``scope`` code points lie between them and a complementary part, of
-whatever length: an interval self-join on position, done by the largest end of those that start before and the least start of those
-that start after, so that a text with many parts makes no pairs.
+opaque strings and endpoints - are reported only if at most ``scope`` code points lie between them and a complementary part that does
+not overlap them. That interval join is a window over the starts and ends of all parts of a text, in order: a part looks back from its
+start for ends and ahead from its end for starts, so a text with many parts makes no pairs.
 
-Null texts are empty. Every row is scanned on its own, so repeated rows repeat. A row without matches has empty spans.
+Null texts are empty. Every row is scanned on its own, so repeated rows repeat, with ids of any kind or none. A row without matches has
+empty spans; an empty table gives no rows. Spans that start together come in the order of the kinds. Columns other than the two named are
+not read, so their names cannot clash. Texts of any length are scanned whole, in time linear in their length.
 """
 
 from __future__ import annotations
@@ -55,17 +57,18 @@ def find_secrets(docs: DataFrame, scope: int = SCOPE, id_column: str = "doc_id",
     least = F.element_at(F.array(*[F.lit(n) for *_, n in kinds]), F.col("kind") + 1)
     placed = rows.withColumn("end", F.sum(F.col("gap") + F.col("n")).over(run)).withColumn("start", F.col("end") - F.col("n")).where(F.col("kind").isNull() | (F.col("part") >= least) | (F.col("at") == 0)).withColumn("ok", F.col("part") >= least)
     names = [k for k, *_ in kinds]
-    before, after = (Window.partitionBy("row").orderBy(x).rangeBetween(Window.unboundedPreceding, Window.currentRow) for x in (F.asc("start"), F.desc("start")))
+    both = F.explode(F.array(F.struct(F.col("start").alias("pos"), F.lit(True).alias("opens")), F.struct(F.col("end").alias("pos"), F.lit(False).alias("opens")))).alias("e")
+    events = placed.select("row", "doc_id", "kind", "start", "end", "ok", both).select("row", "doc_id", "kind", "start", "end", "ok", "e.*")
+    by = Window.partitionBy("row").orderBy("pos")
     linked = F.lit(False)
     for kind, partners in PARTNERS.items():
-        mates = [names.index(p) for p in partners]
-        mate = F.col("ok") & F.col("kind").isin(mates)
-        ends, starts = F.max(F.when(mate, F.col("end"))).over(before), F.min(F.when(mate, F.col("start"))).over(after)
-        seen = F.coalesce(ends >= F.col("start") - scope, F.lit(False)) | F.coalesce(starts <= F.col("end") + scope, F.lit(False))
-        linked = linked | ((F.col("kind") == names.index(kind)) & seen)
-    kept = placed.withColumn("keep", F.col("ok") & ((F.col("kind") < len(BASE)) | linked))
+        mate = F.col("ok") & F.col("kind").isin([names.index(p) for p in partners])
+        behind = F.max(mate & ~F.col("opens")).over(by.rangeBetween(-scope, Window.currentRow))
+        ahead = F.max(mate & F.col("opens")).over(by.rangeBetween(Window.currentRow, scope))
+        linked = linked | ((F.col("kind") == names.index(kind)) & F.when(F.col("opens"), behind).otherwise(ahead))
+    kept = events.withColumn("keep", F.col("ok") & ((F.col("kind") < len(BASE)) | linked))
     span = F.when(F.col("keep"), F.struct("start", F.col("kind").alias("order"), F.element_at(F.array(*map(F.lit, names)), F.col("kind") + 1).alias("kind"), "end"))
-    return kept.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(span)).alias("spans")).drop("row")
+    return kept.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_set(span)).alias("spans")).drop("row")
 
 
 def _joined(spans):
