@@ -7,7 +7,10 @@ minimum over whole batches, so the step-by-step search only runs on the others,
 
 The model is fitted on a bounded sample (``SAMPLE_DOCS`` labelled documents, by a hash of their ids) of whole texts; only counts, at most
 languages x 2^16, reach the driver. Null texts and texts without letters are ``und`` with score 0; so is everything if no row is
-labelled. Letters of a script that no label has seen leave the language with the largest prior. Repeated rows repeat.
+labelled. Letters of a script that no label has seen leave the language with the largest prior. Languages of equal weight: the first
+name. Rows are judged one by one: repeated rows repeat, a null doc_id teaches nothing and is not held out, an empty table gives no rows.
+Texts of any length are labelled whole; the working memory beside the text itself is a few numbers a word and language. Other columns
+may have any name; those kept stay as they are.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, buffers, slices, table, word_spans
+from .common import LOWER, buffers, free_name, slices, table, word_spans
 
 SAMPLE_DOCS = 4000
 #: Log-odds that a run of words must gain to be a span of its own.
@@ -56,6 +59,15 @@ def _grams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return starts, ends, first, ((code * np.uint32(2654435761)) >> np.uint32(16)).astype(np.int64), begin
 
 
+def _runs(begin: np.ndarray, letters: int):
+    """Runs of words with about so many letters, or a single longer word."""
+    a = 0
+    while a < len(begin) - 1:
+        z = max(a + 1, int(np.searchsorted(begin, begin[a] + letters, side="right")) - 1)
+        yield a, z
+        a = z
+
+
 class Model:
     """Log-odds of trigrams by language, and the scripts in which each language was seen."""
 
@@ -71,7 +83,8 @@ class Model:
         starts, ends, first, bins, begin = _grams(data, off)
         scores = np.zeros((len(starts), len(self.names)), np.float32)
         if len(starts):
-            scores = np.add.reduceat(self.logs[bins], begin[:-1], axis=0)
+            for a, z in _runs(begin, 1 << 18):  # bounded memory, however long a text is
+                scores[a:z] = np.add.reduceat(self.logs[bins[begin[a] : begin[z]]], begin[a:z] - begin[a], axis=0)
             able = self.seen[:, _SCRIPT[data[starts]]].T
             scores = np.where(able.any(axis=1, keepdims=True), np.where(able, scores, np.float32(-60)), np.float32(0))
         return starts, ends, first, scores
@@ -187,7 +200,7 @@ def identify(docs: DataFrame, model: Model, penalty: float = PENALTY, keep: list
     """doc_id, lang_pred, score (share of the letters' bytes in that language) and, if asked, ``spans``: (start, end, lang) in bytes; then ``keep``."""
     kept = [c for c in keep or [] if c != "doc_id"]
     lettered = F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False))
-    slim = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), lettered.alias("__lettered"), *[F.col(c).alias(f"kept_{c}") for c in kept])
+    slim = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), lettered.alias("is_lettered"), *[F.col(c).alias(f"kept_{c}") for c in kept])
     fields = [slim.schema["doc_id"], *[slim.schema[f"kept_{c}"] for c in kept]]
     names = np.array([*model.names, UNKNOWN], dtype=object)
     shape = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())])
@@ -195,7 +208,7 @@ def identify(docs: DataFrame, model: Model, penalty: float = PENALTY, keep: list
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                starts, ends, text, labels, off, best, known, score, n = model.judge(part.column("text"), part.column("__lettered"), penalty)
+                starts, ends, text, labels, off, best, known, score, n = model.judge(part.column("text"), part.column("is_lettered"), penalty)
                 out = [part.column("doc_id"), pa.array(names[np.where(known, best, len(model.names))], pa.string()), pa.array(score)]
                 if with_spans:
                     new = np.r_[True, (labels[1:] != labels[:-1]) | (text[1:] != text[:-1])] if len(labels) else np.zeros(0, bool)
@@ -214,7 +227,7 @@ def identify(docs: DataFrame, model: Model, penalty: float = PENALTY, keep: list
 
 def identified(docs: DataFrame, model: Model, least_share: float, penalty: float = PENALTY) -> DataFrame:
     """``docs``, all columns, less the rows that are ``und`` or whose language has less than ``least_share`` of the letters; no shuffle."""
-    lettered = "__lettered"
+    lettered = free_name(docs, "lettered")
     marked = docs.withColumn(lettered, F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)))
 
     def keep(batches):
@@ -233,4 +246,4 @@ def remainder(divisor: int):
 def op3_language(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = fit(docs.where(remainder(4) != 2))
-    return identify(docs, model).select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score")
+    return identify(docs, model).select("doc_id", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")

@@ -47,14 +47,63 @@ def test_shards_of_a_target_size_and_of_nothing(spark, small):
     total = sum(len((t or "").encode()) + 16 for _, t, *_ in _docs())
     assert kd_shards.assign(docs, target_bytes=total // 7 + 1).select("shard").distinct().count() == 7
     assert kd_shards.assign(docs.limit(0), 40).collect() == []
-
-
-def test_cuts_are_weighted_medians(spark):
-    rows = [(i, w) for i, w in enumerate([5, 1, 1, 1, 9, 2, 2, 7, 3, 3])]
-    slim = spark.createDataFrame(rows, "v long, size long").selectExpr("size", "shiftleft(v, 40) as at_x")
-    root = kd_shards.tree(slim, ["x"], 2)
-    low = sum(w for i, w in rows if (i << 40) < root.cut)
-    assert abs(low - 17) <= min(abs(sum(w for i, w in rows if i < c) - 17) for c in range(11))
+    kept = kd_shards.assign(docs, 3, keep=["shard", "text", "size"])
+    assert kept.columns == ["doc_id", "size", "text_crc32", "shard", "slot", "shard", "text", "size"]
+    assert {r[5] for r in kept.collect()} == {"x"}
+
+
+def test_shards_divide_repeated_rows_and_keep_small_groups_together(spark):
+    equal = kd_shards.assign(spark.createDataFrame([(7, "one text", "en", "s")] * 400 + [(None, None, None, None)] * 40, FULL), 40).collect()
+    sizes = Counter()
+    for r in equal:
+        sizes[r.shard] += r["size"]
+    assert set(sizes) == set(range(40)) and max(sizes.values()) - min(sizes.values()) <= 2 * 24
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"w{rng.randrange(9999)}" for _ in range(rng.randint(5, 200))), rng.choice("ab"), rng.choice("xyz")) for i in range(3000)]
+    rows += [(5000 + 3 * i + j, rows[i][1], rng.choice("ab"), rng.choice("xyz")) for i in range(100) for j in range(3)]
+    got = kd_shards.assign(spark.createDataFrame(rows, FULL), 8).collect()
+    texts, at = {r[0]: r[1] for r in rows}, {}
+    for r in got:
+        at.setdefault(texts[r.doc_id], set()).add(r.shard)
+    assert all(len(x) == 1 for x in at.values())
+    sizes = Counter()
+    for r in got:
+        sizes[r.shard] += r["size"]
+    assert max(sizes.values()) <= 1.06 * min(sizes.values())
+
+
+def _tree(rows, leaves, widths, base, out):
+    """Rows of (size, (at...), tie, key) into leaves, by definition: sort along the widest dimension, cut at the nearer side of the row that holds the goal."""
+    if leaves == 1 or not rows:
+        for r in rows:
+            out[r[3]] = base
+        return out
+    top = [r[1] for r in rows]
+    digit = lambda v: v >> 45
+    spans = [(max(digit(x[i]) for x in top) - min(digit(x[i]) for x in top)) / widths[i] for i in range(len(widths))]
+    dim = max(range(len(widths)), key=lambda i: (spans[i], -i))
+    rows = sorted(rows, key=lambda r: (r[1][dim], r[2]))
+    goal, upto, cut = sum(r[0] for r in rows) * (leaves // 2) / leaves, 0, 0
+    for cut, r in enumerate(rows):
+        if upto + r[0] > goal:
+            cut += (goal - upto) * 2 > r[0]
+            break
+        upto += r[0]
+    _tree(rows[:cut], leaves // 2, widths, base, out)
+    return _tree(rows[cut:], leaves - leaves // 2, widths, base + leaves // 2, out)
+
+
+@pytest.mark.parametrize("leaves,hot", [(7, 0), (12, 300), (33, 50)])
+def test_leaves_are_those_of_the_tree_by_definition(spark, monkeypatch, leaves, hot):
+    monkeypatch.setattr(kd_shards, "FINE", 0)
+    monkeypatch.setattr(kd_shards, "GROUP", 0)
+    monkeypatch.setattr(kd_shards, "LEVELS", 3)
+    rng = random.Random(leaves)
+    at = lambda: rng.randrange(1 << 15) << 45 | rng.randrange(1 << 45)
+    rows = [(rng.randint(16, 400), at() if i >= hot else 5, at() if i % 3 else 77, rng.randrange(1 << 60), i) for i in range(500)]
+    got = {r.key: r.shard for r in kd_shards.leaved(spark.createDataFrame(rows, "size long, at_a long, at_b long, tie long, key long"), ["a", "b"], leaves).collect()}
+    widths = [max(1, max(r[i] >> 45 for r in rows) - min(r[i] >> 45 for r in rows)) for i in (1, 2)]
+    assert got == _tree([(s, (a, b), t, k) for s, a, b, t, k in rows], leaves, widths, 0, {})
 
 
 def _sql(query, path):
@@ -123,10 +172,15 @@ def test_urls_match_brute_force(spark):
     rng = random.Random(6)
     hosts = ["example.com", "www.example.com", "WWW.Example.COM", "a.b.www.example.com", "com", "xcom", "net", "a.net", "example.net.", ".com", "", "É.com", "example.com:80", "org"]
     urls = [rng.choice(["http://", "https://", "//", "", "x://y://"]) + rng.choice(hosts) + rng.choice(["", "/", "/en/", "/en", "/en/x?a=/es/", "/es/#", "?/en/", "#x", "/fr/1\n2", "/EN/"]) for _ in range(600)] + [None, "", "://"]
-    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumns({"host": F.lit(1), "__x": F.lit(2)})
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumns({"host": F.lit(1), "keys": F.lit(2), "best": F.lit(3), "__keys": F.lit(4)})
+    assert url_cascade.judge_urls(pages).columns == ["page_id", "url", "keys", "best", "__keys", "host", "path", "rule", "verdict"]
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_cascade.judge_urls(pages).collect()}
     assert got == {i: _judge(u) for i, u in enumerate(urls)}
     assert url_cascade.judge_urls(pages.limit(0)).collect() == []
+    in_parts = url_cascade.judge_urls(pages, part_keys=2).collect()
+    assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in in_parts} == got
+    odd = spark.createDataFrame([(None, "http://a.net/es/" + "x" * 300_000), (None, None), (1, "http://a.net/es/"), (1, "http://a.net/es/")], "page_id long, url string")
+    assert sorted(r.verdict for r in url_cascade.judge_urls(odd).collect()) == ["allow", "block", "block", "block"]
 
 
 def test_cascade_is_exact_over_its_universe(spark):

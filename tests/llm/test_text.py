@@ -40,6 +40,11 @@ def test_language_spans_and_edge_cases(spark):
     assert [s.lang for s in got[3].spans] == ["en", "de"] and got[4].lang_pred == "en" and got[5].lang_pred in model.names
     assert language.identified(df, model, 0.3).columns == df.columns
     assert {r.doc_id for r in language.identified(df, model, 0.3).collect()} == {4, 5}
+    clash = df.withColumn("lettered", F.lit("kept")).withColumn("__lettered", F.lit(1))
+    assert language.identified(clash, model, 0.3).columns == clash.columns and {r.lettered for r in language.identified(clash, model, 0.3).collect()} == {"kept"}
+    long = spark.createDataFrame([(None, "the and of the in this " * 60_000, "en"), (2, "the" * 400_000, "en")], "doc_id long, text string, lang string")
+    assert [r.lang_pred for r in language.identify(long, model).collect()][0] == "en" and language.fit(long.where("doc_id is null")).names == []
+    assert language.identify(df.limit(0), model).collect() == []
     empty = language.fit(spark.createDataFrame([], "doc_id long, text string, lang string"))
     assert language.identify(df, empty).collect()[3].lang_pred == "und"
 
@@ -113,6 +118,32 @@ def test_clause_grammar():
     assert T.clause_score([T.THREAT, T.TARGET], [0, 0]) > 0 == T.clause_score([T.THREAT, T.OTHER], [0, 0])
 
 
+def _stepwise(symbols, weights):
+    """The same grammar by its machines, one after the other."""
+    states, total = [m.start for m in toxicity.MACHINES], 0.0
+    for symbol, weight in zip(symbols, weights):
+        taken = [m.step(s, symbol) for m, s in zip(toxicity.MACHINES, states)]
+        states = [t[0] for t in taken]
+        total += np.prod([t[1] for t in taken]) * sum(t[2] + weight * t[3] for t in taken)
+    return total
+
+
+def test_composed_table_is_the_machines_in_step():
+    rng = random.Random(3)
+    assert len(toxicity.composed()[0]) <= 4 * 2 * 2 * 5
+    for _ in range(500):
+        symbols = [rng.randrange(6) for _ in range(rng.randint(0, 20))]
+        weights = [rng.random() * 5 if s == toxicity.INSULT else 0.0 for s in symbols]
+        assert toxicity.clause_score(symbols, weights) == pytest.approx(_stepwise(symbols, weights))
+
+
+def test_contractions_negate():
+    grammar = toxicity.Grammar({toxicity._hash("fool"): 5.0})
+    texts = ["he is a fool.", "he isn't a fool.", "he ISN'T a fool.", "he isn\u2019t a fool.", "t a fool.", "", "n't fool"]
+    got = grammar.strengths(*buffers(pa.array(texts))).tolist()
+    assert got[1] < got[0] and got[1] == got[2] == got[3] and got[5] == 0 and got[6] < 5.0
+
+
 def test_toxicity_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.1"
     got = toxicity.op7_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
@@ -175,3 +206,27 @@ def test_padded_and_long_keys_are_weak_secrets(spark):
     rows = [(i, f"{ident} {k}") for i, k in enumerate(keys)]
     got = {r.doc_id: [(s.kind, s.end - s.start) for s in r.spans] for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: [("weak_id", 18), ("weak_secret", len(k))] if i < 3 else [] for i, k in enumerate(keys)}
+
+
+WEAK = [(k, re.compile(p, re.A)) for k, p, *_ in secrets.WEAK]
+
+
+def _linked(text, scope):
+    """All parts, and of the weak ones those with a complementary part beside them, by comparing all pairs."""
+    parts = [(s, o, k, e) for s, o, k, e in _base(text)]
+    parts += [(m.start(), 3 + i, k, m.end()) for i, (k, p) in enumerate(WEAK) for m in p.finditer(text)]
+    beside = lambda a, b: 0 <= a[0] - b[3] <= scope or 0 <= b[0] - a[3] <= scope
+    return sorted(a for a in parts if a[1] < 3 or any(b[2] in secrets.PARTNERS[a[2]] and beside(a, b) for b in parts))
+
+
+@pytest.mark.parametrize("scope", [0, 7, 160])
+def test_linked_spans_match_all_pairs(spark, scope):
+    rng = random.Random(scope)
+    key = lambda: "".join(rng.choice("abcXYZ019+/") for _ in range(rng.choice([32, 40, 70]))) + rng.choice(["", "=", "=="])
+    ident = lambda: "A" + "".join(rng.choice("BCD0123") for _ in range(rng.randint(15, 31)))
+    pieces = [key, ident, lambda: "https://h.example.com:80/x", lambda: "password=" + "q" * rng.randint(5, 300), lambda: "AKIA" + "A1" * rng.randint(3, 15), lambda: " " * rng.randint(1, 200), lambda: "\n", lambda: " word "]
+    docs = [(i, "".join(rng.choice(pieces)() + rng.choice(["", " ", "\n"]) for _ in range(rng.randint(0, 12)))) for i in range(250)]
+    docs += [(900, "AKIA" + "A1" * 15), (901, "A" * 16 + "1" + " " * 198 + "aB3" * 12), (902, "password=" + "x" * 400 + " https://x.example.com"), (903, (ident() + " " + key() + " ") * 3000)]
+    got = {r.doc_id: [tuple(x) for x in r.spans] for r in secrets.find_secrets(spark.createDataFrame(docs, "doc_id long, text string"), scope).collect()}
+    assert got == {d: _linked(t, scope) for d, t in docs}
+    assert [k for _, _, k, _ in got[900]] == ["access"] and got[901] == [] and len(got[902]) == (1 if scope == 0 else 2)
