@@ -16,7 +16,7 @@ contexts are one suffix with several occurrences.
 4. Blocks join the answers into removed spans: an occurrence in a document larger than its group's least is removed over the group's whole
    length, and one of a context that a smaller document holds over the whole context.
 
-Contexts are held equal by 96 bits of two independent hash families beside the string's own 32 and bucket; groups of unequal ones by their bytes.
+Contexts are held equal by 80 bits of two independent hash families beside the string's own 32 and bucket; groups of unequal ones by their bytes.
 A passage that stands in every document costs a bucket one entry for each block; blocks and buckets grow with the root of the input beyond
 ``GROWTH_BYTES``, so entries for each (block, bucket) and a bucket's entries for such a passage stay few.
 
@@ -77,7 +77,7 @@ class Anchors:
         self.end = np.minimum(at + min_bytes, offsets[self.doc + 1])
         shift = (at - self.start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         self.context = self.hash.spans(self.start, self.end) ^ shift
-        self.check = ((RollingHash(data, 1).spans(self.start, self.end) ^ shift) >> np.uint64(32)).astype(np.uint32)
+        self.check = ((RollingHash(data, 1).spans(self.start, self.end) ^ shift) >> np.uint64(48)).astype(np.uint16)
         self.low = self.start
         self.high = np.minimum(at, offsets[self.doc + 1] - min_bytes)
 
@@ -162,18 +162,21 @@ def _squeeze(x: np.ndarray) -> bytes:
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of one length, each compressed, after a header of their sizes."""
-    parts = [_squeeze(x) for x in arrays]
-    head = np.array([len(arrays[0]), *map(len, parts)], dtype=np.int64)
+    """Arrays of one length, each by byte planes and compressed, after a header of their sizes."""
+    parts = [_squeeze(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T if x.itemsize > 1 and len(x) else x) for x in arrays]
+    head = np.array([len(arrays[0]), *map(len, parts)], dtype=np.int32)
     return head.tobytes() + b"".join(parts)
 
 
 def _unpack(blob: bytes, *kinds) -> list[np.ndarray]:
-    head = np.frombuffer(blob, np.int64, len(kinds) + 1)
-    out, at = [], head.nbytes
+    head = np.frombuffer(blob, np.int32, len(kinds) + 1)
+    out, at, n = [], head.nbytes, int(head[0])
     for size, (kind, width) in zip(head[1:], [k if isinstance(k, tuple) else (k, 1) for k in kinds]):
-        raw = pa.decompress(blob[at : at + int(size)], int(head[0]) * np.dtype(kind).itemsize * width, codec="zstd", asbytes=True)
-        x = np.frombuffer(raw, kind)
+        wide = np.dtype(kind).itemsize
+        raw = np.frombuffer(pa.decompress(blob[at : at + int(size)], n * wide * width, codec="zstd", asbytes=True), np.uint8)
+        if wide > 1:
+            raw = np.ascontiguousarray(raw.reshape(wide, n).T).ravel()
+        x = raw.view(kind)
         out.append(x.reshape(-1, width) if width > 1 else x)
         at += int(size)
     return out
@@ -224,9 +227,8 @@ class _Entries:
         self.names, self.cut = mine[at], np.r_[at, len(mine)]
 
 
-def _wide(context: np.ndarray, check: np.ndarray) -> np.ndarray:
-    """Twelve bytes of hash for each context."""
-    return np.concatenate([context.astype(">u8").view(np.uint8).reshape(-1, 8), check.astype(">u4").view(np.uint8).reshape(-1, 4)], axis=1)
+def _tag(gram: np.ndarray) -> np.ndarray:
+    return (gram >> np.uint64(32)).astype(np.uint32)
 
 
 def _signaller(min_bytes: int, k: int, n_buckets: int):
@@ -236,9 +238,9 @@ def _signaller(min_bytes: int, k: int, n_buckets: int):
                 b = _Block(row["ids"], row["nulls"], row["lengths"], row["zipped"])
                 a = Anchors(b.data, b.offsets, min_bytes, k)
                 e = _Entries(a, n_buckets)
-                tag = (a.gram >> np.uint64(32)).astype(np.uint32)[e.head]
-                context, doc = _wide(a.context[e.head], a.check[e.head]), b.ids[a.doc[e.head]]
-                blobs = [_pack(tag[i:j], context[i:j], doc[i:j]) for i, j in zip(e.cut[:-1], e.cut[1:])]
+                tag, context, check, doc = _tag(a.gram[e.head]), a.context[e.head], a.check[e.head], b.ids[a.doc[e.head]]
+                # tags rise within a bucket: their steps are small
+                blobs = [_pack(np.diff(tag[i:j], prepend=np.uint32(0)), context[i:j], check[i:j], doc[i:j]) for i, j in zip(e.cut[:-1], e.cut[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(e.names, pa.int64()), pa.array(np.full(len(e.names), row["block"]), pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "block", "entries"])
 
     return signal
@@ -246,11 +248,9 @@ def _signaller(min_bytes: int, k: int, n_buckets: int):
 
 def _judge(table: pa.Table) -> pa.Table:
     """For each entry - bit 0: a smaller document has the context; bit 1: the anchor's string stands in other contexts too."""
-    table = table.sort_by("block")
-    parts = [_unpack(x.as_buffer().to_pybytes(), np.uint32, (np.uint8, 12), np.int64) for x in table.column("entries")]
+    parts = [_unpack(x.as_buffer().to_pybytes(), np.uint32, np.uint64, np.uint16, np.int64) for x in table.column("entries")]
     sizes = [len(p[0]) for p in parts]
-    tag, context, doc = (np.concatenate(x) for x in zip(*parts))
-    high, low = np.ascontiguousarray(context[:, :8]).view(">u8").ravel().astype(np.uint64), np.ascontiguousarray(context[:, 8:]).view(">u4").ravel().astype(np.uint32)
+    tag, high, low, doc = (np.concatenate(x) for x in zip(*[(np.cumsum(p[0], dtype=np.uint32), *p[1:]) for p in parts]))
     order = np.lexsort([doc, low, high, tag])
     t, h, c, d = tag[order], high[order], low[order], doc[order]
     new_tag = np.r_[True, t[1:] != t[:-1]]
@@ -312,7 +312,7 @@ def _resolver(min_bytes: int, k: int, n_buckets: int):
             left[np.arange(reach) >= n_left[:, None]] = 0
             others = more[np.searchsorted(e.entry[more], i) : np.searchsorted(e.entry[more], j)]
             of = np.searchsorted(mine, e.entry[others]).astype(np.uint32)
-            rows.append((int(name), _pack((a.gram[h] >> np.uint64(32)).astype(np.uint32), b.ids[a.doc[h]], a.at[h], n_left.astype(np.uint8), n_right.astype(np.uint8), left, right), _pack(of, a.at[e.order[others]])))
+            rows.append((int(name), _pack(_tag(a.gram[h]), b.ids[a.doc[h]], a.at[h], n_left.astype(np.uint8), n_right.astype(np.uint8), left, right), _pack(of, a.at[e.order[others]])))
         return pa.table({"block": [row["block"]] * len(rows), "bucket": [x for x, *_ in rows], "entries": [x for _, x, _ in rows], "others": [x for *_, x in rows]}, schema=_SENT)
 
     return resolve
@@ -394,8 +394,9 @@ def repeated_spans(docs: DataFrame, min_bytes: int = 50, k: int = 24, id_column:
     name = f"strandlake_blocks_{uuid.uuid4().hex}"
     # null ids are spread by text
     block = F.pmod(F.xxhash64(F.coalesce("id", F.xxhash64("text"))), F.lit(n_blocks)).alias("block")
-    packed = slim.select(block, "id", "text").groupBy("block").applyInArrow(_packer, "block long, ids binary, nulls binary, lengths binary, zipped binary")
-    (packed.repartition(shares, "block").write.format("parquet").option("compression", "uncompressed")
+    # one exchange serves the grouping and the buckets
+    packed = slim.select(block, "id", "text").repartition(shares, "block").groupBy("block").applyInArrow(_packer, "block long, ids binary, nulls binary, lengths binary, zipped binary")
+    (packed.write.format("parquet").option("compression", "uncompressed")
         .bucketBy(shares, "block").sortBy("block").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name))
     packed = spark.table(name)
     # the plan holds the files and the buckets; the catalogue need not
