@@ -38,6 +38,8 @@ SAMPLE_POINTS, SAMPLE_QUERIES, ROUTED = 16_384, 256, 0.99
 QUERY_BLOCK, UNIT_QUERIES = 1024, 16_384
 #: Links a point makes; points kept open in a search, and while a point enters; points a batch at most.
 DEGREE, BREADTH, ENTERING, BATCH = 16, 128, 64, 1024
+#: Points of a beam that are opened in one step.
+AT_ONCE = 6
 
 
 def _scaled(v: np.ndarray) -> np.ndarray:
@@ -171,23 +173,30 @@ class Graph:
         moving = rows
         while True:
             open_value = np.where(opened[moving] | (found[moving] < 0), -np.inf, value[moving])
-            best = open_value.argmax(axis=1)
-            alive = np.isfinite(open_value[np.arange(len(moving)), best])
-            moving, best = moving[alive], best[alive]
+            picks = np.argpartition(-open_value, min(AT_ONCE, width) - 1, axis=1)[:, :AT_ONCE]
+            real = np.isfinite(np.take_along_axis(open_value, picks, 1))
+            alive = real.any(axis=1)
+            moving, picks, real = moving[alive], picks[alive], real[alive]
             if not len(moving):
                 return found, value
-            opened[moving, best] = True
-            near = links[found[moving, best]]
-            new = (near >= 0) & ~seen[moving[:, None], near]
-            some = np.flatnonzero(new.any(axis=1))
+            nears = []
+            for e in range(picks.shape[1]):
+                opened[moving[real[:, e]], picks[real[:, e], e]] = True
+                near = np.where(real[:, e : e + 1], links[found[moving, picks[:, e]]], -1)
+                near[(near >= 0) & seen[moving[:, None], near]] = -1
+                r, c = np.nonzero(near >= 0)
+                seen[moving[r], near[r, c]] = True
+                nears.append(near)
+            near = np.concatenate(nears, axis=1)
+            r, c = np.nonzero(near >= 0)
+            v = np.full(near.shape, -np.inf, x.dtype)
+            v[r, c] = np.einsum("nd,nd->n", queries[moving[r]], x[near[r, c]])
+            # only what beats the worst point held can enter
+            some = np.flatnonzero((v > value[moving].min(axis=1)[:, None]).any(axis=1))
             if not len(some):
                 continue
-            near, new, who = near[some], new[some], moving[some]
-            r, c = np.nonzero(new)
-            seen[who[r], near[r, c]] = True
-            v = np.full(near.shape, -np.inf, x.dtype)
-            v[r, c] = np.einsum("nd,nd->n", queries[who[r]], x[near[r, c]])
-            ids = np.concatenate([found[who], np.where(new, near, -1)], axis=1)
+            who, near, v = moving[some], near[some], v[some]
+            ids = np.concatenate([found[who], near], axis=1)
             values = np.concatenate([value[who], v], axis=1)
             done = np.concatenate([opened[who], np.zeros(near.shape, bool)], axis=1)
             top = np.argpartition(-values, width - 1, axis=1)[:, :width]
