@@ -1,14 +1,21 @@
 """SimHash near-duplicates by covering locality-sensitive hashing.
 
-Each bit position gets a random vector of radius + 1 bits; for each of the 2^(radius+1) - 1 nonzero vectors v one table keeps the
+Each bit position gets a vector of radius + 1 bits; for each of the 2^(radius+1) - 1 nonzero vectors v one table keeps the
 bits whose vector is not orthogonal to v. The vectors of at most ``radius`` differing bits never span the whole space, so some v is
 orthogonal to all of them and its table keeps none of those bits: every pair within the radius collides somewhere.
 
 Distinct fingerprints (not documents) enter the tables. Within a bucket, links are found by breadth-first search over unvisited
 members, which yields at most one edge a member and never a list of all pairs; the components of the edges are those of all links.
-Where fingerprints only estimate a similarity, those components are families: every pair in one is compared, by all its fingerprints and
-where these leave it open by its shingle sets, in tasks of bounded size that return a spanning forest of the links that hold.
-Documents without words have fingerprint zero. Null ids take part as copies, but name no component while another id is there.
+
+Where fingerprints only estimate a similarity, several propose: the components of the first one's edges stand for their members in the tables of
+the others, so that a family is proposed about once, not once by each fingerprint. The components are families, and within one every pair
+that could hold is decided by its shingle sets, in tasks of bounded size that return a spanning forest of the links that hold. A large family is compared
+in chunks that share a few pivots first; what these join is one part, and only members of different parts are compared further. So a group
+of copies of any size costs in proportion to it; a large family of documents that are just too unlike costs the square of its size in time.
+
+Documents without words have fingerprint zero; null texts have none. Null ids take part as copies, but name no component while another id is there.
+Equal fingerprints go to the least id; rows that repeat, with their ids or others, stay rows. Texts of any length are hashed
+whole, in runs of a megabyte or one text. Columns other than those named are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -16,7 +23,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, buffers, materialize, mix64, slices, table, word_spans
@@ -24,8 +31,8 @@ from .components import components
 
 #: Rows of the tables that one group of buckets gets, on average.
 GROUP_ROWS = 300_000
-#: Most members of a family in one block; larger families are compared by pairs of blocks. Members in a task, on average.
-BLOCK, TASK_ROWS = 2_048, 4_096
+#: Members of a family in one block, on average; larger families are compared by blocks with pivots, then by pairs of blocks. Members in a task, on average.
+BLOCK, PIVOTS, TASK_ROWS = 2_048, 16, 2_048
 #: Most documents whose table rows are encoded together.
 CHUNK = 1 << 15
 #: Most ids that are broadcast to fetch texts for the exact check; more are joined by a shuffle.
@@ -35,10 +42,14 @@ SEED = 42
 
 
 def masks(radius: int, bits: int = 64, seed: int = 11) -> np.ndarray:
-    """Covering masks as unsigned words. Table v keeps the positions whose vector is not orthogonal to v."""
-    vectors = np.random.default_rng(seed).integers(0, 1 << (radius + 1), bits)
+    """Covering masks over the lowest ``bits`` positions, as unsigned words. Table v keeps the positions whose vector is not orthogonal to v.
+
+    The vectors are all nonzero ones in turn, shuffled, so that tables keep nearly equally many."""
+    count = (1 << (radius + 1)) - 1
+    turns = np.random.default_rng(seed)
+    vectors = np.concatenate([turns.permutation(count) + 1 for _ in range(-(-bits // count))])[:bits]
     out = []
-    for v in range(1, 1 << (radius + 1)):
+    for v in range(1, count + 1):
         kept = [i for i in range(bits) if bin(int(vectors[i]) & v).count("1") % 2 == 1]
         out.append(sum(1 << i for i in kept))
     return np.array(out, dtype=np.uint64)
@@ -115,7 +126,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, width: int = 1, once: bool =
 
 
 def shingle_sets(docs: DataFrame, shingle: int, width: int) -> DataFrame:
-    """(doc_id, codes, shingles): fingerprints over the distinct shingles of each text, and these as 32 bits of their hashes."""
+    """(doc_id, codes, shingles): fingerprints over the distinct shingles of each text, and these as their hashes."""
 
     def compute(batches):
         for batch in batches:
@@ -123,11 +134,10 @@ def shingle_sets(docs: DataFrame, shingle: int, width: int) -> DataFrame:
                 h, bounds = distinct(*shingle_hashes(part.column("text"), shingle, SEED))
                 codes = np.column_stack([fold(mix64(h + np.uint64(j)) if j else h, bounds) for j in range(width)])
                 prints = pa.ListArray.from_arrays(pa.array(np.arange(0, codes.size + 1, width), pa.int32()), pa.array(codes.view(np.int64).ravel()))
-                h, bounds = distinct(h & np.uint64(0xFFFFFFFF), bounds)
-                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(h.astype(np.uint32).view(np.int32)))
+                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(h.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), prints, lists], ["doc_id", "codes", "shingles"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(compute, "doc_id long, codes array<long>, shingles array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(compute, "doc_id long, codes array<long>, shingles array<long>")
 
 
 def _lists(column) -> tuple[np.ndarray, np.ndarray]:
@@ -136,10 +146,10 @@ def _lists(column) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))].astype(np.int64)
 
 
-def spanned(codes: np.ndarray, values: np.ndarray, bounds: np.ndarray, limit: int, sure: int, similarity: float) -> list:
+def spanned(codes: np.ndarray, values: np.ndarray, bounds: np.ndarray, limit: int, similarity: float) -> list:
     """A spanning forest (pairs of positions) of all links among some documents, by breadth-first search over unvisited ones.
 
-    Two link at up to ``sure`` differing bits, and at up to ``limit`` if their sets (``values`` within ``bounds``) are similar enough."""
+    Two link if their sets (``values`` within ``bounds``) are similar enough; those that differ in more than ``limit`` bits are not compared."""
     size = np.diff(bounds)
     names, values = np.unique(values, return_inverse=True)
     mark = np.zeros(len(names), bool)
@@ -150,8 +160,8 @@ def spanned(codes: np.ndarray, values: np.ndarray, bounds: np.ndarray, limit: in
         else:
             x, rest = rest[0], rest[1:]
         apart = np.bitwise_count(codes[rest] ^ codes[x]).sum(axis=1, dtype=np.int64)
-        hit = apart <= sure
-        open_ = np.flatnonzero(~hit & (apart <= limit) & (np.minimum(size[rest], size[x]) >= similarity * np.maximum(size[rest], size[x])))
+        hit = np.zeros(len(rest), bool)
+        open_ = np.flatnonzero((apart <= limit) & (np.minimum(size[rest], size[x]) >= similarity * np.maximum(size[rest], size[x]) - 1e-9))
         if len(open_):
             y = rest[open_]
             own = values[bounds[x] : bounds[x + 1]]
@@ -160,7 +170,7 @@ def spanned(codes: np.ndarray, values: np.ndarray, bounds: np.ndarray, limit: in
             found = np.r_[0, np.cumsum(mark[values[np.repeat(bounds[y] - first, size[y]) + np.arange(size[y].sum())]])]
             mark[own] = False
             both = found[first + size[y]] - found[first]
-            hit[open_] = both >= similarity * (size[x] + size[y] - both)
+            hit[open_] = both >= similarity * (size[x] + size[y] - both) - 1e-9
         if hit.any():
             found = rest[hit]
             edges += [(x, y) for y in found.tolist()]
@@ -170,16 +180,14 @@ def spanned(codes: np.ndarray, values: np.ndarray, bounds: np.ndarray, limit: in
 
 
 def exact_check(docs: DataFrame, shingle: int, similarity: float):
-    """A check for ``near_groups``: edges (a, b) that span, in each family (node, component), the links between all its documents.
+    """A check for ``near_groups``: edges (a, b) that join, in each family (node, component), all documents that links connect.
 
-    Documents link at up to ``sure`` differing bits of ``width`` fingerprints over distinct shingles, and at up to ``limit`` if their sets of
-    shingles have at least this Jaccard similarity. Rows that share a doc_id count as that document, each of them."""
+    Documents link if their sets of shingles have at least this Jaccard similarity; pairs beyond ``limit`` differing bits of ``width``
+    fingerprints over distinct shingles are not compared. Rows that share a doc_id count as that document, each of them."""
 
-    def check(families: DataFrame, width: int, limit: int, sure: int) -> DataFrame:
-        sizes = families.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
-        members = families.join(sizes, "component").withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        members = members.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("i <> j or blocks = 1")
-        members = materialize(members.select(F.col("node").alias("doc_id"), F.xxhash64("component", F.least("i", "j"), F.greatest("i", "j")).alias("unit")), "members")
+    def compared(units: DataFrame, width: int, limit: int) -> DataFrame:
+        """Edges among the documents of each unit, from rows (doc_id, unit)."""
+        members = materialize(units, "members")
         n = members.count()
         ids = members.select("doc_id").distinct()
         few = n <= BROADCAST_IDS
@@ -194,11 +202,43 @@ def exact_check(docs: DataFrame, shingle: int, similarity: float):
             cut = np.r_[0, np.flatnonzero(unit[1:] != unit[:-1]) + 1, len(unit)]
             edges = []
             for s, e in zip(cut[:-1].tolist(), cut[1:].tolist()):
-                edges += [(s + x, s + y) for x, y in spanned(codes[s:e], values[bounds[s] : bounds[e]], bounds[s : e + 1] - bounds[s], limit, sure, similarity)]
+                edges += [(s + x, s + y) for x, y in spanned(codes[s:e], values[bounds[s] : bounds[e]], bounds[s : e + 1] - bounds[s], limit, similarity)]
             ends = ids[np.array(edges, np.int64).reshape(-1, 2)]
+            ends = ends[ends[:, 0] != ends[:, 1]]
             return pa.table({"a": pa.array(ends[:, 0], pa.int64()), "b": pa.array(ends[:, 1], pa.int64())})
 
-        return placed.select("task", "unit", "doc_id", "codes", "shingles").groupBy("task").applyInArrow(link, "a long, b long")
+        found = placed.select("task", "unit", "doc_id", "codes", "shingles").groupBy("task").applyInArrow(link, "a long, b long")
+        return materialize(found, "links")
+
+    def check(families: DataFrame, width: int, limit: int) -> DataFrame:
+        blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+        sizes = families.groupBy("component").agg(blocks(F.count(F.lit(1))).alias("blocks"))
+        members = materialize(families.join(sizes, "component").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "chunks")
+        large = members.where("blocks > 1")
+        pivots = large.withColumn("i", F.row_number().over(Window.partitionBy("component").orderBy(F.xxhash64("node", "component"), "node"))).where(F.col("i") <= PIVOTS)
+        pivots = pivots.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        unit = lambda *of: F.xxhash64(*of).alias("unit")
+        chunks = members.select("node", "component", "chunk").unionByName(pivots.select("node", "component", "chunk")).distinct()
+        first = compared(chunks.select(F.col("node").alias("doc_id"), unit("component", "chunk")), width, limit)
+        if not large.limit(1).count():
+            return first
+        # members of large families that pivots and chunks have not joined are compared with all others: by blocks of the largest part and of the rest
+        joined = components(first).select("node", F.col("component").alias("part"))
+        parted = materialize(large.select("node", "component").join(joined, "node", "left").withColumn("part", F.coalesce("part", "node")), "parts")
+        main = parted.groupBy("component", "part").count().groupBy("component").agg(F.max_by("part", F.struct("count", "part")).alias("main"))
+        sided = parted.join(main, "component").withColumn("rest", F.col("part") != F.col("main"))
+        counts = sided.groupBy("component").agg(blocks(F.sum(F.col("rest").cast("int"))).alias("rests"), blocks(F.sum((~F.col("rest")).cast("int"))).alias("mains")).where("rests > 0")
+        open_ = materialize(sided.join(counts, "component"), "sides")
+        if not open_.limit(1).count():
+            return first
+        own = F.pmod(F.xxhash64("node"), F.when(F.col("rest"), F.col("rests")).otherwise(F.col("mains"))).cast("int")
+        blocked = open_.withColumn("own", own)
+        with_main = blocked.withColumn("other", F.explode(F.when(F.col("rest"), F.sequence(F.lit(0), F.col("mains") - 1)).otherwise(F.sequence(F.lit(0), F.col("rests") - 1))))
+        m, r = F.when(F.col("rest"), F.col("other")).otherwise(F.col("own")), F.when(F.col("rest"), F.col("own")).otherwise(F.col("other"))
+        across = with_main.select(F.col("node").alias("doc_id"), unit("component", F.lit("main"), m, r))
+        among = blocked.where("rest").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("rests") - 1)))
+        among = among.where("own <> other or rests = 1").select(F.col("node").alias("doc_id"), unit("component", F.lit("rest"), F.least("own", "other"), F.greatest("own", "other")))
+        return first.unionByName(compared(across.unionByName(among), width, limit))
 
     return check
 
@@ -217,8 +257,8 @@ def _decoded(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(step, dtype=np.uint64).view(np.int64), raw[8 * n :].view("<u8")
 
 
-def table_rows(named: DataFrame, kept: np.ndarray, spread: int) -> DataFrame:
-    """(group, rows): all rows of the tables, encoded. A row goes to a group of its table's buckets by the bits that the table keeps; table
+def table_rows(named: DataFrame, kept: np.ndarray, spread: int, fingers: slice = slice(None)) -> DataFrame:
+    """(group, rows): all rows of the tables of some fingerprints, encoded. A row goes to a group of its table's buckets by the bits that the table keeps; table
     and key follow from group and code."""
 
     def place(batches):
@@ -236,7 +276,7 @@ def table_rows(named: DataFrame, kept: np.ndarray, spread: int) -> DataFrame:
         chunk = chunk.sort_by("rep")
         rep = chunk.column("rep").to_numpy()
         codes = _lists(chunk.column("codes"))[0].view(np.uint64).reshape(len(rep), -1)
-        for at in range(codes.shape[1]):
+        for at in range(codes.shape[1])[fingers]:
             code, groups, blobs = np.ascontiguousarray(codes[:, at]), [], []
             for v, mask in enumerate(kept):
                 slot = (mix64(code & mask) % np.uint64(spread)).astype(np.int64)
@@ -299,31 +339,41 @@ def _linker(limit: int, kept: np.ndarray, spread: int):
         for u in range(int(t.max()) if len(left) else 0):
             early |= (apart & kept[u] == 0) & (u < t[left])
         edges = np.unique(np.column_stack([np.r_[originals, rep[left[~early]]], np.r_[copies, rep[right[~early]]]]), axis=0)
+        edges = edges[edges[:, 0] != edges[:, 1]]
         return pa.table({"a": pa.array(edges[:, 0], pa.int64()), "b": pa.array(edges[:, 1], pa.int64())})
 
     return link
 
 
-def near_groups(codes: DataFrame, radius: int = 2, limit: int | None = None, sure: int | None = None, check=None, reach: int | None = None) -> DataFrame:
+def near_groups(codes: DataFrame, radius: int = 2, limit: int | None = None, check=None, reach: int | None = None, bits: int = 64) -> DataFrame:
     """(doc_id, codes, component_id) for rows of ``fingerprints``.
 
     Without ``check``, documents of one fingerprint each link at ``limit`` (the radius unless given) or fewer differing bits. With it, pairs within
-    ``radius`` of each other under any one of their fingerprints are sure to share a bucket; pairs in a bucket within ``reach`` bits (``limit``
-    unless given) of that one join families, and the check is given these (node, component) with the number of fingerprints, ``limit`` and
-    ``sure``: it decides all pairs in a family, up to ``sure`` differing bits of all fingerprints at once and up to ``limit`` by texts."""
+    ``radius`` of each other in the lowest ``bits`` of any one of their fingerprints are sure to share a bucket; pairs in a bucket within ``reach`` bits (``limit``
+    unless given) of that one join families, and the check is given these (node, component) with the number of fingerprints and
+    ``limit``: it decides all pairs in a family, up to ``limit`` differing bits of all fingerprints at once."""
     codes = materialize(codes, "codes")
     classes = codes.groupBy("codes").agg(F.min("doc_id").alias("rep"))
     n, width = codes.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("codes")), F.lit(1))).first()
-    kept = masks(radius)
+    kept = masks(radius, bits)
     spread = max(1, -(-n // GROUP_ROWS))
     limit = radius if limit is None else limit
     reach = limit if reach is None else reach
-    edges = table_rows(classes.where("rep is not null"), kept, spread).groupBy("group").applyInArrow(_linker(reach, kept, spread), "a long, b long")
-    parts = components(edges)
+    named = classes.where("rep is not null")
+
+    def proposed(rows: DataFrame, fingers: slice) -> DataFrame:
+        return table_rows(rows, kept, spread, fingers).groupBy("group").applyInArrow(_linker(reach, kept, spread), "a long, b long")
+
+    parts = components(proposed(named, slice(0, 1)))
+    if width > 1:
+        # members go by their component from here on: edges within it are known
+        labelled = named.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select(F.coalesce("component", "rep").alias("rep"), "codes")
+        more = materialize(proposed(labelled, slice(1, None)), "proposed")
+        parts = components(more.unionByName(parts.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     if check is not None:
-        parts = components(check(materialize(parts, "families"), width, limit, sure))
-    named = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("codes").alias("of"), F.coalesce("component", "rep").alias("component_id"))
-    return codes.join(named, codes.codes == named.of, "left").select("doc_id", "codes", "component_id")
+        parts = components(check(materialize(parts, "families"), width, limit))
+    found = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("codes").alias("of"), F.coalesce("component", "rep").alias("component_id"))
+    return codes.join(found, codes.codes == found.of, "left").select("doc_id", "codes", "component_id")
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
