@@ -6,10 +6,10 @@ group, placed by the least metadata among them. Ties in a dimension are ordered
 so that one source, one group of copies or one repeated row that holds most bytes is cut where the bytes say. A cut goes
 between groups, at the nearer edge, and through one only if it weighs more than ``GROUP`` of a leaf.
 
-A position has eight digits of 15 bits: one of the dimension and three of the text's hash, then the id's hash and the row. One pass over
-the table makes histograms of the first digit for all nodes and dimensions of a level; the bin that holds a cut is refined by the next digit, its
-rows alone. Histograms, cuts and the state of nodes are tables: whatever the number of leaves, the driver gets counts only, and rows
-find their leaf by joins with the cuts of a level.
+A position has digits: the dimension, two of the text's hash, two of the id's hash and the row. One pass over the table makes
+histograms of the first digit for all nodes and dimensions of a level; the bin that holds a cut is refined by the next digit, its
+rows alone. Histograms never reach the driver; the states and cuts of a level do while its nodes are at most ``SMALL``, and are written tables beyond.
+Rows find their leaf by joins with the cuts of a level.
 
 Law ``bytes``: sizes near equal. Null texts weigh 16; null metadata is a value of its own; columns of any name may be kept; an empty table
 gives no rows. A text of any length is one row's weight, so a shard may exceed the others by what one text weighs.
@@ -23,7 +23,11 @@ from pyspark.sql import functions as F
 from .common import materialize, table
 
 SHARDS = 40
-_DIGIT, _DIGITS = 15, 4
+#: Bits of a dimension, of the text's hash beside it, and of ``tie``; digits as (of ``tie``, bits below the digit, bits of it).
+_DIGIT, _TEXT, _TIE = 15, 45, 60
+_PARTS = ((False, _TEXT, _DIGIT), (False, 30, 15), (False, 0, 30), (True, 40, 20), (True, 0, 40))
+#: Most nodes of a level whose cuts are literals on the plan.
+SMALL = 4096
 #: A bin below this share of a leaf's bytes is not refined; a group of equal texts is divided only above that one.
 FINE, GROUP = 1 / 2000, 1 / 50
 #: Levels of the tree after which rows are written with their nodes; rows of a range of slots.
@@ -37,9 +41,9 @@ def _unit(value: Column) -> Column:
 
 
 def positions(rows: DataFrame, dimensions: dict[str, Column], text_hash: Column, row: Column) -> DataFrame:
-    """Adds ``at_<name>`` for each dimension - its digit and three of the text's hash - and ``tie``: the row's."""
-    text = F.shiftrightunsigned(text_hash, 64 - 3 * _DIGIT)
-    return rows.withColumns({**{f"at_{k}": F.shiftleft(v.cast("long"), 3 * _DIGIT).bitwiseOR(text) for k, v in dimensions.items()}, "tie": row})
+    """Adds ``at_<name>`` for each dimension - its digit and 45 bits of the text's hash - and ``tie``: the row's."""
+    text = F.shiftrightunsigned(text_hash, 64 - _TEXT)
+    return rows.withColumns({**{f"at_{k}": F.shiftleft(v.cast("long"), _TEXT).bitwiseOR(text) for k, v in dimensions.items()}, "tie": row})
 
 
 def _tie() -> Column:
@@ -47,8 +51,18 @@ def _tie() -> Column:
     return F.shiftleft(F.shiftrightunsigned(F.xxhash64("doc_id"), 24), 20).bitwiseOR(F.shiftrightunsigned(F.xxhash64("row"), 44))
 
 
-def _digit(column: str, i: int) -> Column:
-    return F.shiftright(column, _DIGIT * (_DIGITS - 1 - i)).bitwiseAND(F.lit((1 << _DIGIT) - 1))
+def _digit(column, i: int) -> Column:
+    _, shift, width = _PARTS[i]
+    return F.shiftright(column, shift).bitwiseAND(F.lit((1 << width) - 1))
+
+
+def _pinned(df: DataFrame, label: str, rows: int) -> DataFrame:
+    """The same rows without lineage: literals if there are few, else a written table."""
+    if rows > SMALL:
+        return materialize(df, label)
+    held = "[" + ",".join(df.toJSON().collect()) + "]"
+    shape = F.from_json(F.lit(held), f"array<{df.schema.simpleString()}>")
+    return df.sparkSession.range(1).select(F.inline(shape))
 
 
 def _chosen(names) -> Column:
@@ -64,8 +78,8 @@ def _crossing(bins: DataFrame, keys: list[str]) -> DataFrame:
     return summed.groupBy(*keys, "goal").agg(F.coalesce(hit, past).alias("c")).select(*keys, "goal", "c.*")
 
 
-def cuts(rows: DataFrame, names, extents: list[int], leaf: float) -> DataFrame:
-    """(node, leaves, base, dim, cut_at, cut_tie): a cut for every node of ``rows`` with more than one leaf. ``extents``: the root's."""
+def cuts(rows: DataFrame, names, extents: list[int], leaf: float, nodes: int) -> DataFrame:
+    """(node, leaves, base, dim, cut_at, cut_tie): a cut for every node of ``rows`` with more than one leaf, of which there are at most ``nodes``. ``extents``: the root's."""
     open_ = rows.where("leaves > 1")
     each = F.explode(F.array(*[F.struct(F.lit(i).alias("dim"), _digit(f"at_{n}", 0).alias("bin")) for i, n in enumerate(names)])).alias("x")
     keys = ["node", "leaves", "base"]
@@ -76,43 +90,31 @@ def cuts(rows: DataFrame, names, extents: list[int], leaf: float) -> DataFrame:
     goal = (F.col("weight") * F.expr("leaves div 2") / F.col("leaves")).alias("goal")
     wide = wide.select(*keys, (-F.col("m.less")).alias("dim"), goal)
     state = _crossing(bins.join(wide, [*keys, "dim"]), [*keys, "dim"])
-    state = state.select(*keys, "dim", F.lit(1).alias("digits"), F.col("bin").alias("at"), F.lit(0).cast("long").alias("tie_at"), "w", (F.col("goal") - F.col("before")).alias("goal"))
+    state = state.select(*keys, "dim", F.col("bin").alias("at"), F.lit(0).cast("long").alias("tie_at"), "w", (F.col("goal") - F.col("before")).alias("goal"))
     done = None
-    for digits in range(1, 2 * _DIGITS + 1):
-        state = materialize(state, "cuts")
-        # below the text's digits a bin is one group of equal texts
-        least = leaf * (FINE if digits != _DIGITS else GROUP)
-        stop = F.lit(True) if digits == 2 * _DIGITS else (F.col("w") <= least) | (F.col("goal") <= 0)
-        edge = F.when(F.col("goal") * 2 > F.col("w"), 1).otherwise(0)
-        here = F.when(F.col("w") > 0, edge).otherwise(0)
-        in_text = digits <= _DIGITS
-        shift = _DIGIT * (_DIGITS - digits if in_text else 2 * _DIGITS - digits)
-        at = F.shiftleft(F.col("at") + here, shift) if in_text else F.col("at")
-        tie = F.lit(0).cast("long") if in_text else F.shiftleft(F.col("tie_at") + here, shift)
+    for i, (in_tie, shift, _) in enumerate(_PARTS):
+        last = i + 1 == len(_PARTS)
+        state = _pinned(state, "cuts", nodes)
+        # with the text's last digit a bin is one group of equal texts
+        least = leaf * (GROUP if i == 2 else FINE)
+        stop = F.lit(True) if last else (F.col("w") <= least) | (F.col("goal") <= 0)
+        here = F.when((F.col("w") > 0) & (F.col("goal") * 2 > F.col("w")), 1).otherwise(0)
+        at = F.col("at") if in_tie else F.shiftleft(F.col("at") + here, shift)
+        tie = F.shiftleft(F.col("tie_at") + here, shift) if in_tie else F.lit(0).cast("long")
         settled = state.where(stop).select(*keys, "dim", at.alias("cut_at"), tie.alias("cut_tie"))
         done = settled if done is None else done.unionByName(settled)
         rest = state.where(~stop)
-        if digits == 2 * _DIGITS or not rest.limit(1).count():
+        if last or not rest.limit(1).count():
             break
-        held = rest.select("node", "dim", "at", "tie_at", "goal")
-        inside = open_.join(held, "node")
-        if digits < _DIGITS:
-            inside = inside.where(F.shiftright(_chosen(names), _DIGIT * (_DIGITS - digits)) == F.col("at"))
-            next_ = F.shiftright(_chosen(names), _DIGIT * (_DIGITS - digits - 1)).bitwiseAND(F.lit((1 << _DIGIT) - 1))
-        else:
-            k = digits - _DIGITS
-            inside = inside.where(_chosen(names) == F.col("at"))
-            if k:
-                inside = inside.where(F.shiftright("tie", _DIGIT * (_DIGITS - k)) == F.col("tie_at"))
-            next_ = _digit("tie", k)
-        finer = inside.groupBy(*keys, "dim", "at", "tie_at", "goal", next_.alias("bin")).agg(F.sum("size").alias("w"))
+        inside = open_.join(F.broadcast(rest.select("node", "dim", "at", "tie_at", "goal")) if nodes <= SMALL else rest.select("node", "dim", "at", "tie_at", "goal"), "node")
+        same = (F.shiftright(_chosen(names), shift) == F.col("at")) if not in_tie else (_chosen(names) == F.col("at")) & (F.shiftright("tie", shift) == F.col("tie_at"))
+        into, _, width = _PARTS[i + 1]
+        finer = inside.where(same).groupBy(*keys, "dim", "at", "tie_at", "goal", _digit("tie" if into else _chosen(names), i + 1).alias("bin")).agg(F.sum("size").alias("w"))
         crossed = _crossing(finer, [*keys, "dim", "at", "tie_at"])
-        if digits < _DIGITS:
-            at, tie = F.shiftleft("at", _DIGIT) + F.col("bin"), F.col("tie_at")
-        else:
-            at, tie = F.col("at"), F.shiftleft("tie_at", _DIGIT) + F.col("bin")
-        state = crossed.select(*keys, "dim", F.lit(digits + 1).alias("digits"), at.alias("at"), tie.alias("tie_at"), "w", (F.col("goal") - F.col("before")).alias("goal"))
-    return done
+        at = F.col("at") if into else F.shiftleft("at", width) + F.col("bin")
+        tie = F.shiftleft("tie_at", width) + F.col("bin") if into else F.col("tie_at")
+        state = crossed.select(*keys, "dim", at.alias("at"), tie.alias("tie_at"), "w", (F.col("goal") - F.col("before")).alias("goal"))
+    return _pinned(done, "level", nodes)
 
 
 def _step(rows: DataFrame, level: DataFrame, names) -> DataFrame:
@@ -138,7 +140,7 @@ def leaved(slim: DataFrame, names, leaves: int) -> DataFrame:
         for depth in range((leaves - 1).bit_length()):
             if depth and depth % LEVELS == 0:
                 rows = materialize(rows, "nodes")
-            rows = _step(rows, materialize(cuts(rows, names, extents, total / leaves), "level"), names)
+            rows = _step(rows, cuts(rows, names, extents, total / leaves, min(leaves, 1 << depth)), names)
     return rows.withColumn("shard", F.col("base").cast("int")).drop("node", "leaves", "base")
 
 

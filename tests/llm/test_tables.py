@@ -93,11 +93,12 @@ def _tree(rows, leaves, widths, base, out):
     return _tree(rows[cut:], leaves - leaves // 2, widths, base + leaves // 2, out)
 
 
-@pytest.mark.parametrize("leaves,hot", [(7, 0), (12, 300), (33, 50)])
+@pytest.mark.parametrize("leaves,hot", [(7, 0), (12, 300), (19, 50)])
 def test_leaves_are_those_of_the_tree_by_definition(spark, monkeypatch, leaves, hot):
     monkeypatch.setattr(kd_shards, "FINE", 0)
     monkeypatch.setattr(kd_shards, "GROUP", 0)
     monkeypatch.setattr(kd_shards, "LEVELS", 3)
+    monkeypatch.setattr(kd_shards, "SMALL", 4 if leaves == 19 else 4096)
     rng = random.Random(leaves)
     at = lambda: rng.randrange(1 << 15) << 45 | rng.randrange(1 << 45)
     rows = [(rng.randint(16, 400), at() if i >= hot else 5, at() if i % 3 else 77, rng.randrange(1 << 60), i) for i in range(500)]
