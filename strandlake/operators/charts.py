@@ -27,20 +27,22 @@ def box_plot(rows, title: str = "Quality") -> str:
 
 
 def composition(rows, title: str = "Nucleotide distribution", lines: bool = False) -> str:
-    """Rows of (cycle, nuc, pct), as stacked bars or lines."""
+    """Rows of (cycle, nuc, pct), as stacked bars, or as a line with points for each nucleotide."""
     table: dict[int, dict[str, float]] = {}
     for r in rows:
         table.setdefault(r["cycle"], {})[r["nuc"]] = r["pct"]
     marks = []
-    for cycle, shares in sorted(table.items()):
+    if lines:
+        for nuc, colour in COLOURS.items():
+            points = [(30 + 12 * cycle, 220 - shares.get(nuc, 0) * 1.9) for cycle, shares in sorted(table.items())]
+            marks.append(f'<polyline points="{" ".join(f"{x},{y:g}" for x, y in points)}" fill="none" stroke="{colour}"><title>{nuc}</title></polyline>')
+            marks += [f'<circle cx="{x}" cy="{y:g}" r="2" fill="{colour}"/>' for x, y in points]
+    for cycle, shares in sorted(table.items()) if not lines else ():
         floor = 220.0
         for nuc, colour in COLOURS.items():
             high = shares.get(nuc, 0) * 1.9
-            if lines:
-                marks.append(f'<circle cx="{30 + 12 * cycle}" cy="{220 - high:g}" r="2" fill="{colour}"/>')
-            else:
-                floor -= high
-                marks.append(f'<rect x="{25 + 12 * cycle}" width="10" y="{floor:g}" height="{high:g}" fill="{colour}"/>')
+            floor -= high
+            marks.append(f'<rect x="{25 + 12 * cycle}" width="10" y="{floor:g}" height="{high:g}" fill="{colour}"/>')
     return _page(title, marks, 60 + 12 * max(table, default=1), 240)
 
 

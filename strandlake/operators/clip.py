@@ -6,13 +6,16 @@ mismatches, neutral pairs, gaps) forward along the best predecessor, so that onl
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MATCH, MISMATCH, GAP, NEUTRAL = np.float32(1), np.float32(-1), np.float32(-5), np.float32(0.1)
 FIELDS = ("query_start", "query_end", "target_start", "target_end", "matches", "mismatches", "neutral", "gaps")
+_STRUCT = "struct<" + ", ".join(f"{f}: int" for f in FIELDS) + ", score: float>"
 ALIGNMENT = ", ".join(f"{f} int" for f in FIELDS) + ", score float"
 _QS, _TS, _M, _X, _N, _G = range(6)
 
@@ -84,7 +87,7 @@ def align_all(seqs: pd.Series, adapter: str) -> pd.DataFrame:
     return pd.DataFrame(out)
 
 
-def alignment(adapter: str, column: str = "seq"):
+def alignment(adapter: str, column="seq"):
     """The alignment with ``adapter`` as a struct column, computed in Arrow batches."""
     if not 0 < len(adapter) < 100:
         raise ValueError("an adapter has 1 to 99 bases")
@@ -93,7 +96,7 @@ def alignment(adapter: str, column: str = "seq"):
     def run(seqs: pd.Series) -> pd.DataFrame:
         return align_all(seqs, adapter)
 
-    return run(F.col(column))
+    return run(F.col(column) if isinstance(column, str) else column)
 
 
 def cut_position(a: str = "__a", min_alignment: int = 0, length=None):
@@ -112,21 +115,23 @@ def cut_position(a: str = "__a", min_alignment: int = 0, length=None):
     )
 
 
-def dispositions(adapter: str = "CCTTAAGG", min_length: int = 5, delta: int = 0, keep_n: bool = False, clipped_only: bool = False, unclipped_only: bool = False, adapter_only: bool = False, min_alignment: int = 0):
+def dispositions(adapter: str = "CCTTAAGG", min_length: int = 5, delta: int = 0, keep_n: bool = False, clipped_only: bool = False, unclipped_only: bool = False, min_alignment: int = 0):
     """Cuts reads and adds ``disposition``: ``kept`` or why a read goes (adapter_only, too_short, no_adapter, adapter_found, has_n)."""
 
-    def run(df: DataFrame) -> DataFrame:
-        cut = df.withColumn("__a", alignment(adapter)).withColumn("__cut", cut_position("__a", min_alignment))
-        keep = F.when(F.col("__cut") > 0, F.col("__cut") + (delta + len(adapter) if delta > 0 else 0)).otherwise(F.length("seq"))
-        cut = cut.withColumns({"seq": F.substring("seq", F.lit(1), keep), "qual": F.slice("qual", F.lit(1), F.greatest(keep, F.lit(0)))})
-        why = (
-            F.when(F.col("__cut") == 0, "adapter_only").when(F.length("seq") < min_length, "too_short")
-            .when((F.col("__cut") == -1) & clipped_only, "no_adapter").when((F.col("__cut") > 0) & unclipped_only, "adapter_found")
-            .when(F.contains("seq", F.lit("N")) & (not keep_n), "has_n").otherwise("kept")
-        )
-        return cut.withColumn("disposition", why).drop("__a", "__cut")
+    return lambda df: _disposed(df.withColumn("__a", alignment(adapter)), F.lit(len(adapter)), min_length, delta, keep_n, clipped_only, unclipped_only, min_alignment)
+
 
-    return run
+def _disposed(aligned: DataFrame, size, min_length: int = 5, delta: int = 0, keep_n: bool = False, clipped_only: bool = False, unclipped_only: bool = False, min_alignment: int = 0) -> DataFrame:
+    """Reads with their alignment ``__a`` cut, and ``disposition``; ``size`` is the adapter's length."""
+    cut = aligned.withColumn("__cut", cut_position("__a", min_alignment))
+    keep = F.when(F.col("__cut") > 0, F.col("__cut") + (F.lit(delta) + size if delta > 0 else F.lit(0))).otherwise(F.length("seq"))
+    cut = cut.withColumns({"seq": F.substring("seq", F.lit(1), keep), "qual": F.slice("qual", F.lit(1), F.greatest(keep, F.lit(0)))})
+    why = (
+        F.when(F.col("__cut") == 0, "adapter_only").when(F.length("seq") < min_length, "too_short")
+        .when((F.col("__cut") == -1) & clipped_only, "no_adapter").when((F.col("__cut") > 0) & unclipped_only, "adapter_found")
+        .when(F.contains("seq", F.lit("N")) & (not keep_n), "has_n").otherwise("kept")
+    )
+    return cut.withColumn("disposition", why).drop("__a", "__cut")
 
 
 def clip(adapter: str = "CCTTAAGG", adapter_only: bool = False, **options):
@@ -135,10 +140,33 @@ def clip(adapter: str = "CCTTAAGG", adapter_only: bool = False, **options):
     return lambda df: df.transform(dispositions(adapter, **options)).where(F.col("disposition") == wanted).drop("disposition")
 
 
-def clip_table(df: DataFrame, adapters: list[tuple[str, str]], **options) -> DataFrame:
-    """Every read clipped by each adapter of a short list [(sequence, description)], with the ``adapter`` it was."""
-    parts = [df.transform(clip(s, **options)).withColumn("adapter", F.lit(d)) for s, d in adapters]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+def parse_adapters(lines) -> list[tuple[str, str]]:
+    """[(sequence, description)] of a table of adapters: a tab between the two, ``#`` lines are comments, a missing description is the sequence."""
+    out = []
+    for line in lines:
+        if line.startswith("#") or not line.strip():
+            continue
+        sequence, _, said = line.rstrip("\r\n").partition("\t")
+        if not re.fullmatch("[ACGTNacgtn]{1,99}", sequence.strip()):
+            raise ValueError(f"bad adapter line: {line!r}")
+        out.append((sequence.strip().upper(), said.strip() or sequence.strip()))
     return out
+
+
+def read_adapters(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """An adapter file is a dimension of a few lines."""
+    return parse_adapters([r[0] for r in spark.read.text(path).coalesce(1).collect()])
+
+
+def clip_table(df: DataFrame, adapters: list[tuple[str, str]], min_length: int = 5, delta: int = 0, keep_n: bool = False, **options) -> DataFrame:
+    """Every read clipped by each adapter of a short list [(sequence, description)], with the ``adapter`` it was: one scan, reads times adapters."""
+    place = F.explode(F.sequence(F.lit(0), F.lit(len(adapters) - 1))).alias("__which")
+    copies = df.select("*", place)
+    at = F.when(F.lit(False), F.lit(None).cast(_STRUCT))
+    for i, (sequence, _) in enumerate(adapters):
+        at = at.when(F.col("__which") == i, alignment(sequence, F.when(F.col("__which") == i, F.col("seq"))))
+    sizes = F.element_at(F.array(*[F.lit(len(s)) for s, _ in adapters]), F.col("__which") + 1)
+    names = F.element_at(F.array(*[F.lit(d) for _, d in adapters]), F.col("__which") + 1)
+    found = copies.withColumn("__a", at)
+    done = _disposed(found, sizes, min_length, delta, keep_n, **options)
+    return done.where("disposition = 'kept'").withColumn("adapter", names).drop("disposition", "__which")

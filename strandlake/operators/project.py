@@ -54,13 +54,15 @@ def numbered(df: DataFrame, column: str, slices: int = 256) -> DataFrame:
 
 
 def rename(by: str = "SEQ"):
-    """SEQ: the sequence is the name. COUNT: a 1-based counter in input order, which a scan's ``ord`` already is."""
+    """SEQ: the sequence is the name. COUNT: a 1-based counter of the reads it is given, in input order."""
     if by not in ("SEQ", "COUNT"):
         raise ValueError("rename by SEQ or COUNT")
 
     def run(df: DataFrame) -> DataFrame:
-        name = F.col("seq") if by == "SEQ" else (need_batch(df, "rename by COUNT") and (F.col("ord") + 1).cast("string"))
-        return df.withColumns({"name": name, "name2": F.when(F.col("qual").isNotNull(), name)})
+        if by == "SEQ":
+            return df.withColumns({"name": F.col("seq"), "name2": F.when(F.col("qual").isNotNull(), F.col("seq"))})
+        name = F.col("__no").cast("string")
+        return numbered(df, "__no").withColumns({"name": name, "name2": F.when(F.col("qual").isNotNull(), name)}).drop("__no")
 
     return run
 

@@ -102,9 +102,9 @@ def rename_seq(spark, d):
     return reads(spark, d).transform(project.rename("SEQ")).select("ord", "name", "name2", "seq")
 
 
-@query(f"select ord, cast(ord + 1 as varchar) as name, seq from {O}")
+@query(f"select ord, cast(row_number() over (order by ord) as varchar) as name, seq from {O} where {_LOW} * 100 <= length(q) * 40 - (length(q) * 40) % 100")
 def rename_count(spark, d):
-    return reads(spark, d, "orders").transform(project.rename("COUNT")).select("ord", "name", "seq")
+    return reads(spark, d, "orders").transform(filters.quality_filter(20, 60)).transform(project.rename("COUNT")).select("ord", "name", "seq")
 
 
 @query(f"select ord, name, replace(seq, 'T', 'U') as seq, 'fasta' as fmt from {L}")
@@ -191,7 +191,16 @@ def cycle_nuc_stats(spark, d):
     return stats.cycle_nuc_stats(reads(spark, d))
 
 
-@query(None)
+def _wide(b: str, m: str) -> str:
+    value = f'max(case when nuc = \'{b}\' then "{m}" end)'
+    return (f"coalesce({value}, 0)::bigint" if m == "count" and b != "ALL" else value) + f' as "{b}_{m}"'
+
+
+_WIDE = ", ".join(_wide(b, m) for b in ("ALL", "A", "C", "G", "T", "N") for m in stats.MEASURES)
+
+
+@query(f"""select cycle, (max(max(case when nuc = 'ALL' and cycle = 1 then "count" end)) over ())::bigint as max_count, {_WIDE}
+from (select cycle, nuc, {_ELEVEN} from (select cycle, nuc, {_MEASURES} from (select * from {_CELLS} union all select cycle, 'ALL' as nuc, v from {_CELLS}) group by cycle, nuc)) group by cycle""")
 def cycle_nuc_wide(spark, d):
     return stats.cycle_nuc_wide(reads(spark, d))
 
@@ -250,10 +259,14 @@ def run_metrics(spark, d):
     return metrics.report(before, before.transform(filters.quality_filter(20, 60)))
 
 
-@query(f"select count(*)::bigint as input_reads, (count(*) filter (m > 0))::bigint as masked_reads, sum(m)::bigint as masked_nucleotides from (select len(list_filter(range(1, length(seq) + 1), lambda i: contains('{_LOW20}', substr(q, i::int, 1)) and substr(seq, i::int, 1) <> 'N')) as m from {O})")
+@query(f"select count(*)::bigint as input_reads, (count(*) filter (m > 0))::bigint as masked_reads, sum(m)::bigint as masked_nucleotides from (select len(list_filter(string_split(q, ''), lambda c: ascii(c) - 33 < 20)) as m from {O})")
 def mask_metrics(spark, d):
-    before = reads(spark, d, "orders")
-    return metrics.masked_report(before, before.transform(project.mask(20)))
+    return metrics.masked_report(reads(spark, d, "orders"), 20)
+
+
+@query(f"select count(*)::bigint as input_reads, sum(length(seq) - length(replace(seq, 'T', '')))::bigint as changed_nucleotides from {O}")
+def change_metrics(spark, d):
+    return metrics.changed_report(reads(spark, d, "orders"))
 
 
 @query(None)

@@ -17,26 +17,49 @@ from ..operators.filters import validate
 from ..schema import FASTA, FASTQ_ASCII, FASTQ_NUMERIC, READ_SCHEMA
 
 
-def _lines(spark: SparkSession, path, separator: str | None = None) -> DataFrame:
-    """(value, file, no): text pieces with their 0-based number in the file, and ``base``, the pieces of earlier files."""
-    reader = spark.read.option("lineSep", separator) if separator else spark.read
-    raw = reader.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
-    blocks = raw.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
-    order = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
-    own = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumns({"all": F.coalesce(F.sum("n").over(order), F.lit(0)), "base": F.coalesce(F.sum("n").over(own), F.lit(0))}).drop("n")
-    joined = raw.join(blocks, ["file", "block"])
-    return joined.select("value", "file", (F.col("base") + F.col("id") - F.col("first")).alias("no"), (F.col("all") - F.col("base")).alias("before"))
+def _lines(spark: SparkSession, path, separator: str = "\n", counted=None) -> DataFrame:
+    """(value, file, no, before): text pieces with their 0-based number in the file, and how many records earlier files hold.
+
+    ``counted(last, pieces, value)`` says so for one file: of the number of its last non-blank piece, the count of pieces and the first piece."""
+    raw = spark.read.option("lineSep", separator).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    full = F.max(F.when(F.regexp_like("value", F.lit("[^\r\n]")), F.col("id")))
+    blocks = raw.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"), full.alias("full"), F.min_by(F.substring("value", 1, 2), "id").alias("head"))
+    own = Window.partitionBy("file").orderBy("block")
+    blocks = blocks.withColumn("base", F.coalesce(F.sum("n").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    last = F.coalesce(F.max(F.col("base") + F.col("full") - F.col("first")), F.lit(-1))
+    per = blocks.groupBy("file").agg(last.alias("last"), F.sum("n").alias("pieces"), F.min_by("head", "block").alias("head"))
+    records = counted(F.col("last"), F.col("pieces"), F.col("head")) if counted else F.col("pieces")
+    per = per.withColumn("records", records.cast("long"))
+    per = per.select("file", F.coalesce(F.sum("records").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    joined = raw.join(blocks.select("file", "block", "first", "base").join(per, "file"), ["file", "block"])
+    return joined.select("value", "file", (F.col("base") + F.col("id") - F.col("first")).alias("no"), "before")
 
 
 def _chomp(c):
+    """The first line of a text, cut at its first CR."""
     return F.regexp_replace(c, "[\r\n][\\s\\S]*$", "")
 
 
-def read_fasta(spark: SparkSession, path, multi_line: bool = False, mode: str = "FAILFAST", allow_u: bool = False, lower: bool = False, check: bool = True) -> DataFrame:
+def _not_empty(df: DataFrame, empty: str) -> DataFrame:
+    if empty not in ("ok", "error"):
+        raise ValueError("empty is ok or error")
+    if empty == "error" and not df.limit(1).count():
+        raise ValueError("premature end of input: no records")
+    return df
+
+
+def read_fasta(spark: SparkSession, path, multi_line: bool = False, mode: str = "FAILFAST", allow_u: bool = False, lower: bool = False, check: bool = True, empty: str = "ok") -> DataFrame:
     """Single-line FASTA, alphabet-checked; with ``multi_line`` wrapped FASTA, any letters, as the formatter reads it: blank lines go, and
-    so do lines before the first ``>`` (unless there is none: then they are one read without a name)."""
-    pieces = _lines(spark, path, "\n>")
+    so do lines before the first ``>`` (unless there is none: then they are one read without a name). Lines end at their first CR.
+
+    ``ord`` counts the records of all files, in the order of their paths, from 0. ``empty="error"`` refuses an input without records."""
+
+    def counted(last, pieces, head):
+        blank = F.when(last < 0, 1)
+        stray = F.when(~head.startswith(">"), F.lit(0 if not multi_line else 1))
+        return F.when(blank == 1, 0).when(pieces > 1, pieces - F.coalesce(stray, F.lit(0))).otherwise(pieces)
+
+    pieces = _lines(spark, path, "\n>", counted)
     body = F.when(F.col("no") == 0, F.regexp_replace("value", "^>", "")).otherwise(F.col("value"))
     stray = (F.col("no") == 0) & ~F.col("value").startswith(">")
     parts = pieces.withColumn("body", body).withColumn("stray", stray)
@@ -44,41 +67,54 @@ def read_fasta(spark: SparkSession, path, multi_line: bool = False, mode: str =
     rest = F.when(F.col("stray"), F.col("body")).otherwise(F.regexp_replace("body", "^[^\n]*\n?", ""))
     reads = parts.select((F.col("before") + F.col("no")).alias("ord"), name.alias("name"), rest.alias("rest"), "stray", "file", "no")
     if multi_line:
-        last = F.max("no").over(Window.partitionBy("file"))
-        lone = reads.where("stray").select("file").distinct()
         # lines before the first id count only in a file without ids
+        by = Window.partitionBy("file")
+        lone = reads.where("stray").select("file").distinct()
         if lone.limit(1).count():
-            reads = reads.withColumn("last", last).where(~F.col("stray") | (F.col("last") == 0))
+            reads = reads.withColumns({"last": F.max("no").over(by), "strays": F.max("stray").over(by)}).where(~F.col("stray") | (F.col("last") == 0))
+            reads = reads.withColumn("ord", F.col("ord") - F.when(F.col("strays") & (F.col("last") > 0), 1).otherwise(0))
         seq = F.regexp_replace("rest", "\\s", "")
     else:
-        split = F.split(F.regexp_replace("rest", "\r", ""), "\n")
+        split = F.transform(F.split("rest", "\n"), _chomp)
         seq = F.when(F.size(F.filter(split, lambda s: s != "")) > 1, F.raise_error(F.concat(F.lit("multi-line FASTA at record "), F.col("ord").cast("string"))).cast("string")).otherwise(F.get(split, F.lit(0))) if mode == "FAILFAST" else F.get(split, F.lit(0))
     out = reads.where((F.col("name") != "") | (F.trim("rest") != "")).select("ord", "name", seq.alias("seq"), F.lit(None).cast("string").alias("name2"), F.lit(None).cast("array<int>").alias("qual"), F.lit(FASTA).alias("fmt"))
-    return out if multi_line or not check else out.transform(validate(mode, True, allow_u, lower))
+    return _not_empty(out if multi_line or not check else out.transform(validate(mode, True, allow_u, lower)), empty)
+
 
+def read_fastq(spark: SparkSession, path, offset: int = 33, encoding: str = "auto", mode: str = "FAILFAST", lower: bool = False, check: bool = True, strict: bool = False, empty: str = "ok") -> DataFrame:
+    """Four-line FASTQ. A quality line as long as the sequence is ASCII, any other numeric, unless ``encoding`` says ``ascii`` or ``numeric``.
 
-def read_fastq(spark: SparkSession, path, offset: int = 33, encoding: str = "auto", mode: str = "FAILFAST", lower: bool = False, check: bool = True) -> DataFrame:
-    """Four-line FASTQ. A quality line as long as the sequence is ASCII, any other numeric, unless ``encoding`` says ``ascii`` or ``numeric``."""
-    lines = _lines(spark, path).where("value <> '' or no % 4 <> 0")
-    field = lambda i: F.max(F.when(F.col("no") % 4 == i, F.regexp_replace("value", "\r$", ""))).alias(f"l{i}")
-    records = lines.groupBy("file", "before", F.expr("no div 4").alias("rec")).agg(*[field(i) for i in range(4)])
+    Lines end at their first CR; blank lines after the last record are no record. ``ord`` counts the records of all files, in the order of
+    their paths, from 0. ``strict`` also wants a third line that begins with ``+`` and repeats the name or nothing; ``empty="error"``
+    refuses an input without records."""
+    lines = _lines(spark, path, "\n", lambda last, pieces, head: F.expr("last div 4") + F.when(last < 0, 0).otherwise(1))
+    lines = lines.withColumn("value", _chomp("value")).where("value <> '' or no % 4 <> 0")
+    field = lambda i: F.max(F.when(F.col("no") % 4 == i, F.col("value"))).alias(f"l{i}")
+    records = lines.groupBy("file", "before", F.expr("no div 4").alias("rec")).agg(*[field(i) for i in range(4)]).where("l0 is not null or coalesce(l1, '') <> '' or coalesce(l2, '') <> '' or coalesce(l3, '') <> ''")
     is_ascii = {"auto": F.length("l3") == F.length("l1"), "ascii": F.lit(True), "numeric": F.lit(False)}[encoding]
     qual = F.when(F.col("l3").isNull(), F.array().cast("array<int>")).when(is_ascii, R.decode_ascii("l3", offset)).otherwise(F.transform(F.split(F.trim("l3"), "\\s+"), lambda x: x.try_cast("int")))
     name = F.when(F.col("l0").startswith("@"), F.substring("l0", 2, 1 << 30))
-    reads = records.select((F.expr("before div 4") + F.col("rec")).alias("ord"), name.alias("name"), F.col("l1").alias("seq"), F.coalesce(F.substring("l2", 2, 1 << 30), F.lit("")).alias("name2"), qual.alias("qual"), F.when(is_ascii, FASTQ_ASCII).otherwise(FASTQ_NUMERIC).alias("fmt"))
-    return reads.transform(validate(mode, True, False, lower)) if check else reads
-
-
-def read_reads(spark: SparkSession, path: str, **options) -> DataFrame:
-    """Either kind, by the first character of the first file."""
-    first = spark.read.text(path).where("value <> ''").limit(1).collect()
-    if not first:
-        return spark.createDataFrame([], READ_SCHEMA)
-    if first[0][0][0] not in ">@":
-        raise ValueError(f"neither FASTA nor FASTQ: {path}")
-    if first[0][0][0] == "@":
-        return read_fastq(spark, path, **options)
-    return read_fasta(spark, path, **{k: v for k, v in options.items() if k not in ("offset", "encoding")})
+    name2 = F.coalesce(F.substring("l2", 2, 1 << 30), F.lit(""))
+    if strict:
+        wrong = ~F.coalesce(F.col("l2").startswith("+"), F.lit(False)) | ((name2 != "") & (name2 != name))
+        name2 = F.when(wrong, F.raise_error(F.concat(F.lit("third line of record "), (F.expr("before") + F.col("rec")).cast("string"))).cast("string")).otherwise(name2)
+    reads = records.select((F.col("before") + F.col("rec")).alias("ord"), name.alias("name"), F.col("l1").alias("seq"), name2.alias("name2"), qual.alias("qual"), F.when(is_ascii, FASTQ_ASCII).otherwise(FASTQ_NUMERIC).alias("fmt"))
+    return _not_empty(reads.transform(validate(mode, True, False, lower)) if check else reads, empty)
+
+
+def read_reads(spark: SparkSession, path, **options) -> DataFrame:
+    """Either kind, by the first character of each file; ``ord`` counts FASTA files before FASTQ files. Empty files hold no reads."""
+    raw = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    # a row a file, as many as the driver lists in any case
+    firsts = raw.where("value rlike '[^\\\\r]'").groupBy("file").agg(F.min_by(F.substring("value", 1, 1), F.struct("block", "id")).alias("c")).orderBy("file").collect()
+    paths = {c: [r["file"] for r in firsts if r["c"] == c] for c in ">@"}
+    if odd := [r["file"] for r in firsts if r["c"] not in ">@"]:
+        raise ValueError(f"neither FASTA nor FASTQ: {odd[0]}")
+    own = {k: v for k, v in options.items() if k not in ("offset", "encoding", "strict")}
+    frames = [f(spark, paths[c], **o) for c, f, o in ((">", read_fasta, own), ("@", read_fastq, options)) if paths[c]]
+    if not frames:
+        return _not_empty(spark.createDataFrame([], READ_SCHEMA), options.get("empty", "ok"))
+    return frames[0] if len(frames) == 1 else union(*frames)
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
@@ -97,7 +133,7 @@ def read_report(spark: SparkSession, path: str) -> DataFrame:
 def record_text(fmt: str | None = None, offset: int = 33):
     """A read as text: ``fmt``, or each read as it came."""
     kind = F.lit(fmt) if fmt else F.col("fmt")
-    fasta = F.concat(F.lit(">"), "name", F.lit("\n"), "seq")
+    fasta = F.concat(F.lit(">"), "name", F.when(F.col("seq") == "", "").otherwise(F.concat(F.lit("\n"), "seq")))
     if fmt == FASTA:
         return fasta
     short = F.slice("qual", F.lit(1), F.length("seq"))
@@ -118,28 +154,46 @@ def write_lines(df: DataFrame, path: str, column: str = "line", gzip: bool = Fal
     df.orderBy("ord").select(F.col(column).alias("value")).write.mode(mode).option("compression", "gzip" if gzip else "none").text(path)
 
 
-def write_demultiplexed(assigned: DataFrame, path: str, barcodes, fmt: str | None = None, offset: int = 33, mode: str = "error") -> None:
-    """A folder ``barcode=<ident>`` for each ident and ``unmatched``; those without reads get an empty file."""
+def write_demultiplexed(assigned: DataFrame, path: str, barcodes, fmt: str | None = None, offset: int = 33, mode: str = "error", prefix: str = "", suffix: str = "", gzip: bool = False) -> None:
+    """A folder ``<prefix><ident><suffix>`` of part files for each ident and ``unmatched``, as the report's locations say; those without reads
+    get an empty one. The input is evaluated once."""
     spark = assigned.sparkSession
     rows = assigned.select("barcode", record_text(fmt, offset).alias("value"))
-    rows.write.mode(mode).partitionBy("barcode").text(path)
-    present = {r[0] for r in assigned.select("barcode").distinct().collect()}  # as many as barcodes
-    for ident in {i for i, _ in barcodes} | {"unmatched"}:
-        if ident not in present:
-            spark.createDataFrame([], "value string").coalesce(1).write.mode("append").text(f"{path}/barcode={ident}")
+    rows.write.mode(mode).partitionBy("barcode").option("compression", "gzip" if gzip else "none").text(path)
+    jvm = spark._jvm.org.apache.hadoop.fs
+    files = jvm.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for ident in sorted({i for i, _ in barcodes} | {"unmatched"}):
+        made, named = jvm.Path(f"{path}/barcode={ident}"), jvm.Path(f"{path}/{prefix}{ident}{suffix}")
+        if files.exists(made):
+            files.rename(made, named)
+        else:
+            spark.createDataFrame([], "value string").coalesce(1).write.mode("append").text(f"{path}/{prefix}{ident}{suffix}")
+
+
+#: What the tools print for a nucleotide that a cycle lacks (fixed values).
+ABSENT = {"count": "0", "min": "100", "max": "-100", "sum": "0", "mean": "-nan", "Q1": "100", "med": "100", "Q3": "100", "IQR": "0", "lW": "100", "rW": "-100"}
 
 
-def report_lines(report: DataFrame) -> list[str]:
-    """A statistics report as TSV lines: means with two decimals, absent values empty. A row for each cycle."""
+def report_lines(report: DataFrame, compat: bool = False) -> list[str]:
+    """A statistics report as TSV lines: means with two decimals, absent values empty or, with ``compat``, as the tools print them. A row for each cycle."""
     first = report.columns[0]
     rows = report.orderBy(first).collect()
-    shown = lambda v: "" if v is None else f"{v:.2f}" if isinstance(v, float) else str(v)
-    return ["\t".join(report.columns), *("\t".join(map(shown, r)) for r in rows)]
+
+    def shown(column, v):
+        if v is None:
+            return ABSENT.get(column.rsplit("_", 1)[-1], "") if compat else ""
+        return f"{v:.2f}" if isinstance(v, float) else str(v)
+
+    return ["\t".join(report.columns), *("\t".join(map(shown, report.columns, r)) for r in rows)]
+
+
+def write_report(report: DataFrame, path: str, mode: str = "error", compat: bool = False) -> None:
+    write_text(report.sparkSession, report_lines(report, compat), path, mode)
 
 
-def write_report(report: DataFrame, path: str, mode: str = "error") -> None:
-    lines = report_lines(report)
-    report.sparkSession.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode(mode).text(path)
+def write_text(spark: SparkSession, lines: list[str], path: str, mode: str = "error") -> None:
+    """A report of a few lines (statistics, or ``metrics.*_lines``) as one part file."""
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode(mode).text(path)
 
 
 def html_table(rows: DataFrame, link: str | None = None) -> str:

@@ -7,7 +7,7 @@ import math
 import duckdb
 import pytest
 
-from strandlake.operators import barcode, collapse, project, stats
+from strandlake.operators import barcode, clip, collapse, project, stats
 from strandlake.plans import catalogue
 from strandlake.sources import files
 from strandlake.streaming import reads as streams
@@ -85,7 +85,10 @@ def test_round_trips_and_sinks(spark, tmp_path):
         df.transform(project.to_fasta()).select(files.record_text("fastq_ascii")).collect()
     codes = [("B1", "ACGT"), ("B2", "TTTT")]
     files.write_demultiplexed(df.transform(barcode.assign_barcodes(codes, "bol", 0)), str(tmp_path / "demux"), codes)
-    assert sorted(x.rsplit("=", 1)[1] for x in glob.glob(f"{tmp_path}/demux/barcode=*")) == ["B1", "B2", "unmatched"]
+    assert sorted(x.rsplit("/", 1)[1] for x in glob.glob(f"{tmp_path}/demux/*") if not x.endswith("_SUCCESS")) == ["B1", "B2", "unmatched"]
+    files.write_demultiplexed(df.transform(barcode.assign_barcodes(codes, "bol", 0)), str(tmp_path / "named"), codes, prefix="run_", suffix=".txt")
+    assert [r.seq for r in files.read_fastq(spark, str(tmp_path / "named" / "run_B1.txt")).collect()] == ["ACGT"]
+    assert files.read_fastq(spark, str(tmp_path / "named" / "run_B2.txt")).count() == 0
     report = stats.cycle_stats(df)
     files.write_report(report, str(tmp_path / "report"))
     assert files.read_report(spark, str(tmp_path / "report")).count() == 4
@@ -97,6 +100,80 @@ def test_round_trips_and_sinks(spark, tmp_path):
     assert files.union(df, df).count() == 4
 
 
+def test_many_files_blank_lines_and_carriage_returns(spark, tmp_path):
+    home = tmp_path / "many"
+    home.mkdir()
+    for i in range(5):
+        put(home / f"{i}.fastq", f"@r{i}\r\nACGT\r\n+\r\nIIII\r\n" + "\n" * (i % 3))
+    put(home / "5.fastq", "")
+    put(home / "6.fastq", "@r5 a\rb\nAC\rGT\n+\rx\nII\rJJ\n@r6\nA\n+\nI")
+    df = files.read_fastq(spark, str(home))
+    assert [(r.ord, r.name, r.seq, r.qual) for r in df.orderBy("ord").collect()] == [(i, f"r{i}", "ACGT", [40] * 4) for i in range(5)] + [(5, "r5 a", "AC", [40, 40]), (6, "r6", "A", [40])]
+    wrapped = tmp_path / "wrapped"
+    wrapped.mkdir()
+    put(wrapped / "a.fasta", "junk\n>a\nAC\nGT\n")
+    put(wrapped / "b.fasta", "\n>b\nTT\r\n\n>c\nA\n")
+    put(wrapped / "c.fasta", "")
+    put(wrapped / "d.fasta", ">d\nGG\n")
+    assert [(r.ord, r.name, r.seq) for r in files.read_fasta(spark, str(wrapped), multi_line=True).orderBy("ord").collect()] == [(0, "a", "ACGT"), (1, "b", "TT"), (2, "c", "A"), (3, "d", "GG")]
+    mixed = tmp_path / "mixed"
+    mixed.mkdir()
+    put(mixed / "a.txt", FASTQ)
+    put(mixed / "b.txt", ">x\nACGT\r\n>y\nAC\rTT\n")
+    put(mixed / "c.txt.gz", "@z\nA\n+\nI\n")
+    got = files.read_reads(spark, str(mixed))
+    assert [(r.name, r.seq, r.fmt) for r in got.orderBy("ord").collect()] == [("x", "ACGT", "fasta"), ("y", "AC", "fasta"), ("r1 x", "ACGT", "fastq_ascii"), ("r2", "ACG", "fastq_ascii"), ("r3", "AC", "fastq_numeric"), ("z", "A", "fastq_ascii")]
+    put(mixed / "d.txt", "hello\n")
+    with pytest.raises(ValueError, match="d.txt"):
+        files.read_reads(spark, str(mixed))
+
+
+def test_strict_options(spark, tmp_path):
+    loose = put(tmp_path / "loose.fastq", "@a\nAC\n-\nII\n")
+    assert files.read_fastq(spark, loose).count() == 1
+    for text in ("@a\nAC\n-\nII\n", "@a\nAC\n+b\nII\n"):
+        with pytest.raises(Exception, match="third line of record 0"):
+            files.read_fastq(spark, put(tmp_path / "l.fastq", text), strict=True).collect()
+    assert files.read_fastq(spark, put(tmp_path / "s.fastq", "@a\nAC\n+a\nII\n@b\nAC\n+\nII\n"), strict=True).count() == 2
+    nothing = put(tmp_path / "none.fastq", "")
+    assert files.read_fastq(spark, nothing).collect() == []
+    for read in (files.read_fastq, files.read_fasta, files.read_reads):
+        with pytest.raises(ValueError, match="premature end"):
+            read(spark, nothing, empty="error")
+
+
+def test_empty_sequences_and_absent_nucleotides_as_the_tools_print_them(spark, tmp_path):
+    bare = files.read_fasta(spark, put(tmp_path / "e.fasta", ">a\n>b\nAC\n"), multi_line=True)
+    assert lines(bare) == [">a", ">b", "AC"]
+    report = stats.cycle_nuc_wide(files.read_fastq(spark, put(tmp_path / "a.fastq", "@a\nA\n+\nI\n")))
+    plain, compat = (dict(zip(*(x.split("\t") for x in files.report_lines(report, c)))) for c in (False, True))
+    assert plain["ALL_mean"] == compat["ALL_mean"] == "40.00" and plain["C_min"] == "" and plain["C_count"] == "0"
+    assert [compat[f"C_{m}"] for m in stats.MEASURES] == ["0", "100", "-100", "0", "-nan", "100", "100", "100", "0", "100", "-100"]
+
+
+def test_chains_shaped_like_the_golden_tests(spark, tmp_path):
+    """Offset 64, numeric qualities with -0, a 23-base adapter, a 20-column table with collapsed ids."""
+    full = "CAATTGGTTAATCCCCCTATATA"
+    seqs = ["ACGTACGTACGTACGTACGTACGTACG" + full[:9], "TTGACGATCAAGATCGA" + full[:19], "GATTACA" * 5 + "G", full + "ACGTACGTACGTA"]
+    path = put(tmp_path / "c.fastq", "".join(f"@s{i}\n{s}\n+s{i}\n{'h' * len(s)}\n" for i, s in enumerate(seqs)))
+    df = files.read_fastq(spark, path, offset=64)
+    assert {q for r in df.collect() for q in r.qual} == {40}
+    clipped = df.transform(clip.clip(full, min_length=15, keep_n=True, clipped_only=True))
+    assert lines(clipped, offset=64) == ["@s0", seqs[0][:27], "+s0", "h" * 27, "@s1", seqs[1][:17], "+s1", "h" * 17]
+    numeric = files.read_fastq(spark, put(tmp_path / "n.fastq", "@a\nACGTA\n+\n40 -1 -0 5 12\n"))
+    assert lines(numeric.transform(project.reverse_complement())) == ["@a", "TACGT", "+", "12 5 0 -1 40"]
+    assert lines(numeric.transform(project.convert_quality(False)), offset=64)[3] == "h?@EL"
+    masked = numeric.transform(project.mask(6, "x"))
+    assert lines(masked)[1] == "AxxxA"
+    table = ["\t".join([*map(str, range(9)), f"{i + 1}-{n}", *map(str, range(10))]) for i, n in enumerate([5, 2, 1, 1, 7])]
+    psl = files.read_table(spark, put(tmp_path / "t.psl", "\n".join(table) + "\n"))
+    assert sorted(r.value for r in psl.transform(collapse.uncollapse_tabular(10)).collect()) == sorted(x for x, n in zip(table, [5, 2, 1, 1, 7]) for _ in range(n))
+    few = files.read_fasta(spark, put(tmp_path / "f.fasta", ">1-3\n" + "A" * 16 + "\n>2-1\n" + "C" * 35 + "\n"))
+    assert lines(few.transform(project.trim_end(2, 16))) == [">2-1", "C" * 33]
+    wide = files.read_fasta(spark, put(tmp_path / "w.fasta", ">x y\n" + "ACgt" * 25 + "\n" + "T" * 20 + "\n"), multi_line=True)
+    assert lines(wide.transform(project.reformat(60))) == [">x y", ("ACgt" * 25 + "T" * 20)[:60], ("ACgt" * 25 + "T" * 20)[60:]]
+
+
 def test_streams(spark, tmp_path):
     (tmp_path / "in").mkdir()
     put(tmp_path / "in" / "a.fastq", "@a\nACGT\n+\nIIII\n@b\nACNT\n+\nIIII\n@c\nACGT\n+\nIIII\n")

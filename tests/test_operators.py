@@ -205,11 +205,13 @@ def test_metrics_and_charts(spark):
     r = metrics.report(df, df.transform(filters.without_n())).first()
     assert (r.input_sequences, r.input_reads, r.output_reads, r.discarded_reads, r.discarded_percent) == (2, 4, 1, 3, 75)
     q = fq(spark, ("a", "ACGT", [1, 30, 1, 30]))
-    assert tuple(metrics.masked_report(q, q.transform(project.mask(10))).first()) == (1, 1, 2)
+    assert tuple(metrics.masked_report(q).first()) == (1, 1, 2)
+    assert tuple(metrics.masked_report(fq(spark, ("a", "NCN", [1, 2, 30]), ("b", "AC", [30, 30]))).first()) == (2, 1, 2)
+    assert tuple(metrics.changed_report(fa(spark, ("2-5", "TTA"), ("x", "A"))).first()) == (6, 2)
     report = stats.cycle_stats(q)
     assert charts.box_plot(stats.box_plot(report).collect()).count("<rect") == 4
     rows = stats.composition(report).collect()
-    assert sum(r.pct for r in rows if r.cycle == 1) == 100 and "<svg" in charts.composition(rows) and "<circle" in charts.composition(rows, lines=True)
+    assert sum(r.pct for r in rows if r.cycle == 1) == 100 and "<svg" in charts.composition(rows) and charts.composition(rows, lines=True).count("<polyline") == 5
     assert "<svg" in charts.length_bars(collapse.length_histogram(df).collect())
     with pytest.raises(ValueError):
         barcode.assign_barcodes(CODES, "middle")
@@ -222,3 +224,48 @@ def test_wrap_and_tabulate(spark):
     assert [x for (x,) in out(df.transform(project.tabulate(True)), "line")] == ["a b\tACGTACGT", "e", "c\tACGT"]
     h = df.select(R.hamming(F.lit("ACG"), F.lit("AT")).alias("h")).first().h
     assert h == 2 and df.select(R.hamming_to(F.lit("ACG"), "AT", 3).alias("h")).first().h == 2
+
+
+def test_rename_counts_the_reads_it_is_given(spark):
+    df = fq(spark, *[(f"r{i}", "ACGT", [5 if i % 3 else 30] * 4) for i in range(9)])
+    kept = df.transform(filters.quality_filter(20, 100))
+    assert out(kept.transform(project.rename("COUNT")), "ord", "name", "name2") == [(0, "1", "1"), (3, "2", "2"), (6, "3", "3")]
+
+
+def test_reports_as_text(spark):
+    q = fq(spark, ("a", "ACGT", [1, 30, 1, 30]), ("b", "ACNT", [30] * 4))
+    assert metrics.mask_lines(metrics.masked_report(q), 10, "x") == ["Minimum Quality Threshold: 10", "Low-quality nucleotides replaced with 'x'", "Input: 2 reads.", "Output: 2 reads.", "Masked reads: 1", "Masked nucleotides: 2"]
+    report = metrics.report(q, q.transform(filters.without_n()))
+    assert metrics.run_lines(report, "to_fasta") == ["Input: 2 reads.", "Output: 1 reads.", "discarded 1 (50%) low-quality reads."]
+    assert metrics.run_lines(report, "trim", ["Trimming: base 1 to 3"])[0] == "Trimming: base 1 to 3"
+    c = fa(spark, ("1-3", "AC"), ("2-1", "AC"))
+    assert metrics.collapse_lines(metrics.report(c, c.transform(collapse.collapse()))) == ["Input: 2 sequences (representing 4 reads)", "Output: 1 sequences (representing 4 reads)"]
+    assert metrics.change_lines(metrics.changed_report(q))[-1] == "Nucleotides changed: 2"
+    adapter = "CCTTAAGG"
+    reads = fq(spark, *[(n, s, [30] * len(s)) for n, s in [("full", "ACGTACGTAC" + adapter), ("only", adapter + "ACG"), ("n", "ACNTACGTAC" + adapter)]])
+    assert metrics.clip_lines(metrics.clip_report(reads.transform(clip.dispositions(adapter))), adapter) == [
+        f"Clipping Adapter: {adapter}", "Min. Length: 5", "Input: 3 reads.", "Output: 1 reads.", "discarded 0 too-short reads.", "discarded 1 adapter-only reads.", "discarded 1 N reads."]
+
+
+def test_adapter_tables(spark):
+    lines = ["# comment", "", "cctTAAGG\tfirst one", "GATTACA"]
+    assert clip.parse_adapters(lines) == [("CCTTAAGG", "first one"), ("GATTACA", "GATTACA")]
+    with pytest.raises(ValueError):
+        clip.parse_adapters(["AXB\ty"])
+    rng = random.Random(11)
+    reads = fq(spark, *[(str(i), s, [30] * len(s)) for i, s in enumerate("".join(rng.choice("ACGT") for _ in range(rng.randint(9, 30))) + rng.choice(["CCTTAAGG", "GATTACA", ""]) for _ in range(40))])
+    table = clip.parse_adapters(lines)
+    got = sorted((r.adapter, r.ord, r.seq, tuple(r.qual)) for r in clip.clip_table(reads, table).collect())
+    want = sorted((d, r.ord, r.seq, tuple(r.qual)) for s, d in table for r in reads.transform(clip.clip(s)).collect())
+    assert got == want
+
+
+def test_functions_for_sql(spark):
+    from strandlake.functions import register
+
+    names = register.register(spark)
+    fa(spark, ("67-3461", "ACGTN"), ("x", "AA")).createOrReplaceTempView("sql_reads")
+    rows = spark.sql("select reads_count(name) a, reads_count_tabular(name) b, reads_count_histogram(name) c, reverse_complement(seq) d, base_count(seq, 'A') e, hamming_distance(seq, 'ACT') f, encode_quality(decode_quality('I!', 33), 33) g, encode_quality_numeric(decode_quality('I!', 33)) h, read_percent(1, 3) i from sql_reads order by ord").collect()
+    assert tuple(rows[0]) == (3461, 3461, 3461, "NACGT", 1, 3, "I!", "40 0", 33) and tuple(rows[1])[:6] == (1, 1, 1, "TT", 2, 1)
+    got = spark.sql("select align_adapter(seq, adapter) a from values ('ACGTACGTACCCTTAAGG', 'CCTTAAGG'), ('GGACGT', 'ACG') as t(seq, adapter)").collect()
+    assert [(r.a.query_start, r.a.matches) for r in got] == [(10, 8), (2, 3)] and "align_adapter" in names
