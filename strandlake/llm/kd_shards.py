@@ -8,8 +8,8 @@ between groups, at the nearer edge, and through one only if it weighs more than
 
 A position has digits: the dimension, two of the text's hash, two of the id's hash and the row. One pass over the table makes
 histograms of the first digit for all nodes and dimensions of a level; the bin that holds a cut is refined by the next digit, its
-rows alone. Histograms never reach the driver; the states and cuts of a level do while its nodes are at most ``SMALL``, and are written tables beyond.
-Rows find their leaf by joins with the cuts of a level.
+rows alone. Histograms never reach the driver; the states and cuts of a level do while its nodes are at most ``SMALL``, and rows look them
+up in literals; beyond, they are written tables that rows join. The slim table of rows with their nodes is written after each level.
 
 Law ``bytes``: sizes near equal. Null texts weigh 16; null metadata is a value of its own; columns of any name may be kept; an empty table
 gives no rows. A text of any length is one row's weight, so a shard may exceed the others by what one text weighs.
@@ -30,8 +30,8 @@ _PARTS = ((False, _TEXT, _DIGIT), (False, 30, 15), (False, 0, 30), (True, 40, 20
 SMALL = 4096
 #: A bin below this share of a leaf's bytes is not refined; a group of equal texts is divided only above that one.
 FINE, GROUP = 1 / 2000, 1 / 50
-#: Levels of the tree after which rows are written with their nodes; rows of a range of slots.
-LEVELS, RANGE_ROWS = 6, 50_000
+#: Rows of a range of slots.
+RANGE_ROWS = 50_000
 NAMES = ("source", "lang", "length")
 
 
@@ -65,6 +65,16 @@ def _pinned(df: DataFrame, label: str, rows: int) -> DataFrame:
     return df.sparkSession.range(1).select(F.inline(shape))
 
 
+def _told(rows: DataFrame, by_node: DataFrame, depth: int, nodes: int) -> DataFrame:
+    """Adds ``told``: the other columns of ``by_node`` for the row's node, or null. Nodes of a level are numbered from 2^depth."""
+    if nodes > SMALL:
+        return rows.join(by_node.select("node", F.struct(*[c for c in by_node.columns if c != "node"]).alias("told")), "node", "left")
+    known = {r["node"]: r["j"] for r in by_node.select("node", F.to_json(F.struct(*[c for c in by_node.columns if c != "node"])).alias("j")).collect()}
+    held = "[" + ",".join(known.get(n, "null") for n in range(1 << depth, 2 << depth)) + "]"
+    shape = by_node.drop("node").schema.simpleString()
+    return rows.withColumn("told", F.get(F.from_json(F.lit(held), f"array<{shape}>"), (F.col("node") - (1 << depth)).cast("int")))
+
+
 def _chosen(names) -> Column:
     return F.element_at(F.array(*[F.col(f"at_{n}") for n in names]), F.col("dim") + 1)
 
@@ -78,7 +88,7 @@ def _crossing(bins: DataFrame, keys: list[str]) -> DataFrame:
     return summed.groupBy(*keys, "goal").agg(F.coalesce(hit, past).alias("c")).select(*keys, "goal", "c.*")
 
 
-def cuts(rows: DataFrame, names, extents: list[int], leaf: float, nodes: int) -> DataFrame:
+def cuts(rows: DataFrame, names, extents: list[int], leaf: float, depth: int, nodes: int) -> DataFrame:
     """(node, leaves, base, dim, cut_at, cut_tie): a cut for every node of ``rows`` with more than one leaf, of which there are at most ``nodes``. ``extents``: the root's."""
     open_ = rows.where("leaves > 1")
     each = F.explode(F.array(*[F.struct(F.lit(i).alias("dim"), _digit(f"at_{n}", 0).alias("bin")) for i, n in enumerate(names)])).alias("x")
@@ -106,7 +116,7 @@ def cuts(rows: DataFrame, names, extents: list[int], leaf: float, nodes: int) ->
         rest = state.where(~stop)
         if last or not rest.limit(1).count():
             break
-        inside = open_.join(F.broadcast(rest.select("node", "dim", "at", "tie_at", "goal")) if nodes <= SMALL else rest.select("node", "dim", "at", "tie_at", "goal"), "node")
+        inside = _told(open_, rest.select("node", "dim", "at", "tie_at", "goal"), depth, nodes).where("told is not null").select(*open_.columns, "told.*")
         same = (F.shiftright(_chosen(names), shift) == F.col("at")) if not in_tie else (_chosen(names) == F.col("at")) & (F.shiftright("tie", shift) == F.col("tie_at"))
         into, _, width = _PARTS[i + 1]
         finer = inside.where(same).groupBy(*keys, "dim", "at", "tie_at", "goal", _digit("tie" if into else _chosen(names), i + 1).alias("bin")).agg(F.sum("size").alias("w"))
@@ -117,9 +127,9 @@ def cuts(rows: DataFrame, names, extents: list[int], leaf: float, nodes: int) ->
     return _pinned(done, "level", nodes)
 
 
-def _step(rows: DataFrame, level: DataFrame, names) -> DataFrame:
+def _step(rows: DataFrame, level: DataFrame, names, depth: int, nodes: int) -> DataFrame:
     """Rows with the nodes of the next level."""
-    told = rows.join(level.select("node", "dim", "cut_at", "cut_tie"), "node", "left")
+    told = _told(rows, level.select("node", "dim", "cut_at", "cut_tie"), depth, nodes).select(*rows.columns, "told.*")
     at = _chosen(names)
     low = (at < F.col("cut_at")) | ((at == F.col("cut_at")) & (F.col("tie") < F.col("cut_tie")))
     left = F.expr("leaves div 2")
@@ -138,9 +148,8 @@ def leaved(slim: DataFrame, names, leaves: int) -> DataFrame:
     rows = slim.withColumns({"node": F.lit(1).cast("long"), "leaves": F.lit(leaves).cast("long"), "base": F.lit(0).cast("long")})
     if total:
         for depth in range((leaves - 1).bit_length()):
-            if depth and depth % LEVELS == 0:
-                rows = materialize(rows, "nodes")
-            rows = _step(rows, cuts(rows, names, extents, total / leaves, min(leaves, 1 << depth)), names)
+            nodes = min(leaves, 1 << depth)
+            rows = materialize(_step(rows, cuts(rows, names, extents, total / leaves, depth, nodes), names, depth, nodes), "nodes")
     return rows.withColumn("shard", F.col("base").cast("int")).drop("node", "leaves", "base")
 
 

@@ -97,7 +97,6 @@ def _tree(rows, leaves, widths, base, out):
 def test_leaves_are_those_of_the_tree_by_definition(spark, monkeypatch, leaves, hot):
     monkeypatch.setattr(kd_shards, "FINE", 0)
     monkeypatch.setattr(kd_shards, "GROUP", 0)
-    monkeypatch.setattr(kd_shards, "LEVELS", 3)
     monkeypatch.setattr(kd_shards, "SMALL", 4 if leaves == 19 else 4096)
     rng = random.Random(leaves)
     at = lambda: rng.randrange(1 << 15) << 45 | rng.randrange(1 << 45)
