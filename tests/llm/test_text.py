@@ -93,13 +93,29 @@ def test_contamination_with_substitutions(spark):
     want = {(d, i) for d, t in docs for i, w in items if _slow_overlap(t, w, 13)}
     got = {(r.doc_id, r.item_id) for r in spaced_seeds.contaminated(df, bench).collect()}
     assert got == want and len(want) >= 25
-    assert {(r.doc_id, r.item_id) for r in spaced_seeds.contaminated(df, bench, block_tokens=40).collect()} == want
+    small = spaced_seeds.contaminated(df, bench.unionByName(bench.limit(1).selectExpr("cast(null as long) as item_id", "text")))
+    assert {(r.doc_id, r.item_id) for r in small.collect() if r.item_id >= 0} == want
     clean = spaced_seeds.without_contaminated(df, bench)
     assert clean.columns == df.columns and {r.doc_id for r in clean.collect()} == {d for d, _ in docs} - {d for d, _ in want} | {100, 101}
     assert spaced_seeds.contaminated(spark.createDataFrame([], "doc_id long, text string"), bench).collect() == []
     assert spaced_seeds.contaminated(df, bench.limit(0)).collect() == []
 
 
+def test_of_rows_that_share_an_id_only_the_contaminated_go(spark, monkeypatch):
+    monkeypatch.setattr(spaced_seeds, "GROUP_DOCS", 2)
+    monkeypatch.setattr(spaced_seeds, "FILTER_BITS", 10)
+    rng = random.Random(9)
+    item, other = (" ".join(f"t{rng.randrange(10**6)}" for _ in range(20)) for _ in range(2))
+    long = " ".join(f"u{rng.randrange(10**6)}" for _ in range(120_000))
+    rows = [(1, "before " + item + " after"), (1, other), (None, item), (None, other), (2, f"{long} {item}"), (3, None), (3, ""), (4, item), (4, item), (5, "yes"), (6, "yes no")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"key": F.lit("a"), "gone_id": F.lit(7), "item_id": F.lit(8)})
+    bench = spark.createDataFrame([(7, item), (7, item), (8, "Yes!"), (9, "")], "item_id long, text string")
+    kept = spaced_seeds.without_contaminated(df, bench)
+    assert kept.columns == df.columns and sorted(((r.doc_id or 0, r.text or "") for r in kept.collect())) == sorted([(1, other), (0, other), (3, ""), (3, "")])
+    got = sorted((r.doc_id or 0, r.item_id, r.matched, r.start) for r in spaced_seeds.contaminated(df, bench).collect())
+    assert got == [(0, 7, 20, 0), (1, 7, 20, 1), (2, 7, 20, 120_000), (4, 7, 20, 0), (5, 8, 1, 0), (6, 8, 1, 0)]
+
+
 def test_op6_finds_the_items_that_documents_hold_whole(spark):
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     items = {r.item_id: r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
