@@ -43,7 +43,11 @@ _CLAUSE_END[[ord(c) for c in ".!?;\n"]] = True
 
 
 def _hash(word: str) -> int:
-    data = np.frombuffer(word.encode(), np.uint8)
+    return _hash_bytes(word.encode())
+
+
+def _hash_bytes(word: bytes) -> int:
+    data = np.frombuffer(word, np.uint8)
     return int(RollingHash(data).spans(np.array([0]), np.array([len(data)]))[0])
 
 
@@ -158,8 +162,8 @@ class Grammar:
         active = np.flatnonzero((symbol == INSULT) | (symbol == THREAT))
         if not len(active):
             return total
-        stops = np.union1d(np.flatnonzero(_CLAUSE_END[data]), off[1:])
-        clause = np.searchsorted(stops, starts, side="left")
+        # clauses end at stops and with their text
+        clause = np.searchsorted(np.flatnonzero(_CLAUSE_END[data]), starts) + np.repeat(np.arange(len(off) - 1), np.diff(first))
         lists = symbol.tolist(), weight.tolist()
         begin, end = np.searchsorted(clause, clause[active], "left"), np.searchsorted(clause, clause[active], "right")
         doc = np.searchsorted(first, active, side="right") - 1
