@@ -5,9 +5,13 @@ cumulative shares. A source's r-th slot takes the r-th block of its documents, s
 equal words; after its last block a source starts again, at most ``most`` times over. The count of slots of a source differs from its
 share by a few at most, at every prefix of the schedule, so readers of any prefix see the target weights.
 
+The order of a source's documents is that of a hash of id and text, summed in ranges of about ``RANGE_ROWS`` rows each, so that neither a hot
+source nor rows without ids, or of one id, gather in a task; rows that agree in both are next to each other and of one size.
+
 Targets: weights by rank of the source (code points, null last) share ``share`` of all words; none exceeds ``most`` times its
 source's words, and what is cut goes to the others by weight. Nothing but one row of totals reaches the driver. Null texts have
-no words and are never taken; repeated rows are documents of their own; an empty table gives no rows.
+no words and are never taken; repeated rows are documents of their own; an empty table gives no rows. Texts of any length are
+counted whole, and cut into blocks like others. Columns that are kept may have any name.
 """
 
 from __future__ import annotations
@@ -23,6 +27,8 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 #: Words of a block at most; slots of a source on average at least.
 BLOCK_WORDS, SLOTS = 1024, 4096
+#: Rows of a range of a source's documents, on average.
+RANGE_ROWS = 500
 _BINS = 4096
 _CHUNK = 1 << 16
 
@@ -65,26 +71,28 @@ def schedule(sources: DataFrame, words: int, block: int) -> DataFrame:
     return ranked.join(before, ["source_no", "chunk"]).select("slot", "source_no", (F.col("base") + F.col("r")).alias("rank"))
 
 
-def shuffled(docs: DataFrame, bits: int) -> DataFrame:
-    """Adds ``offset``: the words of the documents before it in its source's order, by a hash of the id. Sources are summed in 2^bits ranges of it."""
-    h = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
-    keyed = docs.withColumn("h", h).withColumn("range", F.shiftright("h", 60 - bits))
+def shuffled(docs: DataFrame) -> DataFrame:
+    """Adds ``offset``: the words of the documents before it in its source's order, by ``h`` (60 bits). A source is summed in 2^``bits`` ranges of it."""
+    keyed = docs.withColumn("range", F.expr("shiftright(h, 60 - bits)"))
     sums = keyed.groupBy("source_no", "range").agg(F.sum("size").alias("n"))
     sums = sums.withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy("source_no").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     inner = F.coalesce(F.sum("size").over(Window.partitionBy("source_no", "range").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return keyed.withColumn("inner", inner).join(sums, ["source_no", "range"]).withColumn("offset", F.col("base") + F.col("inner")).drop("h", "range", "inner", "base")
+    return keyed.withColumn("inner", inner).join(sums, ["source_no", "range"]).withColumn("offset", F.col("base") + F.col("inner")).drop("h", "range", "inner", "base", "bits")
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, share: float = 1.0, keep: list[str] | None = None) -> DataFrame:
     """doc_id, size, source_size, target, taken - and the columns in ``keep`` - for each row of (doc_id, source, text)."""
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     extra = [c for c in keep or [] if c not in ("doc_id", "source")]
-    slim = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words.alias("size"), *[F.col(c).alias(f"kept_{c}") for c in extra]), "sizes")
+    h = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit("")))), 1, 15), 16, 10).cast("long")
+    slim = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words.alias("size"), h.alias("h"), *[F.col(c).alias(f"kept_{c}") for c in extra]), "sizes")
     sources = materialize(targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most, share), "targets")
-    n, total, rows, wanted = slim.agg(F.countDistinct("source"), F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).join(sources.agg(F.coalesce(F.sum("target"), F.lit(0.0)).alias("w")), F.lit(True)).first()
+    n, total, wanted = slim.agg(F.countDistinct("source"), F.coalesce(F.sum("size"), F.lit(0))).join(sources.agg(F.coalesce(F.sum("target"), F.lit(0.0)).alias("w")), F.lit(True)).first()
     block = max(1, min(BLOCK_WORDS, total // (SLOTS * (n + 1))))
-    numbered = slim.join(sources, slim.source.eqNullSafe(sources.source)).drop(sources.source)
-    placed = shuffled(numbered, max(2, (rows // 2_000).bit_length()))
+    counts = slim.groupBy(F.col("source").alias("name")).agg(F.greatest(F.lit(0), F.ceil(F.log2(F.count(F.lit(1)) / F.lit(RANGE_ROWS)))).cast("int").alias("bits"))
+    sized = materialize(sources.join(counts, sources.source.eqNullSafe(counts.name)).drop("name"), "ranges")
+    numbered = slim.join(sized, slim.source.eqNullSafe(sized.source)).drop(sized.source)
+    placed = shuffled(numbered)
     blocks = F.greatest(F.lit(1), F.ceil(F.col("source_size") / block).cast("long"))
     taken = schedule(sources, round(wanted), block).join(sources.select("source_no", blocks.alias("blocks")), "source_no")
     taken = taken.where(F.expr("rank div blocks") < most).groupBy("source_no", F.expr("rank % blocks").alias("block")).agg(F.count(F.lit(1)).alias("times"))
@@ -103,7 +111,7 @@ def op10_mixing(spark, sf_dir: str) -> DataFrame:
 
 
 SQL = f"""
-with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size from documents),
+with d as (select doc_id, source, text, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size from documents),
 s as (select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) as source_no from d group by source),
 w as (select *, [5, 2, 1][((source_no - 1) % 3 + 1)::int] as weight, source_size * 3 as cap from s),
 l as (select *, ((sum(source_size) over ())::double - coalesce(sum(cap) over (order by cap / weight, source_no rows between unbounded preceding and 1 preceding), 0)::double)
@@ -117,7 +125,7 @@ p as (select j as slot, (j * 1327217885) % 2147483648 as u from c, unnest(range(
 r as (select slot, source_no, row_number() over (partition by source_no order by slot) - 1 as rank from p join a on u >= low and u < high),
 k as (select r.source_no, rank % greatest(1, (source_size + b - 1) // b) as block, count(*) as times from r join t using (source_no), c
   where rank // greatest(1, (source_size + b - 1) // b) < 3 group by all),
-o as (select d.doc_id, d.size, t.source_no, t.source_size, t.target, (sum(d.size) over (partition by t.source_no order by substr(md5(coalesce(d.doc_id::varchar, '')), 1, 15), d.doc_id, d.size
+o as (select d.doc_id, d.size, t.source_no, t.source_size, t.target, (sum(d.size) over (partition by t.source_no order by substr(md5(coalesce(d.doc_id::varchar, '') || ':' || coalesce(d.text, '')), 1, 15), d.doc_id, d.size
   rows unbounded preceding) - d.size)::bigint as pos from d join t on d.source is not distinct from t.source),
 x as (select o.*, unnest(case when size > 0 then range(pos // b, (pos + size - 1) // b + 1) else [0] end) as block, b from o, c)
 select doc_id, size, source_size, target, sum(case when size > 0 then (least(pos + size, (block + 1) * b) - greatest(pos, block * b)) * coalesce(times, 0) else 0 end)::bigint as taken
