@@ -277,7 +277,32 @@ def test_pipeline_stages_one_by_one(spark, tmp_path):
     items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     leaked = {d for d in kept["near_copies"] if any(x in texts[d] for x in items)}
     assert kept["decontamination"] == kept["near_copies"] - leaked
-    assert len(kept["mixing"]) > 0.5 * len(kept["decontamination"]) and kept["sharding"] == kept["mixing"]
+    assert kept["near_copies"] <= kept["language"] and len(kept["mixing"]) > 0.5 * len(kept["decontamination"]) and kept["sharding"] == kept["mixing"]
+
+
+def test_pipeline_stages_on_odd_rows_and_none(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    some = docs.where("text is not null and lang is not null").first()
+    odd = [(None, "a plain line of words that no other document has in it", "en", None, 1), (None, "a plain line of words that no other document has in it", "en", None, 1), (None, None, None, None, None),
+           (7001, some.text, some.lang, some.source, 1), (7002, "the first of two rows with one number and different words", "en", "s", 1), (7002, "quite another text under the very same number as before", "en", "s", 1),
+           (7003, "", "en", "s", 0), (7004, " ".join(f"word{i}" for i in range(60_000)), "en", "s", 2)]
+    clash = {c: F.lit(i) for i, c in enumerate(("row", "copies", "key", "lettered", "size", "shard", "slot", "gone_key", "component_id", "__lettered", "__copies"))}
+    now = docs.unionByName(spark.createDataFrame(odd, docs.schema)).withColumns(clash)
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, now.limit(0), SF)
+        assert empty.collect() == []
+        after = stage(spark, now, SF)
+        if name != "sharding":
+            assert after.columns == now.columns and empty.columns == now.columns
+            assert {r.copies for r in after.select("copies").collect()} <= {1}
+        after.write.parquet(f"{tmp_path}/{name}")
+        after = spark.read.parquet(f"{tmp_path}/{name}")
+        rows = [(r.doc_id, r.text) for r in after.collect()] if name != "sharding" else []
+        if name == "language":
+            assert (None, None) not in rows and sum(d is None for d, _ in rows) == 2 and {7002, 7004} <= {d for d, _ in rows} and 7003 not in {d for d, _ in rows}
+        if name == "near_copies":
+            assert sum(d is None for d, _ in rows) == 1 and [d for d, _ in rows].count(7002) == 2 and 7001 not in [d for d, _ in rows]
+        now = after
 
 
 def test_every_operator_is_registered():

@@ -246,3 +246,73 @@ def test_linked_spans_match_all_pairs(spark, scope):
     got = {r.doc_id: [tuple(x) for x in r.spans] for r in secrets.find_secrets(spark.createDataFrame(docs, "doc_id long, text string"), scope).collect()}
     assert got == {d: _linked(t, scope) for d, t in docs}
     assert [k for _, _, k, _ in got[900]] == ["access"] and got[901] == [] and len(got[902]) == (1 if scope == 0 else 2)
+
+
+def _slow_strength(grammar, text):
+    """The strength of a text word by word: symbols by the heaviest entry among the word and its stems, clauses at . ! ? ; and line ends."""
+    of = dict(zip(grammar.keys.tolist(), zip(grammar.symbols.tolist(), grammar.weights.tolist())))
+    raw, total = text.encode(), 0.0
+    for clause in re.split(rb"[.!?;\n]", raw):
+        symbols, weights = [], []
+        for m in re.finditer(rb"[A-Za-z\x80-\xff]+", clause):
+            word = language._lower(np.frombuffer(m[0], np.uint8)).tobytes()
+            symbol, weight = toxicity.OTHER, 0.0
+            for size in (*toxicity.STEMS, None):
+                if size is None or len(word) > size:
+                    s, w = of.get(toxicity._hash_bytes(word[:size]), (toxicity.OTHER, 0.0))
+                    if s != toxicity.OTHER and (size is None or s == toxicity.INSULT) and (w >= weight or symbol == toxicity.OTHER):
+                        symbol, weight = s, w
+            if symbol == toxicity.OTHER and (word.endswith("n\u2019t".encode()) or (word == b"t" and clause[max(0, m.start() - 2) : m.start()].lower() == b"n'")):
+                symbol = toxicity.NEGATION
+            symbols.append(symbol), weights.append(weight)
+        if toxicity.INSULT in symbols or toxicity.THREAT in symbols:
+            total += _stepwise(symbols, weights)
+    return total
+
+
+def test_strengths_match_a_word_by_word_version():
+    rng = random.Random(17)
+    entries = {toxicity._hash(w): rng.random() * 6 for w in ("fool", "idiot", "stup", "moron", "schei\u00df", "imb\u00e9cil")}
+    grammar = toxicity.Grammar(entries)
+    words = "you are a FOOL fools idiot stupid stupidity moron not never isn't don\u2019t kill him her said quoted the house Schei\u00dfe imb\u00e9ciles hurt them beat t n't you".split()
+    texts = ["".join(rng.choice(words) + rng.choice([" ", " ", " ", ", ", ". ", "!\n", "; ", "? "]) for _ in range(rng.randint(0, 60))) for _ in range(300)] + ["", "fool" * 5000, "fool " * 5000]
+    got = grammar.strengths(*buffers(pa.array(texts)))
+    assert got.tolist() == pytest.approx([_slow_strength(grammar, t) for t in texts])
+
+
+def _slow_language(model, text, penalty):
+    """Language and share of its letters: trigrams with word edges one by one, scripts of lead bytes, and the best path by full search over labels."""
+    raw, k = text.encode(), len(model.names)
+    rows, sizes = [], []
+    for m in re.finditer(rb"[A-Za-z\x80-\xff]+", raw):
+        low = b" " + language._lower(np.frombuffer(m[0], np.uint8)).tobytes() + b" "
+        score = np.zeros(k)
+        for a, b, c in zip(low, low[1:], low[2:]):
+            code = (a << 16 | b << 8 | c) * 2654435761 & 0xFFFFFFFF
+            score += model.logs[code >> 16]
+        able = model.seen[:, language._SCRIPT[m[0][0]]]
+        rows.append(np.where(able, score, -60.0) if able.any() else np.zeros(k)), sizes.append(len(m[0]))
+    if not rows:
+        return None
+    best, back = rows[0], []
+    for row in rows[1:]:
+        stay = best[None, :] - penalty * (1 - np.eye(k))
+        back.append(stay.argmax(axis=1))
+        best = stay.max(axis=1) + row
+    path = [int(best.argmax())]
+    for step in reversed(back):
+        path.append(int(step[path[-1]]))
+    letters = np.bincount(path[::-1], weights=sizes, minlength=k)
+    return model.names[int(letters.argmax())], letters.max() / letters.sum()
+
+
+def test_languages_match_a_trigram_by_trigram_version(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language.fit(docs)
+    texts = [r.text[:1500] for r in docs.where("text is not null").orderBy("doc_id").limit(60).collect()]
+    texts += [a[:300] + " " + b[:300] for a, b in zip(texts, texts[7:])] + ["\u65e5\u672c\u8a9e", "a", "x \u0434\u043e\u043c y"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(frame, model).collect()}
+    for i, t in enumerate(texts):
+        want = _slow_language(model, t, language.PENALTY)
+        assert got[i][0] == want[0] and got[i][1] == pytest.approx(want[1]), t[:80]
