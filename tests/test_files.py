@@ -6,6 +6,7 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from strandlake.operators import barcode, clip, collapse, project, stats
 from strandlake.plans import catalogue
@@ -87,7 +88,7 @@ def test_round_trips_and_sinks(spark, tmp_path):
     files.write_demultiplexed(df.transform(barcode.assign_barcodes(codes, "bol", 0)), str(tmp_path / "demux"), codes)
     assert sorted(x.rsplit("/", 1)[1] for x in glob.glob(f"{tmp_path}/demux/*") if not x.endswith("_SUCCESS")) == ["B1", "B2", "unmatched"]
     files.write_demultiplexed(df.transform(barcode.assign_barcodes(codes, "bol", 0)), str(tmp_path / "named"), codes, prefix="run_", suffix=".txt")
-    assert [r.seq for r in files.read_fastq(spark, str(tmp_path / "named" / "run_B1.txt")).collect()] == ["ACGT"]
+    assert [r.seq for r in files.read_fastq(spark, str(tmp_path / "named" / "run_B1.txt")).collect()] == ["ACGT", "ACG"]
     assert files.read_fastq(spark, str(tmp_path / "named" / "run_B2.txt")).count() == 0
     report = stats.cycle_stats(df)
     files.write_report(report, str(tmp_path / "report"))
@@ -192,6 +193,17 @@ def test_streams(spark, tmp_path):
     assert seen == [("1-2", "ACGT"), ("2-1", "ACNT")]
 
 
+def test_barcode_files_and_windows(spark, tmp_path):
+    assert barcode.read_barcodes(spark, put(tmp_path / "codes.txt", "# a comment\n\nBC1\tACGT\nBC2 tttt extra\n")) == [("BC1", "ACGT"), ("BC2", "TTTT")]
+    (tmp_path / "win").mkdir()
+    put(tmp_path / "win" / "a.fastq", "@a\nACGT\n+\nIIII\n@b\nAC\n+\nII\n@c\nTTTT\n+\nIIII\n")
+    timed = streams.fastq_rows(spark, str(tmp_path / "win")).withColumn("time", F.timestamp_seconds(F.col("ord") * 3000))
+    q = streams.windowed_counts(timed, "time").writeStream.outputMode("complete").format("memory").queryName("windows").start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted((r.window.start.hour, r.len, r.n) for r in spark.table("windows").collect()) == [(0, 2, 1), (0, 4, 1), (1, 4, 1)]
+
+
 SF = "/root/testdata/sf0.001"
 
 
