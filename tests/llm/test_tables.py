@@ -53,11 +53,11 @@ def test_shards_of_a_target_size_and_of_nothing(spark, small):
 
 
 def test_shards_divide_repeated_rows_and_keep_small_groups_together(spark):
-    equal = kd_shards.assign(spark.createDataFrame([(7, "one text", "en", "s")] * 400 + [(None, None, None, None)] * 40, FULL), 40).collect()
+    equal = kd_shards.assign(spark.createDataFrame([(7, "one text", "en", "s")] * 400 + [(None, None, None, None)] * 40, FULL), 11).collect()
     sizes = Counter()
     for r in equal:
         sizes[r.shard] += r["size"]
-    assert set(sizes) == set(range(40)) and max(sizes.values()) - min(sizes.values()) <= 2 * 24
+    assert set(sizes) == set(range(11)) and max(sizes.values()) - min(sizes.values()) <= 2 * 24
     rng = random.Random(4)
     rows = [(i, " ".join(f"w{rng.randrange(9999)}" for _ in range(rng.randint(5, 200))), rng.choice("ab"), rng.choice("xyz")) for i in range(3000)]
     rows += [(5000 + 3 * i + j, rows[i][1], rng.choice("ab"), rng.choice("xyz")) for i in range(100) for j in range(3)]
