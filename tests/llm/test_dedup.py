@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -339,6 +340,78 @@ def test_an_edge_left_to_an_earlier_table_is_still_checked(spark):
     assert {r.doc_id: r.component_id for r in simhash.near_groups(codes, 2, 64, check, 14).collect()} == {0: 0, 1: 0, 2: 2}
 
 
+def _signed(codes):
+    return [c - (1 << 64) if c >> 63 else c for c in codes]
+
+
+def _families(spark, codes, width, limit):
+    """What the check of codes with the pipeline's masks is given, and the groups without a link of its own."""
+    given = []
+
+    def check(families, *_):
+        given.extend((r.node, r.component) for r in families.collect())
+        return spark.createDataFrame([], "a long, b long")
+
+    frame = spark.createDataFrame([(i, _signed(c)) for i, c in enumerate(codes)], "doc_id long, codes array<long>")
+    assert simhash.near_groups(frame, 4, limit, check, 14, 48).count() == len(codes)
+    return given
+
+
+def test_strangers_that_meet_by_chance_are_no_family(spark):
+    """A chain in one fingerprint whose others have nothing in common, as chance makes in large tables, beside pairs of the chain's ends."""
+    rng = random.Random(4)
+    code, codes = rng.getrandbits(64), []
+    for i in range(60):
+        code ^= 1 << 48 + i % 16
+        codes.append([code] + [rng.getrandbits(64) for _ in range(5)])
+    codes += [[c ^ 1 << rng.randrange(64) for c in codes[i]] for i in (0, 30, 59)]
+    families = _families(spark, codes, 6, 80)
+    of = dict(families)
+    assert sorted(of) == [0, 30, 59, 60, 61, 62] and of[0] == of[60] and of[30] == of[61] and of[59] == of[62] and len(set(of.values())) == 3
+
+
+@pytest.mark.parametrize("turn", [0, 2])
+def test_pairs_with_a_stranger_between_them_are_proposed(spark, turn):
+    """x and y share a bucket with z between them that has nothing else in common with them; and so do families that the first fingerprint has found."""
+    rng = random.Random(6)
+    x = [rng.getrandbits(64) for _ in range(3)]
+    codes = []
+    for side in (0, 1):
+        for k in range(4):
+            # the sides meet in one fingerprint alone; there they differ by 12 bits, and in all others by more than any bucket's
+            of = [c ^ (1 << 48 + k) ^ ((0xFFF << 50 if j == turn else 0x1F1F1F1F) * side) for j, c in enumerate(x)]
+            codes.append(of)
+    z = [rng.getrandbits(64) for _ in range(3)]
+    z[turn] = x[turn] ^ 0x3F << 50
+    of = dict(_families(spark, [*codes, z], 3, 60))
+    assert sorted(of) == list(range(8)) and len(set(of.values())) == 1
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_clusters_hold_all_pairs_within_the_reach(seed):
+    """Every pair of two labels within the reach in a bucket shares a cluster of some table; reps, labels and codes survive the encoding."""
+    rng = np.random.default_rng(seed)
+    kept, reach = simhash.masks(2, 20), 5
+    base = rng.integers(0, 1 << 64, 2, dtype=np.uint64)
+    code = base[rng.integers(0, 2, 150)]
+    for _ in range(5):
+        code ^= np.uint64(1) << rng.integers(0, 24, 150).astype(np.uint64)
+    rep = np.sort(rng.choice(1 << 40, 150, replace=False)).astype(np.int64)
+    label = np.where(rng.random(150) < 0.5, rep, rep[rng.integers(0, 8, 150)])
+    first = np.argsort(label == rep, kind="stable")
+    blob = simhash._encoded(rep[first], label[first], code[first])
+    assert [x.tolist() for x in simhash._decoded(blob)] == [rep[first].tolist(), label[first].tolist(), code[first].tolist()]
+    together = set()
+    for v in range(len(kept)):
+        found = simhash._gatherer(reach, kept, 3)(pa.table({"group": [v * 3 + 1], "rows": pa.array([blob], pa.binary())}))
+        for members in found.column("reps").to_pylist():
+            assert members == sorted(set(members)) and len(members) > 1
+            together |= {(a, b) for a in members for b in members if a < b}
+    near = [(i, j) for i in range(150) for j in range(i + 1, 150) if label[i] != label[j] and int(code[i] ^ code[j]).bit_count() <= reach]
+    met = [(int(rep[i]), int(rep[j])) for i, j in near if any(not int((code[i] ^ code[j]) & m) for m in kept)]
+    assert len(met) > 100 and together >= set(met)
+
+
 def test_isolated_pairs_just_above_the_similarity_are_found(spark):
     rng = random.Random(21)
     docs = []
