@@ -35,3 +35,12 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         current = materialize(_stars(_stars(current, True), False), label)
     pairs = current.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return pairs.unionByName(current.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
+
+
+def heads(edges: DataFrame, rounds: int = 2, label: str = "heads") -> DataFrame:
+    """(node, head): after a few rounds, the least node that each node of ``edges`` but a least one has come to. Nodes of one head are connected;
+    connected ones may still have several."""
+    current = edges.where("a <> b").select("a", "b").distinct()
+    for _ in range(rounds):
+        current = materialize(_stars(_stars(current, True), False), label)
+    return current.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("head"))
