@@ -38,7 +38,7 @@ BLOCK, PIVOTS, TASK_ROWS = 2_048, 16, 2_048
 #: Fingerprints propose in turns, which begin with these.
 PASSES = 0, 1, 4
 #: Most documents whose table rows are encoded together.
-CHUNK = 1 << 15
+CHUNK = 1 << 13
 #: Most ids that are broadcast to fetch texts for the exact check; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Seed of the shingles' XXH64.
