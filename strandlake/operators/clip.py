@@ -1,7 +1,10 @@
 """Adapter clipping by half-local alignment.
 
-The dynamic program runs over a batch of reads at once, one NumPy vector a cell, and carries what a traceback would count (start, matches,
-mismatches, neutral pairs, gaps) forward along the best predecessor, so that only two columns of cells are kept.
+The dynamic program runs over a batch of reads of any lengths at once, one NumPy vector a cell, the longest reads first, so that a column of cells
+takes those that still have a base there. What a traceback would count is carried forward along the best predecessor, packed in one number: where
+the path's diagonal starts, and its neutral pairs, mismatches and matches, which are at most 99. A path begins with a pair at the first base of the
+read or of the adapter, so its start and gaps follow from these and its end. Only two columns of cells are kept, and gaps, which few cells take,
+are mended by rows.
 """
 
 from __future__ import annotations
@@ -10,6 +13,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,74 +21,82 @@ MATCH, MISMATCH, GAP, NEUTRAL = np.float32(1), np.float32(-1), np.float32(-5), n
 FIELDS = ("query_start", "query_end", "target_start", "target_end", "matches", "mismatches", "neutral", "gaps")
 _STRUCT = "struct<" + ", ".join(f"{f}: int" for f in FIELDS) + ", score: float>"
 ALIGNMENT = ", ".join(f"{f} int" for f in FIELDS) + ", score float"
-_QS, _TS, _M, _X, _N, _G = range(6)
+_X, _N, _START, _COUNT = 7, 14, 21, 127  # bits of the packed state: matches below the mismatches, neutral pairs, start
 
 
-def align(reads: np.ndarray, adapter: np.ndarray) -> dict[str, np.ndarray]:
-    """Alignments of equally long reads (rows of byte codes) with an adapter."""
-    n, width = reads.shape
-    height = len(adapter)
+def _pairs(letter: int, kind) -> tuple[np.ndarray, np.ndarray]:
+    """Of an adapter's letter with each byte: the score, and what it adds to the state."""
     unknown = ord("N")
+    score, adds = np.full(256, MISMATCH), np.full(256, 1 << _X, kind)
+    score[letter], adds[letter] = MATCH, 1
+    if letter == unknown:
+        score[:], adds[:] = NEUTRAL, 1 << _N
+    score[unknown], adds[unknown] = 0 if letter == unknown else NEUTRAL, 1 << _N
+    return score, adds
+
+
+def align(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, adapter: np.ndarray) -> dict[str, np.ndarray]:
+    """Alignments of reads with an adapter; a read is ``sizes`` bytes of ``data`` from ``starts`` on, and none is longer than the one before."""
+    n, height, width = len(sizes), len(adapter), int(sizes[0])
+    kind = np.int32 if width < 900 else np.int64
+    pairs = {t: _pairs(t, kind) for t in set(adapter.tolist())}
+    live = np.searchsorted(-sizes, -np.arange(width), "left")  # reads longer than x
     border = np.array([0 if y <= 3 else GAP * np.float32(y - 3) for y in range(height)], np.float32)
-    best = np.full(n, -1_000_000, np.float32)
-    at_best = np.zeros((8, n), np.int32)
-    last_score, last = np.tile(border[:, None], (1, n)), None
+    last_score, score = np.repeat(border[:, None], n, axis=1), np.empty((height, n), np.float32)
+    last, state = np.repeat(-np.arange(1, height + 1, dtype=kind)[:, None] << _START, n, axis=1), np.empty((height, n), kind)
+    best, at_best = np.full(n, -1_000_000, np.float32), np.zeros((3, n), kind)
     for x in range(width):
-        base = reads[:, x]
-        score, state = np.empty((height, n), np.float32), np.zeros((height, 6, n), np.int32)
-        for y in range(height):
-            t = adapter[y]
-            neutral = (base == unknown) | (t == unknown)
-            same = base == t
-            pair = np.where(neutral, np.where((base == unknown) & (t == unknown), np.float32(0), NEUTRAL), np.where(same, MATCH, MISMATCH)).astype(np.float32)
-            corner = np.float32(0) if y == 0 else last_score[y - 1]
-            diagonal = corner + pair
-            above = (score[y - 1] if y else np.zeros(n, np.float32)) + GAP
-            before = last_score[y] + GAP
-            if y > 3 and y - 3 > x:
-                before = np.full(n, -100_000, np.float32)
-            up = above > diagonal
-            top = np.where(up, above, diagonal)
-            left = before > top
-            score[y] = np.where(left, before, top)
-            mine = state[y]
-            mine[_QS], mine[_TS] = x, y
-            # what the chosen predecessor carries; a border carries nothing, and the path starts here
-            if x and y:
-                take = ~(up | left)
-                mine[:, take] = last[y - 1][:, take]
-            if y:
-                take = up & ~left
-                mine[:, take] = state[y - 1][:, take]
-            if x:
-                mine[:, left] = last[y][:, left]
-            step = ~(up | left)
-            mine[_G] += ~step
-            mine[_N] += step & neutral
-            mine[_M] += step & ~neutral & same
-            mine[_X] += step & ~neutral & ~same
-            better = score[y] > best
-            best[better] = score[y][better]
-            at_best[:6, better] = mine[:, better]
-            at_best[6, better], at_best[7, better] = x, y
-        last_score, last = score, state
-    order = {"query_start": _QS, "query_end": 6, "target_start": _TS, "target_end": 7, "matches": _M, "mismatches": _X, "neutral": _N, "gaps": _G}
-    return {f: at_best[order[f]] for f in FIELDS} | {"score": best}
+        k = live[x]
+        base = data.take(starts[:k] + x).astype(np.intp)
+        scores, adds = ({t: p[i].take(base) for t, p in pairs.items()} for i in (0, 1))
+        score[0, :k] = scores[adapter[0]]
+        np.add(adds[adapter[0]], kind(x << _START), out=state[0, :k])
+        for y in range(1, height):
+            here, mine = score[y, :k], state[y, :k]
+            np.add(last_score[y - 1, :k], scores[adapter[y]], out=here)
+            np.add(last[y - 1, :k], adds[adapter[y]], out=mine)
+            above, before = score[y - 1, :k], last_score[y, :k]
+            closed = y > 3 and y - 3 > x
+            gap = (above if closed else np.maximum(above, before)) + GAP
+            rows = np.flatnonzero(gap > here)
+            if len(rows):
+                here[rows] = gap[rows]
+                left = np.zeros(len(rows), bool) if closed else before[rows] + GAP > above[rows] + GAP
+                mine[rows] = np.where(left, last[y, rows], state[y - 1, rows])
+        most = score[:, :k].max(axis=0)
+        rows = np.flatnonzero(most > best[:k])
+        if len(rows):
+            best[rows] = most[rows]
+            y = score[:, rows].argmax(axis=0)
+            at_best[0, rows], at_best[1, rows], at_best[2, rows] = state[y, rows], x, y
+        last_score, score, last, state = score, last_score, state, last
+    packed, x, y = at_best
+    begin, neutral, mismatches, matches = packed >> _START, packed >> _N & _COUNT, packed >> _X & _COUNT, packed & _COUNT
+    query, target = np.maximum(begin, 0), np.maximum(-begin, 0)
+    gaps = x - query + y - target - 2 * (matches + mismatches + neutral - 1)
+    return {f: v.astype(np.int32) for f, v in zip(FIELDS, (query, x, target, y, matches, mismatches, neutral, gaps))} | {"score": best}
+
+
+def _align_texts(texts: pa.Array, adapter: str) -> dict[str, np.ndarray]:
+    out = {f: np.zeros(len(texts), np.int32) for f in FIELDS} | {"score": np.zeros(len(texts), np.float32)}
+    texts = texts.cast(pa.large_string()).fill_null("")
+    if not len(texts) or not texts.buffers()[2]:
+        return out
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2], np.uint8)
+    if (data[offsets[0] : offsets[-1]] > 127).any():
+        raise ValueError("reads to align are ASCII")
+    sizes = np.diff(offsets)
+    rows = np.argsort(-sizes, kind="stable")[: np.count_nonzero(sizes)]
+    for part in np.array_split(rows, max(1, len(rows) // 4096)) if len(rows) else ():
+        for f, v in align(data, offsets[part], sizes[part], np.frombuffer(adapter.encode(), np.uint8)).items():
+            out[f][part] = v
+    return out
 
 
 def align_all(seqs: pd.Series, adapter: str) -> pd.DataFrame:
-    """Alignments of reads of any lengths, grouped by length; an empty read has an empty alignment."""
-    codes = np.frombuffer(adapter.encode(), np.uint8)
-    out = {f: np.zeros(len(seqs), np.int32) for f in FIELDS} | {"score": np.zeros(len(seqs), np.float32)}
-    texts = seqs.fillna("").to_numpy()
-    sizes = np.array([len(s) for s in texts])
-    for size in np.unique(sizes[sizes > 0]):
-        rows = np.flatnonzero(sizes == size)
-        for part in np.array_split(rows, max(1, len(rows) // 4096)):
-            got = align(np.frombuffer("".join(texts[part]).encode(), np.uint8).reshape(len(part), size), codes)
-            for f, v in got.items():
-                out[f][part] = v
-    return pd.DataFrame(out)
+    """Alignments of reads of any lengths; an empty read has an empty alignment."""
+    return pd.DataFrame(_align_texts(pa.array(seqs, pa.large_string(), from_pandas=True), adapter))
 
 
 def alignment(adapter: str, column="seq"):
@@ -92,9 +104,10 @@ def alignment(adapter: str, column="seq"):
     if not 0 < len(adapter) < 100:
         raise ValueError("an adapter has 1 to 99 bases")
 
-    @F.pandas_udf(ALIGNMENT)
-    def run(seqs: pd.Series) -> pd.DataFrame:
-        return align_all(seqs, adapter)
+    @F.arrow_udf(ALIGNMENT)
+    def run(seqs: pa.Array) -> pa.Array:
+        found = _align_texts(seqs, adapter)
+        return pa.StructArray.from_arrays([pa.array(v) for v in found.values()], [*found])
 
     return run(F.col(column) if isinstance(column, str) else column)
 
@@ -123,7 +136,8 @@ def dispositions(adapter: str = "CCTTAAGG", min_length: int = 5, delta: int = 0,
 
 def _disposed(aligned: DataFrame, size, min_length: int = 5, delta: int = 0, keep_n: bool = False, clipped_only: bool = False, unclipped_only: bool = False, min_alignment: int = 0) -> DataFrame:
     """Reads with their alignment ``__a`` cut, and ``disposition``; ``size`` is the adapter's length."""
-    cut = aligned.withColumn("__cut", cut_position("__a", min_alignment))
+    # a generator of one row: a filter above it does not pull the alignment below, where it would run once more
+    cut = aligned.select("*", F.inline(F.array(F.struct(cut_position("__a", min_alignment).alias("__cut")))))
     keep = F.when(F.col("__cut") > 0, F.col("__cut") + (F.lit(delta) + size if delta > 0 else F.lit(0))).otherwise(F.length("seq"))
     cut = cut.withColumns({"seq": F.substring("seq", F.lit(1), keep), "qual": F.slice("qual", F.lit(1), F.greatest(keep, F.lit(0)))})
     why = (

@@ -187,6 +187,32 @@ def test_alignment_matches_a_scalar_program():
             assert {k: row[k] for k in want} == want, (s, adapter)
 
 
+def test_reads_of_all_lengths_align_together(monkeypatch):
+    rng, calls, align = random.Random(11), [], clip.align
+    monkeypatch.setattr(clip, "align", lambda *a: calls.append(1) or align(*a))
+    adapter = "".join(rng.choice("ACGT") for _ in range(40))
+    bases = lambda n: "".join(rng.choices("ACGTN", weights=[5, 5, 5, 5, 1], k=n))
+    gapped = [bases(rng.randint(0, 20)) + adapter[:18] + middle + adapter[18 + lost :] + bases(rng.randint(0, 9)) for middle, lost in [("", 0), ("G", 0), ("", 1), ("TA", 0), ("", 2), ("C", 1)] for _ in range(5)]
+    seqs = [None, "", "N", "acgt", *gapped, *[bases(n) for n in range(1, 60)]]
+    for more in ([], [bases(600) + adapter + bases(400)]):  # the long one takes wider numbers
+        calls.clear()
+        got = clip.align_all(pd.Series(seqs + more), adapter).to_dict("records")
+        assert len(calls) == 1 and sum(row["gaps"] > 0 for row in got) >= 10
+        for s, row in zip(seqs + more, got, strict=True):
+            want = _align_one(s, adapter) if s else dict.fromkeys(row, 0)
+            assert {k: row[k] for k in want} == want, (s, adapter)
+    with pytest.raises(ValueError):
+        clip.align_all(pd.Series(["ACG\u00e9"]), adapter)
+
+
+def test_clipping_aligns_each_read_once(spark):
+    df = fq(spark, ("a", "GATTACACCTTAAGG", [30] * 15))
+    for clipped in (df.transform(clip.clip("CCTTAAGG")), df.transform(clip.dispositions("CCTTAAGG")).where("disposition = 'kept' and name = 'a'")):
+        plan = clipped._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1
+        assert out(clipped) == [("a", "GATTACA")]
+
+
 def test_clipping_and_dispositions(spark):
     adapter = "CCTTAAGG"
     df = fq(spark, *[(n, s, [30] * len(s)) for n, s in [("full", "ACGTACGTAC" + adapter), ("only", adapter + "ACG"), ("none", "GATTACAGATTACA"), ("short", "ACG" + adapter), ("n", "ACNTACGTAC" + adapter)]])
